@@ -117,7 +117,12 @@ def train_profiles(labelled: DataFrame) -> DataFrame:
     top = counted.withColumn("gram_rank", F.row_number().over(w)).where(F.col("gram_rank") <= PROFILE_SIZE)
     # a row per language
     return top.join(F.broadcast(sizes), "lang").select(
-        "lang", "gram", F.floor(F.lit(SCALE) * F.col("n") / F.col("chars")).alias("weight")
+        "lang",
+        "gram",
+        # beyond SCALE characters the rounded weight of one gram would be 0
+        F.when(F.col("chars") <= SCALE, F.col("n") * F.floor(F.lit(SCALE) / F.col("chars")))
+        .otherwise(F.floor(F.lit(SCALE) * F.col("n") / F.col("chars")))
+        .alias("weight"),
     )
 
 
