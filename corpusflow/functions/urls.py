@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ HREF = r"""(?is)href=[ ]*(?:["'](.*?)["']|([^\s"'>]+))"""
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def host(url: Column) -> Column:
     """What stands between ``//`` and the next ``/``, ``?`` or ``#``."""
     return F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)", 1)
@@ -47,46 +54,62 @@ def _dots_resolved(segments: Column) -> Column:
     return F.when(joined == "", "/").otherwise(joined)
 
 
+def _merged(base: Column, link_path: Column) -> Column:
+    """Segments of the base folder followed by those of a relative path.
+
+    Only the first and the last segment may be empty.
+    """
+    folder = _let(
+        F.split(path(base), "/"),
+        lambda p: F.slice(p, F.lit(1), F.greatest(F.size(p) - 1, F.lit(0))),
+    )
+    return _let(
+        F.concat(folder, F.split(link_path, "/")),
+        lambda m: F.when(F.size(m) < 2, F.concat(F.array(F.lit("")), m)).otherwise(
+            F.concat(
+                F.slice(m, 1, 1),
+                F.filter(F.slice(m, F.lit(2), F.greatest(F.size(m) - 2, F.lit(0))), lambda s: s != ""),
+                F.slice(m, -1, 1),
+            )
+        ),
+    )
+
+
 def resolve(base: Column, link: Column) -> Column:
     """Absolute form of ``link`` as found on the page ``base``."""
     root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*:)", 1)
     link_path = F.regexp_extract(link, r"^([^?#]*)", 1)
-    tail = F.substring(link, F.length(link_path) + 1, F.length(link))
-    folder = F.slice(
-        F.split(path(base), "/"),
-        F.lit(1),
-        F.greatest(F.size(F.split(path(base), "/")) - 1, F.lit(0)),
-    )
-    merged = F.concat(folder, F.split(link_path, "/"))
-    # only the first and the last segment of a merged path may be empty
-    inner = F.filter(
-        F.slice(merged, F.lit(2), F.greatest(F.size(merged) - 2, F.lit(0))), lambda s: s != ""
-    )
-    relative = F.when(
-        F.size(merged) < 2, F.concat(F.array(F.lit("")), merged)
-    ).otherwise(F.concat(F.slice(merged, 1, 1), inner, F.slice(merged, -1, 1)))
-    has_dots = link_path.rlike(r"(^|/)\.{1,2}(/|$)")
-    absolute = F.when(has_dots, _dots_resolved(F.split(link_path, "/"))).otherwise(link_path)
+    tail = F.regexp_extract(link, r"^[^?#]*(.*)$", 1)
+    has_dots = link.rlike(r"^([^?#]*/)?\.{1,2}(/|$|[?#])")
+    absolute = F.when(has_dots, _let(F.split(link_path, "/"), _dots_resolved)).otherwise(link_path)
     return (
         F.when(link == "", base)
         .when(link.rlike(_SCHEME), link)
         .when(F.startswith(link, F.lit("//")), F.concat(scheme, link))
         .when(F.startswith(link, F.lit("/")), F.concat(root, absolute, tail))
         .when(F.startswith(link, F.lit("?")), F.concat(root, path(base), tail))
-        .otherwise(F.concat(root, _dots_resolved(relative), tail))
+        .otherwise(F.concat(root, _let(_merged(base, link_path), _dots_resolved), tail))
     )
 
 
-def normal_form(url: Column) -> Column:
-    """No ``../``, no slash after a bare host, no file name that means the folder."""
-    out = F.replace(url, F.lit("../"), F.lit(""))
-    out = F.when(path(out) == "/", F.substring(out, F.lit(1), F.length(out) - 1)).otherwise(out)
-    lowered = F.lower(out)
+def _folder_page_length(lowered: Column) -> Column:
     cut = F.lit(0)
     for ending in reversed(FOLDER_PAGES):
         cut = F.when(F.endswith(lowered, F.lit(ending)), F.lit(len(ending))).otherwise(cut)
-    return F.substring(out, F.lit(1), F.length(out) - cut)
+    return cut
+
+
+def normal_form(url: Column) -> Column:
+    """No ``../``, no slash after a bare host, no file name that means the folder."""
+    without_slash = _let(
+        F.replace(url, F.lit("../"), F.lit("")),
+        lambda u: F.when(path(u) == "/", F.substring(u, F.lit(1), F.length(u) - 1)).otherwise(u),
+    )
+    return _let(
+        without_slash,
+        lambda u: F.substring(u, F.lit(1), F.length(u) - _let(F.lower(u), _folder_page_length)),
+    )
 
 
 def allowed(url: Column, allow: str | None, deny: str | None) -> Column:

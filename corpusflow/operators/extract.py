@@ -52,9 +52,11 @@ def extract_links(pages: DataFrame, id_col: str, url: str = "url", source: str =
         raw_links(F.col(source)),
         lambda link: ~F.lower(F.trim(link)).rlike("^(javascript|mailto):"),
     )
-    return pages.select(F.col(id_col), F.col(url), F.posexplode(kept).alias("pos", "_link")).select(
-        id_col, "pos", urls.normal_form(urls.resolve(F.col(url), F.col("_link"))).alias("link")
+    # finished inside the array: a later filter on the link stays above the generator
+    links = F.transform(
+        F.transform(kept, lambda link: urls.resolve(F.col(url), link)), lambda link: urls.normal_form(link)
     )
+    return pages.select(F.col(id_col), F.posexplode(links).alias("pos", "link"))
 
 
 def select_links(
