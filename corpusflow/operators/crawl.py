@@ -165,7 +165,7 @@ def politeness_audit(log: DataFrame, host: str, ts: str, id_col: str, delay: flo
     Only an access in the same or the previous slot of ``delay`` seconds can be too
     close, so the log is compared slot by slot; a slot of a host is one aggregation.
     """
-    us = F.unix_micros(F.col(ts))
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
     slots = log.select(
         F.col(host).alias("host"), F.col(id_col).alias("id"), us.alias("us"),
         F.floor(us / F.lit(int(delay * 1_000_000))).alias("slot"),

@@ -1,0 +1,15 @@
+"""Using all cores on inputs of few files."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows out when there are fewer input files than cores.
+
+    A file of one row group is read by one task, and the work per text is high. With
+    as many files as cores, as on any large corpus, the rows stay where they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df

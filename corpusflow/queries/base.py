@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.patterns import SQL_INITIAL, SQL_SENTENCE_SPLIT
+from ..plans.spread import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -30,6 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def heavy(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows need much work each."""
+    return spread(table(spark, sf_dir, name))
+
+
 # ------------------------------------------------------------------ documents as a corpus
 
 BASE_URL = "http://www.{}.example.org/"

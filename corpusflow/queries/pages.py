@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import cells, html, urls
 from ..operators import extract
 from ..sources import readers
-from .base import SQL_WHITE, query, sql_breaks, sql_line_breaks, table
+from .base import SQL_WHITE, heavy, query, sql_breaks, sql_line_breaks, table
 
 ALLOW, DENY = "example", "/(the|de|of)$"
 
@@ -67,12 +67,12 @@ texts AS (SELECT page_id, url, s[2:-2] AS text, CASE WHEN t IS NULL THEN name EL
 
 @query(f"SELECT page_id, {sql_clean('html')} AS clean FROM pages")
 def clean_html(spark, sf):
-    return table(spark, sf, "pages").select("page_id", html.clean_html(F.col("html")).alias("clean"))
+    return heavy(spark, sf, "pages").select("page_id", html.clean_html(F.col("html")).alias("clean"))
 
 
 @query(f"WITH {SQL_TEXTS} SELECT page_id, text FROM texts")
 def html_to_text(spark, sf):
-    return table(spark, sf, "pages").select(
+    return heavy(spark, sf, "pages").select(
         "page_id", html.html_to_text(html.clean_html(F.col("html"))).alias("text")
     )
 
@@ -80,7 +80,7 @@ def html_to_text(spark, sf):
 @query(f"WITH p AS (SELECT page_id, replace(html, 'e', '&eacute;&#233;&#xE9;&#146;&bogus;') AS html FROM pages) SELECT page_id, {sql_entities('html')} AS decoded FROM p")
 def decode_entities(spark, sf):
     marked = F.replace("html", F.lit("e"), F.lit("&eacute;&#233;&#xE9;&#146;&bogus;"))
-    return table(spark, sf, "pages").select("page_id", html.decode_entities(marked).alias("decoded"))
+    return heavy(spark, sf, "pages").select("page_id", html.decode_entities(marked).alias("decoded"))
 
 
 @query("WITH p AS (SELECT doc_id, translate(text, 'eant', '' || chr(130) || chr(133) || chr(146) || chr(159)) AS text FROM documents) "
@@ -98,7 +98,7 @@ def page_title(spark, sf):
 @query(f"""WITH {SQL_TEXTS} SELECT page_id, length(text) AS nb_characters, {sql_line_breaks('text')} AS nb_sentences,
   length(title) AS title_nb_characters, greatest(1, {sql_breaks('title')})::BIGINT AS title_nb_sentences FROM texts""")
 def page_stats(spark, sf):
-    return extract.page_texts(table(spark, sf, "pages")).select(
+    return extract.page_texts(heavy(spark, sf, "pages")).select(
         "page_id", "nb_characters", "nb_sentences", "title_nb_characters", "title_nb_sentences"
     )
 
@@ -124,14 +124,14 @@ links AS (SELECT page_id, pos, regexp_replace(regexp_replace(link, '^([a-zA-Z]+:
 
 @query(f"WITH {SQL_LINKS} SELECT * FROM links")
 def extract_links(spark, sf):
-    return extract.extract_links(table(spark, sf, "pages"), "page_id")
+    return extract.extract_links(heavy(spark, sf, "pages"), "page_id")
 
 
 @query(f"""WITH {SQL_LINKS} SELECT page_id, link, min(pos) AS pos FROM links
 WHERE regexp_matches(link, '{ALLOW}') AND NOT regexp_matches(link, '{DENY}') AND link NOT IN (SELECT url FROM pages)
 GROUP BY page_id, link""")
 def select_links(spark, sf):
-    pages = table(spark, sf, "pages")
+    pages = heavy(spark, sf, "pages")
     return extract.select_links(extract.extract_links(pages, "page_id"), "page_id", pages.select("url"), True, ALLOW, DENY)
 
 
@@ -180,7 +180,7 @@ def extract_field_source(spark, sf):
 d AS (SELECT page_id, {sql_entities('u')} AS d FROM f)
 SELECT page_id, ({sql_replace('d', *SQUEEZE)})[2:-2] AS footer FROM d""")
 def extract_field(spark, sf):
-    return extract.extract_field(table(spark, sf, "pages"), "footer", tag="footer").select("page_id", "footer")
+    return extract.extract_field(heavy(spark, sf, "pages"), "footer", tag="footer").select("page_id", "footer")
 
 
 @query("SELECT starts_with(t, '<html>') AS is_source FROM (SELECT page_id, lower(html) AS t FROM pages WHERE html <> '' ORDER BY page_id LIMIT 1)")

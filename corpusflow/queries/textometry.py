@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.chars import characters
 from ..operators import textometry as tx
 from ..operators.concordance import highlight as highlight_column
-from .base import SQL_NON_WORD, query, sql_tokens, table
+from .base import SQL_NON_WORD, heavy, query, sql_tokens, table
 
 WORD = "the"
 SELECTION = ["src1", "src2", "src3"]
@@ -16,7 +16,7 @@ WINDOW = 5
 
 
 def doc_sections(spark: SparkSession, sf: str) -> DataFrame:
-    return tx.sections_by_row(table(spark, sf, "documents"), "doc_id", "source", ["text"])
+    return tx.sections_by_row(heavy(spark, sf, "documents"), "doc_id", "source", ["text"])
 
 
 def doc_tokens(spark: SparkSession, sf: str) -> DataFrame:
@@ -28,7 +28,7 @@ def doc_bow(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def source_bow(spark: SparkSession, sf: str) -> DataFrame:
-    pieces = tx.sections_by_group(table(spark, sf, "documents"), "source", ["doc_id"], ["text"])
+    pieces = tx.sections_by_group(heavy(spark, sf, "documents"), "source", ["doc_id"], ["text"])
     return tx.bag_of_words(tx.tokenize_groups(pieces, ["doc_id"]))
 
 
@@ -210,10 +210,10 @@ def sections_specific_under(spark, sf):
     return tx.sections_specific(tx.specificity(source_bow(spark, sf)), WORD, -1)
 
 
-@query(f"""WITH {TOKENS} SELECT coalesce(sum(len(tokens)) FILTER (section_id % 7 = 0), 0)::BIGINT AS selected_tokens,
-  count(*) FILTER (section_id % 7 = 0) AS selected_sections, sum(len(tokens))::BIGINT AS corpus_size FROM tok""")
+@query(f"""WITH {TOKENS} SELECT coalesce(sum(len(tokens)) FILTER (len(tokens) > 200), 0)::BIGINT AS selected_tokens,
+  count(*) FILTER (len(tokens) > 200) AS selected_sections, sum(len(tokens))::BIGINT AS corpus_size FROM tok""")
 def selection_summary(spark, sf):
-    return tx.selection_summary(doc_tokens(spark, sf), F.col("section_id") % 7 == 0)
+    return tx.selection_summary(doc_tokens(spark, sf), F.size("tokens") > 200)
 
 
 # ------------------------------------------------------------------ co-occurrence

@@ -53,8 +53,7 @@ def corpus_tables(spark, sf):
 @query(f"""WITH {SQL_CORPUS}, {SOME}
 SELECT rowid, url, link_origin_rowid, time, t.nb_characters AS title_nb_characters, t.nb_sentences AS title_nb_sentences, t.text AS title,
   x.nb_characters AS text_nb_characters, x.nb_sentences AS text_nb_sentences, x.text AS text
-FROM corpus JOIN cells t ON t.sourceid = rowid AND t.columnid = 1 JOIN cells x ON x.sourceid = rowid AND x.columnid = 2""".replace(
-    "t.text AS title,", "t.text AS title,").replace("x.text AS text\n", "x.text AS text\n"))
+FROM corpus JOIN cells t ON t.sourceid = rowid AND t.columnid = 1 JOIN cells x ON x.sourceid = rowid AND x.columnid = 2""")
 def textualize(spark, sf):
     sources = corpus(spark, sf).select("rowid", "url", "link_origin_rowid", "time")
     return views.textualize(sources, some_cells(spark, sf), TEXT_COLUMNS, 1)
@@ -114,7 +113,7 @@ def text_columns_of(spark, sf):
     return c.select(*[x for x in views.text_columns_of(c, without=("url",)) if x != "time"])
 
 
-GROUPS = r"www\.(SRC1?\d)\."
+GROUPS = r"www\.(SRC[01]?\d)\."
 SQL_GROUPS = f"""{SQL_CORPUS}, grouped AS (
   SELECT lower(CASE WHEN regexp_matches(url, '(?i){GROUPS}') THEN regexp_extract(url, '(?i){GROUPS}', 1) ELSE '_other_' END) AS group_key, rowid FROM corpus
   WHERE n_chars > 100)"""
@@ -122,10 +121,7 @@ SQL_GROUPS = f"""{SQL_CORPUS}, grouped AS (
 
 def grouped(spark, sf):
     c = corpus(spark, sf).where(F.col("n_chars") > 100)
-    return views.group_by_capture(c, "rowid", "url", GROUPS.replace("1?", "[01]?"), True)
-
-
-SQL_GROUPS = SQL_GROUPS.replace("SRC1?", "SRC[01]?")
+    return views.group_by_capture(c, "rowid", "url", GROUPS, True)
 
 
 @query(f"WITH {SQL_GROUPS} SELECT * FROM grouped")
