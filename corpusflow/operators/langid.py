@@ -71,12 +71,13 @@ def _padded(text: Column) -> Column:
 
 
 def _grams(text: Column, n: int) -> Column:
-    """All n-grams but the last one, from the array of characters (linear in the text)."""
-    chars = F.split(text, "")
-    starts = F.slice(chars, F.lit(1), F.greatest(F.length(text) - n, F.lit(0)))
-    return F.transform(starts, lambda c, i: F.array_join(F.slice(chars, i + 1, F.lit(n)), "")) if n != 3 else F.transform(
-        starts, lambda c, i: F.concat(c, F.get(chars, i + 1), F.get(chars, i + 2))
-    )
+    """All n-grams but the last one in one pass over the text.
+
+    A look-ahead takes ``n`` characters at every position that has one more behind them; the
+    second half of a surrogate pair is not a position.
+    """
+    pattern = rf"(?s)(?![\x{{DC00}}-\x{{DFFF}}])(?=(.{{{n}}}).)"
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
 
 
 def _weight(length: Column) -> Column:

@@ -36,7 +36,7 @@ SQL_DISTANCES = f"""{SQL_PROFILES}, {SQL_DOC_GRAMS},
 distances AS (SELECT id, l.lang, sum(abs(coalesce(p.weight, 0) - g.weight)) AS distance
   FROM doc_grams g CROSS JOIN (SELECT DISTINCT lang FROM profiles) l LEFT JOIN profiles p ON p.lang = l.lang AND p.gram = g.gram GROUP BY ALL),
 scores AS (SELECT id, lang, (distance / greatest(1, 1000000 // length(text)) / length(text) - 1) * -100 AS score
-  FROM distances JOIN documents ON doc_id = id)"""
+  FROM distances JOIN (SELECT doc_id AS id, text FROM documents) USING (id))"""
 
 
 @query(f"WITH {SQL_PROFILES} SELECT * FROM profiles")
