@@ -41,12 +41,12 @@ def heavy(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 BASE_URL = "http://www.{}.example.org/"
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+def corpus(spark: SparkSession, sf_dir: str, load: Callable[..., DataFrame] = table) -> DataFrame:
     """Documents as rows of a view: url, origin, time, title (first line) and text.
 
     Links form a tree: document d is linked from document d div 4.
     """
-    d = table(spark, sf_dir, "documents")
+    d = load(spark, sf_dir, "documents")
     return d.select(
         F.col("doc_id").alias("rowid"),
         F.concat(F.lit("http://www."), "source", F.lit(".example.org/"), "lang", F.lit("/"), F.col("doc_id").cast("string")).alias("url"),

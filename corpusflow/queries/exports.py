@@ -23,9 +23,9 @@ def sql_concordance(source: str, key: str, trim: bool) -> str:
           THEN array_to_string({words.format(right)}[:-2], ' ') ELSE {right} END"""
     return f"""cut AS (SELECT {key} AS id, text, string_split_regex(text, '{RE}') AS seg, regexp_extract_all(text, '{RE}') AS mat FROM {source}),
 one AS (SELECT id, text, seg, mat, unnest(mat) AS m, unnest(range(len(mat))) AS pos FROM cut),
-at AS (SELECT id, text, pos, m, 1 + list_sum(list_transform(seg[:pos + 1], lambda t: length(t)))::BIGINT
+located AS (SELECT id, text, pos, m, 1 + list_sum(list_transform(seg[:pos + 1], lambda t: length(t)))::BIGINT
     + coalesce(list_sum(list_transform(mat[:pos], lambda t: length(t))), 0)::BIGINT AS s FROM one),
-kwic AS (SELECT id, pos, {left} AS "left", m AS match, {right} AS "right" FROM at)"""
+kwic AS (SELECT id, pos, {left} AS "left", m AS match, {right} AS "right" FROM located)"""
 
 
 @query(f"WITH {sql_concordance('documents', 'doc_id', True)} SELECT id AS doc_id, pos, \"left\", match, \"right\" FROM kwic")

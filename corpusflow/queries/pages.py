@@ -248,3 +248,35 @@ def seed_from_results(spark, sf):
 def decode_bytes(spark, sf):
     stored = table(spark, sf, "documents").select("doc_id", F.encode("text", "UTF-16BE").alias("content"))
     return stored.select("doc_id", readers.decode_bytes(F.col("content"), "UTF-16BE").alias("text"))
+
+
+def sql_folder(kept: str) -> str:
+    return f"SELECT page_id || '.html' AS name, 'text/html' AS mime, html AS source FROM pages WHERE {kept}"
+
+
+@query(sql_folder("NOT starts_with(url, 'https://m.')"))
+def scan_folder(spark, sf):
+    """Pages are written as one file each, some as dot-files or of other kinds, and scanned."""
+    from ..plans.checkpoints import scratch_path
+    from ..sources.writers import write_files
+
+    pages = table(spark, sf, "pages")
+    mobile = F.startswith(F.col("url"), F.lit("https://m."))
+    number = F.col("page_id").cast("string")
+    name = F.when(mobile & (F.col("page_id") < 100), F.concat(F.lit("."), number, F.lit(".html"))).when(
+        mobile, F.concat(number, F.lit(".bin"))
+    ).otherwise(F.concat(number, F.lit(".html")))
+    folder = scratch_path(spark, "folder")
+    uri = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    write_files(pages.select(name.alias("file_name"), F.col("html").alias("content")), uri).count()
+    return readers.scan_folder(spark, folder).select(F.element_at(F.split("url", "/"), -1).alias("name"), "mime", "source")
+
+
+@query("SELECT 'http://x/' || page_id AS url, 0 AS level, 0::BIGINT AS origin FROM pages")
+def scan_seed_file(spark, sf):
+    """URLs are written one per line, with blanks around them, and read back."""
+    from ..plans.checkpoints import scratch_path
+
+    path = scratch_path(spark, "seeds")
+    table(spark, sf, "pages").select(F.concat(F.lit("  http://x/"), F.col("page_id").cast("string"), F.lit(" "))).write.text(path)
+    return readers.scan_seed_file(spark, path)

@@ -10,7 +10,7 @@ from ..functions.cells import escape_tags as escape_column
 from ..operators import views
 from ..operators.views import Condition, SavedSelection, Visible
 from ..sources import readers
-from .base import SQL_CORPUS, corpus, query, sql_breaks, table
+from .base import SQL_CORPUS, corpus, heavy, query, sql_breaks, table
 
 TEXT_COLUMNS = {1: "title", 2: "text"}
 SQL_CELLS = f"""cells AS (
@@ -22,7 +22,7 @@ CUT = datetime.datetime(2024, 1, 1, 5, 0)
 
 
 def cells(spark, sf):
-    return views.cells_of(corpus(spark, sf), "rowid", TEXT_COLUMNS)
+    return views.cells_of(corpus(spark, sf, heavy), "rowid", TEXT_COLUMNS)
 
 
 def some_cells(spark, sf):
