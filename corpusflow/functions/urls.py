@@ -61,7 +61,7 @@ def _merged(base: Column, link_path: Column) -> Column:
     """
     folder = _let(
         F.split(path(base), "/"),
-        lambda p: F.slice(p, F.lit(1), F.greatest(F.size(p) - 1, F.lit(0))),
+        lambda p: F.slice(p, F.lit(1), F.greatest(F.size(p) - 1, F.lit(1))),
     )
     return _let(
         F.concat(folder, F.split(link_path, "/")),

@@ -137,9 +137,10 @@ def stretches(piece_tokens: DataFrame, n: int) -> DataFrame:
 def bag_of_words(tokens: DataFrame) -> DataFrame:
     """(section, token) with its frequency."""
     return (
-        # outer: an array of tokens is never empty, and the plain form would add a
-        # filter on its size that tokenises the text a second time
+        # outer: the plain form would add a filter on the size of the array, which
+        # tokenises the text a second time
         tokens.select("section_id", F.explode_outer("tokens").alias("token"))
+        .where(F.col("token").isNotNull())
         .groupBy("section_id", "token")
         .agg(F.count("*").alias("freq"))
     )

@@ -116,8 +116,12 @@ def with_group_lines(pages: DataFrame, id_col: str, before: str = GROUP_BEFORE,
 
 
 def write_combined(pages: DataFrame, order: list[str], path: str) -> None:
-    """Text files whose concatenation in name order is the export, written in parallel."""
-    pages.orderBy(*order).select("page").write.option("lineSep", "").text(path)
+    """Text files whose concatenation in name order is the export, written in parallel.
+
+    Every page ends with a newline; the last one of each is written by the text format.
+    """
+    lines = pages.orderBy(*order).select(F.regexp_replace("page", r"\n\z", "").alias("page"))
+    lines.write.text(path)
 
 
 def export_sources(sources: DataFrame, view: DataFrame, id_col: str, url: str = "url", source: str = "source") -> DataFrame:
