@@ -51,7 +51,7 @@ def _dots_resolved(segments: Column) -> Column:
     )
     last_is_dots = F.element_at(segments, -1).isin(".", "..")
     joined = F.array_join(F.when(last_is_dots, F.array_append(kept, F.lit(""))).otherwise(kept), "/")
-    return F.when(joined == "", "/").otherwise(joined)
+    return F.when(F.startswith(joined, F.lit("/")), joined).otherwise(F.concat(F.lit("/"), joined))
 
 
 def _merged(base: Column, link_path: Column) -> Column:
