@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import cells, html, urls
+from ..plans.skew import lookup_join
 
 
 def page_texts(pages: DataFrame, url: str = "url", source: str = "html") -> DataFrame:
@@ -67,14 +68,19 @@ def select_links(
     allow: str | None = None,
     deny: str | None = None,
 ) -> DataFrame:
-    """First occurrence per page of every wanted link that is not in ``known(url)``."""
+    """First occurrence per page of every wanted link that is not in ``known(url)``, unique URLs."""
     wanted = links.where(urls.link_wanted(F.col("link"), restrict, allow, deny))
     first = wanted.groupBy(id_col, "link").agg(F.min("pos").alias("pos"))
-    # known is keyed by a unique url; a link shared by very many pages is reduced first
-    fresh = first.select("link").distinct().join(
-        known.select(F.col("url").alias("link")), "link", "left_anti"
+    # one row per link says whether it is known; a link that very many pages share,
+    # known or not, is answered by the bounded side of the look-up
+    marked = (
+        first.groupBy("link")
+        .agg(F.count("*").alias("n"))
+        .join(known.select(F.col("url").alias("link"), F.lit(True).alias("_known")), "link", "left")
+        .select("link", "n", F.coalesce("_known", F.lit(False)).alias("is_known"))
     )
-    return first.join(fresh, "link", "left_semi").select(id_col, "pos", "link")
+    looked_up = lookup_join(first, marked, "link", "is_known", F.col("n"), F.col(id_col))
+    return looked_up.where(~F.col("is_known")).select(id_col, "pos", "link")
 
 
 # ------------------------------------------------------------- fields by selector

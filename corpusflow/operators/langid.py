@@ -116,8 +116,7 @@ def train_profiles(labelled: DataFrame) -> DataFrame:
     )
     w = Window.partitionBy("lang").orderBy(F.desc("n"), F.desc("gram"))
     top = counted.withColumn("gram_rank", F.row_number().over(w)).where(F.col("gram_rank") <= PROFILE_SIZE)
-    # a row per language
-    return top.join(F.broadcast(sizes), "lang").select(
+    return top.join(sizes, "lang").select(
         "lang",
         "gram",
         # beyond SCALE characters the rounded weight of one gram would be 0

@@ -314,7 +314,7 @@ def drop_columns(
     gone = names.where(F.col("name").isin(*dropped)).select(F.col("id").alias("columnid"))
     return (
         sources.drop(*[c for c in dropped if c in sources.columns]),
-        texts.join(F.broadcast(gone), "columnid", "left_anti"),  # column definitions only
+        texts.join(gone, "columnid", "left_anti"),  # names are few: AQE makes this a broadcast
         names.where(~F.col("name").isin(*dropped)),
     )
 
