@@ -436,6 +436,7 @@ def collocation_graph(collspec: DataFrame, token: str, k: int = 5, depth: int =
         .where(F.col("rank") <= k)
         .select(F.col("token").alias("source"), F.col("collocate").alias("target"), "spec", "rank")
     )
+    best = stored(best, "best")  # read once per level; at most k rows per token
     edges = best.where(F.col("source") == token).withColumn("level", F.lit(0))
     frontier = edges
     for level in range(1, depth + 1):

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import crawl, extract
 from ..sources import readers
-from .base import SQL_CORPUS, corpus, query, sql_breaks, table
+from .base import SQL_CORPUS, corpus, query, sql_breaks, sql_line_breaks, table
+from .pages import SQL_TEXTS
 
 ALLOW, DENY = r"/(en|de)/", r"src1\d"
 LEVELS = 8
@@ -260,7 +261,9 @@ def replaced_counts(spark, sf):
     return readers.replaced_counts(page_rows(spark, sf).withColumn("nb_sentences", F.lit(3)), newer_rows(spark, sf))
 
 
-@query()
+@query(f"""WITH {SQL_TEXTS}
+SELECT page_id AS sourceid, 1 AS textualid, 1 AS columnid, title AS text, greatest(1, {sql_breaks('title')})::BIGINT AS nb_sentences, length(title) AS nb_characters FROM texts
+UNION ALL SELECT page_id, 1, 2, text, {sql_line_breaks('text')}, length(text) FROM texts""")
 def page_cells(spark, sf):
     pages = extract.page_texts(table(spark, sf, "pages"))
     return readers.page_cells(pages, "page_id")

@@ -303,7 +303,10 @@ def graph_levels(spark, sf):
     return tx.graph_levels(tx.collocation_graph(collocations(spark, sf)[0], WORD), WORD)
 
 
-@query()
+@query(f"""WITH {GRAPH}, levels AS (SELECT label, min(level) AS level FROM (
+  SELECT source AS label, level FROM edges UNION ALL SELECT target, level + 1 FROM edges) GROUP BY label)
+SELECT (SELECT '[' || string_agg('{{"source":"' || source || '","target":"' || target || '","spec":' || spec || ',"type":"suit"}}', ',' ORDER BY level, source, rank) || ']' FROM edges) AS links,
+  (SELECT '{{' || string_agg('"' || label || '":' || level, ',' ORDER BY label) || '}}' FROM levels) AS levels""")
 def graph_json(spark, sf):
     return tx.graph_json(tx.collocation_graph(collocations(spark, sf)[0], WORD), WORD)
 
