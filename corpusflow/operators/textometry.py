@@ -12,6 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.chars import characters
 from ..functions.hypergeom import with_specificity
 from ..functions.patterns import WORD_LIMIT, spark_regex
 from ..plans.checkpoints import stored
@@ -469,3 +470,19 @@ def graph_json(edges: DataFrame, token: str) -> DataFrame:
         F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "level"))))).alias("levels")
     )
     return links.withColumn("levels", levels.select("levels").scalar())
+
+
+# ---------------------------------------------------------------- display
+
+
+def describe_symbols(vocab: DataFrame) -> DataFrame:
+    """Add ``names`` to the distinct tokens that have no word character: their Unicode names."""
+    symbols = vocab.where(F.col("token").rlike(spark_regex(r"^\W+\z")))
+    names = F.broadcast(characters(vocab.sparkSession, ["char_name"]))  # the size of Unicode
+    parts = symbols.select("token", F.posexplode(F.split("token", "")).alias("pos", "char")).join(names, "char", "left")
+    named = parts.groupBy("token").agg(
+        F.array_join(
+            F.transform(F.array_sort(F.collect_list(F.struct("pos", "char_name"))), lambda s: s["char_name"]), " - "
+        ).alias("names")
+    )
+    return symbols.join(named, "token")

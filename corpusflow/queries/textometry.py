@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.chars import characters
 from ..operators import textometry as tx
 from ..operators.concordance import highlight as highlight_column
 from .base import SQL_NON_WORD, heavy, query, sql_tokens, table
@@ -318,12 +317,7 @@ def graph_json(spark, sf):
 def describe_symbols(spark, sf):
     """Names of the characters of all tokens that consist of other signs than letters."""
     words = table(spark, sf, "documents").select(F.explode_outer(F.split("text", r"\s+")).alias("token"))
-    symbols = words.where(F.col("token").rlike(r"(?U)^\W+\z")).groupBy("token").agg(F.count("*").alias("n"))
-    names = F.broadcast(characters(spark, ["char_name"]))  # the size of Unicode
-    parts = symbols.select("token", "n", F.posexplode(F.split("token", "")).alias("pos", "char")).join(names, "char", "left")
-    return parts.groupBy("token", "n").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "char_name"))), lambda s: s["char_name"]), " - ").alias("names")
-    )
+    return tx.describe_symbols(words.groupBy("token").agg(F.count("*").alias("n")))
 
 
 @query("SELECT doc_id, regexp_replace(text, '\\b(?:in)\\b', '<span style=''color:red''>\\0</span>', 'g') AS text FROM documents WHERE lang = 'en'")

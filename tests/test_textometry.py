@@ -90,3 +90,9 @@ def test_graph_levels(spark):
     edges = tx.collocation_graph(spec, "a", k=2, depth=1)
     assert {(r.source, r.target) for r in edges.collect()} == {("a", "b"), ("a", "c"), ("b", "d"), ("b", "a"), ("c", "e")}
     assert {r.label: r.level for r in tx.graph_levels(edges, "a").collect()} == {"a": 0, "b": 1, "c": 1, "d": 2, "e": 2}
+
+
+def test_describe_symbols(spark):
+    vocab = spark.createDataFrame([("§€", 2), ("a", 1), ("\x07", 1)], "token string, totfreq long")
+    got = {r.token: r.names for r in tx.describe_symbols(vocab).collect()}
+    assert got == {"§€": "SECTION SIGN - EURO SIGN", "\x07": "Cc:7"}
