@@ -6,7 +6,7 @@ import importlib
 
 from .common import QUERIES, SQL
 
-MODULES = ["exact_dedup", "token_index"]
+MODULES = ["simhash", "extraction", "exact_dedup", "token_index"]
 for _module in MODULES:
     importlib.import_module(f"corpusflow.llm.{_module}")
 

@@ -93,8 +93,6 @@ def word_encoder(tokenizer_file: str, dtype: str) -> Callable[[str], bytes]:
             last = end
 
     def learn(missing: set[str]) -> None:
-        if len(words) > CACHE:
-            words.clear()
         if len(cores) > CACHE:
             cores.clear()
         split, whole = {}, []
@@ -128,6 +126,8 @@ def word_encoder(tokenizer_file: str, dtype: str) -> Callable[[str], bytes]:
         try:
             return b"".join(map(words.__getitem__, parts))
         except KeyError:
+            if len(words) > CACHE:
+                words.clear()
             learn({p for p in parts if p not in words})
             return b"".join(map(words.__getitem__, parts))
 
