@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..plans.checkpoints import scratch_path, stored
 from ..queries.base import table
 
-__all__ = ["QUERIES", "SQL", "answer", "in_fold", "scratch_path", "stored", "table", "text_of", "words_of"]
+__all__ = ["QUERIES", "SQL", "answer", "in_fold", "scratch_path", "stored", "table", "text_of", "unused", "without", "words_of"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -40,6 +40,18 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``docs``, all columns, whose id is not in the only column of ``gone``; null ids stay."""
+    return docs.join(gone.distinct(), docs[id_col].cast("long") == gone[gone.columns[0]], "left_anti")
+
+
 def in_fold(id_col: str = "doc_id") -> Column:
     """Rows that are held out of training: crc32 of the id as text leaves 2 when divided by 4."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -6,7 +6,9 @@ import importlib
 
 from .common import QUERIES, SQL
 
-MODULES = ["simhash", "extraction", "exact_dedup", "token_index"]
+MODULES = [
+    "simhash", "extraction", "mixing", "compression_langid", "templates", "exact_dedup", "preferences", "toxicity", "ordinal_quality", "token_index",
+]
 for _module in MODULES:
     importlib.import_module(f"corpusflow.llm.{_module}")
 

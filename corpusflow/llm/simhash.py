@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..plans.skew import lookup_join
 from . import bloom
-from .common import answer, stored, table, words_of
+from .common import answer, stored, table, unused, without, words_of
 from .components import components
 
 SEED = 42
@@ -303,8 +303,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Rows without id stay.
     """
     groups = near_duplicates(docs, id_col=id_col, text_col=text_col, **settings)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(unused(docs, "gone")))
+    return without(docs, gone, id_col)
 
 
 # ------------------------------------------------------------------ query
