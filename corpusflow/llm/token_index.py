@@ -24,6 +24,7 @@ import string
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -36,8 +37,8 @@ from .common import answer, scratch_path, table, text_of
 ROWS = "doc_id long, shard long, row long, n_tokens long, file string"
 #: Keys of one index part: bounds the memory of the task that builds it or reads it.
 KEYS_PER_PART = 100_000
-#: Entries of each of the two caches of word pieces in a task.
-CACHE = 200_000
+#: Entries of each of the two caches of word pieces in a worker.
+CACHE = 300_000
 #: Characters where str.split would part a text and the tokenizer would not.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 #: Slots per key and level of the perfect hash.
@@ -68,6 +69,7 @@ def read_file(uri: str) -> bytes:
 # ------------------------------------------------------------------ encoding
 
 
+@lru_cache(maxsize=2)  # a worker keeps its caches from task to task
 def word_encoder(tokenizer_file: str, dtype: str) -> Callable[[str], bytes]:
     """Ids of a text by a tokenizer that ends tokens at white space, with caches of words.
 
