@@ -210,6 +210,9 @@ def label_blocks(blocks: list[Block]) -> None:
     """Both passes; sets ``label`` to "good" or "bad"."""
     inside = [b for b in blocks if b.article and not b.outside]
     has_article = sum(b.words for b in inside) >= ARTICLE_WORDS
+    # in a language without known function words their absence says nothing
+    around = [b for b in blocks if not b.outside]
+    served = sum(b.stops for b in around) >= STOP_DENSITY / 4 * sum(b.words for b in around)
     for i, b in enumerate(blocks):
         density = b.link_words / b.words if b.words else 0.0
         if b.outside or (has_article and not b.article):
@@ -221,9 +224,13 @@ def label_blocks(blocks: list[Block]) -> None:
         elif b.article and has_article:
             b.label = "good" if b.words >= SHORT else ""
         elif b.words >= SHORT:
-            b.label = "good" if b.stops / b.words >= STOP_DENSITY else "bad"
+            b.label = "good" if not served or b.stops / b.words >= STOP_DENSITY else "bad"
         elif re.match(r"(?:©|\(c\)|copyright\b)", b.text, re.I):
             b.label = "bad"
+    if not any(b.label == "good" for b in blocks):
+        # no prose at all: what no rule has spoken against is the text
+        for b in blocks:
+            b.label = b.label or "good"
     before: list[tuple[int, str] | None] = []
     last = None
     for i, b in enumerate(blocks):

@@ -144,7 +144,8 @@ def windows_of(texts: DataFrame, size: int, least_plain: int, ask=None, short: t
                     out["h"] += hashes[at].view(np.int64).tolist()
                     out["slots"] += [values[slots_before[i] : slots_before[i] + slots[i]] for i in at.tolist()]
                     out["n"] += [len(at) if ask is None else 0] * len(at)
-            yield pd.DataFrame(out).astype({"_id": "int64", "pos": "int32", "h": "int64", "n": "int32"})
+            if out["h"]:  # an empty column of lists has no type
+                yield pd.DataFrame(out).astype({"_id": "int64", "pos": "int32", "h": "int64", "n": "int32"})
 
     return texts.mapInPandas(run, SCHEMA)
 
