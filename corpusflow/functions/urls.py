@@ -12,6 +12,7 @@ FOLDER_PAGES = [
     "/index.html", "/index.htm", "/index.cgi", "/index.xml", "/index.rxml", "/index.php",
     "/default.asp", "/index.asp", "/default.aspx", "/index.aspx", "/index.shtml",
 ]
+NO_LINKS = r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\z)"
 ANCHOR = r"""(?is)<(?:a|area)(?=[\s/>])[^>]*?href=[ ]*(?:["'].*?["']|[^\s"'>]+)"""
 HREF = r"""(?is)href=[ ]*(?:["'](.*?)["']|([^\s"'>]+))"""
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:"

@@ -12,54 +12,40 @@ from pyspark.sql import functions as F
 from ..functions import urls
 from ..plans.checkpoints import cut
 from ..plans.ordered import running_rank, running_total
-from ..plans.skew import HOT_SHARE
+from ..functions.patterns import spark_regex
+from ..plans.skew import HOT_SHARE, lookup_join
 
 # ------------------------------------------------------------------ expansion
 
 
-def crawl_expand(
-    seeds: DataFrame, pages: DataFrame, links: DataFrame, max_level: int, level_to: int = -1
-) -> DataFrame:
+def crawl_expand(seeds: DataFrame, pages: DataFrame, links: DataFrame, level_to: int = -1) -> DataFrame:
     """Breadth-first closure: every reachable URL with its level, origin and state.
 
     ``seeds(url)``, ``pages(rowid, url)``, ``links(rowid, link)``. A link gets the
     smallest level at which it is found and the smallest origin of that level; it is
-    done if its page is stored, else it stays to do. One shuffle join and one aggregation
+    done if its page is stored, else it stays to do. The crawl goes on until no new link is
+    found, or to ``level_to`` if that is given. One shuffle join and one aggregation
     per level; each level is checkpointed, so plans stay short and lost executors
-    cost one level. Links of a page with very many of them are spread.
+    cost one level. Links of pages with very many of them stay where they are: of such pages
+    there are so few that those visited are broadcast.
     """
-    salts = 64
     per_page = links.groupBy("rowid").agg(F.count("*").alias("n"))
     total = links.select(F.count("*")).scalar()
-    hot = per_page.where(F.col("n") * HOT_SHARE > total).select(F.col("rowid").alias("hot_id"))
-    hot = cut(hot)  # at most HOT_SHARE rows
-    spread_links = cut(
-        links.join(F.broadcast(hot), F.col("rowid") == F.col("hot_id"), "left").select(
-            "rowid",
-            "link",
-            F.when(F.col("hot_id").isNull(), F.lit(0))
-            .otherwise(F.pmod(F.hash("link"), F.lit(salts)))
-            .alias("salt"),
-        )
-    )
+    hot = cut(per_page.where(F.col("n") * HOT_SHARE > total).select("rowid"))  # at most HOT_SHARE rows
+    few = cut(links.select("rowid", "link").join(F.broadcast(hot), "rowid"))
+    rest = cut(links.select("rowid", "link").join(F.broadcast(hot), "rowid", "left_anti"))
     level = 0
     frontier = cut(
         seeds.select("url").distinct().select("url", F.lit(0).alias("level"), F.lit(0).cast("long").alias("origin"))
     )
     found = frontier
-    while level < max_level and (level_to < 0 or level + 1 <= level_to):
-        visited = frontier.join(pages.select("rowid", "url"), "url").select("rowid")
-        salted = visited.join(F.broadcast(hot), F.col("rowid") == F.col("hot_id"), "left").select(
-            "rowid",
-            F.explode(
-                F.when(F.col("hot_id").isNull(), F.array(F.lit(0))).otherwise(
-                    F.sequence(F.lit(0), F.lit(salts - 1))
-                )
-            ).alias("salt"),
+    while level_to < 0 or level + 1 <= level_to:
+        visited = cut(frontier.join(pages.select("rowid", "url"), "url").select("rowid"))
+        followed = rest.join(visited, "rowid").unionByName(
+            few.join(F.broadcast(visited.join(F.broadcast(hot), "rowid", "left_semi")), "rowid")
         )
         frontier = cut(
-            spread_links.join(salted, ["rowid", "salt"])
-            .groupBy(F.col("link").alias("url"))
+            followed.groupBy(F.col("link").alias("url"))
             .agg(F.min("rowid").alias("origin"))
             .join(found.select("url"), "url", "left_anti")
             .select("url", F.lit(level + 1).alias("level"), "origin")
@@ -104,7 +90,7 @@ def redirect_chain_ok(chain: Column, allow: str | None, deny: str | None) -> Col
 
 
 def content_filter(df: DataFrame, text: str, pattern: str, ignore_case: bool = False) -> DataFrame:
-    return df.where(F.col(text).rlike(("(?iu)" if ignore_case else "") + pattern))
+    return df.where(F.col(text).rlike(spark_regex(pattern, ignore_case)))
 
 
 # ------------------------------------------------------------------ limits
@@ -129,7 +115,7 @@ def crawl_caps(
         accepted = (
             slim.groupBy("_sub").agg(F.min(order).alias("_seen")).orderBy("_seen").limit(max_subdomains)
         )
-        slim = slim.join(F.broadcast(accepted.select("_sub")), "_sub", "left_semi")
+        slim = slim.join(accepted.select("_sub"), "_sub", "left_semi")
     good = F.col("nb_characters") > 0
     if max_pages:
         slim = running_total(slim, [], [order], F.when(good, 1).otherwise(0), "_pages").where(
@@ -142,14 +128,23 @@ def crawl_caps(
     return pages.join(slim.select(order), order, "left_semi")
 
 
-def per_host_cap(links: DataFrame, order: str, url: str, n: int) -> DataFrame:
-    """The first ``n`` links of each host. The rank limit is applied before the shuffle too."""
+def per_host_cap(links: DataFrame, order: str, url: str, n: int, visited: DataFrame | None = None) -> DataFrame:
+    """The first ``n`` links of each host. The rank limit is applied before the shuffle too.
+
+    ``visited(host, n_visited)`` counts what was opened before. If no link is within the limit
+    then, the very first link is taken.
+    """
     w = Window.partitionBy("host").orderBy(order)
-    return (
-        links.withColumn("host", urls.host(F.col(url)))
-        .withColumn("host_rank", F.row_number().over(w))
-        .where(F.col("host_rank") <= n)
+    ranked = links.withColumn("host", urls.host(F.col(url))).withColumn("host_rank", F.row_number().over(w)).where(F.col("host_rank") <= n)
+    if visited is None:
+        return ranked
+    kept = (
+        ranked.join(visited.select("host", "n_visited"), "host", "left")
+        .withColumn("_left", F.col("host_rank") + F.coalesce("n_visited", F.lit(0)) <= n)
     )
+    good = kept.where("_left").drop("n_visited", "_left")
+    first = ranked.orderBy(order).limit(1).withColumn("_good", good.select(F.count("*")).scalar()).where("_good = 0").drop("_good")
+    return good.unionByName(first.select(*good.columns))
 
 
 def polite_schedule(links: DataFrame, order: str, url: str, delay: float) -> DataFrame:
@@ -165,6 +160,8 @@ def politeness_audit(log: DataFrame, host: str, ts: str, id_col: str, delay: flo
     Only an access in the same or the previous slot of ``delay`` seconds can be too
     close, so the log is compared slot by slot; a slot of a host is one aggregation.
     """
+    if delay <= 0:
+        return log.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n_accesses"), F.lit(0).cast("long").alias("too_soon"))
     us = F.unix_micros(F.col(ts).cast("timestamp"))
     slots = log.select(
         F.col(host).alias("host"), F.col(id_col).alias("id"), us.alias("us"),
@@ -193,12 +190,17 @@ def robots_rules(robots: DataFrame, host: str = "host", content: str = "content"
         F.lower(F.trim(F.substring_index("line", ":", 1))).alias("field"),
         F.trim(F.regexp_extract("line", r"^[^:]*:(.*)$", 1)).alias("value"),
     )
-    # rules follow the agent lines they belong to; a file is small, one host each
+    # agents that follow each other share the rules after them; a file is small, one host each
     w = Window.partitionBy("host").orderBy("pos")
-    agent = F.last(F.when(F.col("field") == "user-agent", F.col("value")), ignorenulls=True).over(w)
+    is_agent = F.col("field") == "user-agent"
+    starts = is_agent & (F.coalesce(F.lag("field").over(w), F.lit("")) != "user-agent")
+    record = Window.partitionBy("host", "record")
     return (
-        keyed.withColumn("agent", agent)
-        .where((F.col("agent") == "*") & F.col("field").isin("allow", "disallow"))
+        keyed.where("field <> ''")
+        .withColumn("record", F.when(starts, 1).otherwise(0))
+        .withColumn("record", F.sum("record").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("every", F.coalesce(F.bool_or(is_agent & (F.col("value") == "*")).over(record), F.lit(False)))
+        .where(F.col("every") & F.col("field").isin("allow", "disallow"))
         # an empty disallow allows everything
         .select("host", "pos", ((F.col("field") == "allow") | (F.col("value") == "")).alias("allow"), F.col("value").alias("prefix"))
     )
@@ -213,19 +215,18 @@ def robots_filter(links: DataFrame, url: str, rules: DataFrame) -> DataFrame:
     per_host = rules.groupBy("host").agg(
         F.array_sort(F.collect_list(F.struct("pos", "allow", "prefix"))).alias("_rules")
     )
-    salts = 32  # a host may hold a large share of the links
-    salted_rules = per_host.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    hosted = links.withColumn("host", urls.host(F.col(url)))
+    counted = per_host.join(hosted.groupBy("host").agg(F.count("*").alias("_n")), "host")
     target = F.when(urls.path(F.col(url)) == "", F.lit("/")).otherwise(
         F.regexp_replace(F.col(url), r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//[^/?#]*", "")
     )
-    joined = links.withColumn("host", urls.host(F.col(url))).withColumn(
-        "_salt", F.pmod(F.hash(url), F.lit(salts))
-    ).join(salted_rules, ["host", "_salt"], "left")
+    # a host may hold a large share of the links
+    joined = lookup_join(hosted, counted, "host", "_rules", F.col("_n"), F.col(url), "left")
     first = F.element_at(
         F.filter("_rules", lambda r: F.startswith(target, r["prefix"])), 1
     )["allow"]
     matched = F.coalesce(F.exists("_rules", lambda r: F.startswith(target, r["prefix"])), F.lit(False))
-    return joined.where(F.when(matched, first).otherwise(F.lit(True))).drop("_rules", "_salt")
+    return joined.where(F.when(matched, first).otherwise(F.lit(True))).drop("_rules")
 
 
 # ------------------------------------------------------------------ queue and statistics
@@ -318,27 +319,8 @@ def link_lineage(sources: DataFrame) -> DataFrame:
 
     The parent side is keyed by the unique rowid; a page that gave very many links is spread.
     """
-    salts = 32
-    parents = sources.select(
-        F.col("rowid").alias("link_origin_rowid"), F.col("url").alias("origin_url")
-    )
     children = sources.groupBy("link_origin_rowid").agg(F.count("*").alias("n"))
-    total = sources.select(F.count("*")).scalar()
-    hot = F.broadcast(  # at most HOT_SHARE rows
-        children.where(F.col("n") * HOT_SHARE > total).select(F.col("link_origin_rowid").alias("hot_id"))
-    )
-    right = parents.join(hot, F.col("link_origin_rowid") == F.col("hot_id"), "left").select(
-        "link_origin_rowid",
-        "origin_url",
-        F.explode(
-            F.when(F.col("hot_id").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(salts - 1)))
-        ).alias("_salt"),
-    )
-    left = sources.join(hot, F.col("link_origin_rowid") == F.col("hot_id"), "left").withColumn(
-        "_salt",
-        F.when(F.col("hot_id").isNull(), F.lit(0)).otherwise(F.pmod(F.hash("rowid"), F.lit(salts))),
-    )
-    return left.join(right, ["link_origin_rowid", "_salt"], "left").select(
-        "rowid", "url", "link_origin_rowid", "origin_url"
-    )
-
+    parents = sources.select(F.col("rowid").alias("link_origin_rowid"), F.col("url").alias("origin_url")).join(children, "link_origin_rowid")
+    return lookup_join(
+        sources.select("rowid", "url", "link_origin_rowid"), parents, "link_origin_rowid", "origin_url", F.col("n"), F.col("rowid"), "left"
+    ).select("rowid", "url", "link_origin_rowid", "origin_url")

@@ -36,9 +36,12 @@ def page_stats(df: DataFrame) -> DataFrame:
 
 
 def raw_links(source: Column) -> Column:
-    """Every href of an anchor or area tag in page order, cut at ``#`` and decoded."""
+    """Every href of an anchor or area tag in page order, cut at ``#`` and decoded.
+
+    Comments, scripts and styles hold no links.
+    """
     return F.transform(
-        F.regexp_extract_all(source, F.lit(urls.ANCHOR), F.lit(0)),
+        F.regexp_extract_all(F.regexp_replace(source, urls.NO_LINKS, " "), F.lit(urls.ANCHOR), F.lit(0)),
         lambda tag: html.decode_entities(
             F.substring_index(
                 F.concat(F.regexp_extract(tag, urls.HREF, 1), F.regexp_extract(tag, urls.HREF, 2)), "#", 1

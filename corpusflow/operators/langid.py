@@ -1,16 +1,23 @@
 """Language identification: script rules, then character-trigram profiles.
 
-Texts are ``(id, text)``. They are hash-partitioned by id once; counting, ranking and
-scoring are all keyed by the id, so no other exchange follows.
+Texts are ``(id, text)`` with unique ids. Grams and characters are counted and ranked within the row by one
+Arrow function, so a text is read once and never shuffled; scores are sums over its known grams.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.chars import characters
 from ..functions.patterns import spark_regex
+from ..plans.checkpoints import stored
+from ..plans.skew import lookup_join
 
 # Gram length, profile size, number of characters looked at for
 # the script, weight scale.
@@ -18,10 +25,6 @@ GRAM = 3
 PROFILE_SIZE = 500
 SCRIPT_CHARS = 200
 SCALE = 1_000_000
-# A profile table has at most PROFILE_SIZE rows per language; the number of
-# languages is checked against this before the table is broadcast.
-MAX_LANGUAGES = 1_000
-
 # Fixed values: (category, first word of the character name) -> language, or
 # "ngram" where profiles decide.
 SCRIPT_RULES = [
@@ -44,22 +47,29 @@ SCRIPT_RULES = [
     ("Ll", "LATIN", "ngram"),
     ("Lu", "LATIN", "ngram"),
 ]
-# Names of the languages that rules and profiles commonly give.
-# Further names come with register_language or a names table.
+# Names of languages by code.
 LANGUAGE_NAMES = {
-    "af": "Afrikaans", "ar": "Arabic", "az": "Azerbaijan", "bg": "Bulgarian", "bn": "Bengali",
-    "br": "Breton", "ca": "Catalan", "cdo": "Cantonese (Roman script)", "cs": "Czech",
-    "da": "Danish", "de": "German", "dv": "Dhivehi", "el": "Greek", "en": "English",
-    "eo": "Esperanto", "es": "Spanish", "et": "Estonian", "fa": "Persian", "fi": "Finnish",
-    "fr": "French", "fy": "Frisian", "ga": "Irish Gaelic", "gl": "Galician", "gu": "Gujarati",
-    "he": "Hebrew", "hi": "Hindi", "hu": "Hungarian", "id": "Indonesian", "it": "Italian",
-    "ja": "Japanese", "ka": "Georgian", "ko": "Korean", "mg": "Malagasy", "mr": "Marathi",
-    "ms": "Malay", "nl": "Dutch", "nn": "Norwegian (Nynorsk)", "no": "Norwegian",
-    "pcm": "Naija", "pl": "Polish", "ps": "Pashto", "pt": "Portuguese", "ro": "Romanian",
-    "ru": "Russian", "sk": "Slovakian", "sl": "Slovenian", "sv": "Swedish", "ta": "Tamil",
-    "th": "Thai", "tr": "Turkish", "uk": "Ukrainian", "ur": "Urdu", "uz": "Uzbek",
-    "vi": "Vietnamese", "vo": "Volapuk", "wo": "Wolof", "yo": "Yoruba", "zh": "Chinese",
+    "af": "Afrikaans", "als": "Alsatian", "ar": "Arabic", "az": "Azerbaijan", "be": "Belorussian", "bg": "Bulgarian", "bi": "Bislama",
+    "bn": "Bengali", "br": "Breton", "bs": "Bosnian", "ca": "Catalan", "cdo": "Cantonese (Roman script)", "chr": "Cherokee",
+    "co": "Corsican", "cs": "Czech", "csb": "Kashubian", "cy": "Welsh", "da": "Danish", "de": "German", "dk": "Danish", "dv": "Dhivehi",
+    "el": "Greek", "en": "English", "eo": "Esperanto", "es": "Spanish", "et": "Estonian", "eu": "Basque", "fa": "Persian",
+    "fi": "Finnish", "fo": "Faroese", "fr": "French", "fy": "Frisian", "ga": "Irish Gaelic", "gd": "Scottish Gaelic", "gl": "Galician",
+    "gn": "Guarani", "gu": "Gujarati", "gv": "Manx", "he": "Hebrew", "hi": "Hindi", "hr": "Croatian", "hu": "Hungarian",
+    "ia": "Interlingua", "id": "Indonesian", "io": "Ido", "is": "Icelandic", "it": "Italian", "ja": "Japanese", "jv": "Javanese",
+    "ka": "Georgian", "km": "Khmer", "ko": "Korean", "ks": "Kashmiri", "ku": "Kurdish", "la": "Latin", "lt": "Latvian", "lv": "Livonian",
+    "mg": "Malagasy", "mi": "Maori", "minnan": "Min-Nan", "mk": "Macedonian", "ml": "Malayalam", "mn": "Mongolian", "mr": "Marathi",
+    "ms": "Malay", "na": "Nauruan", "nah": "Nahuatl", "nb": "Norwegian (Bokmal)", "nds": "Lower Saxon", "nl": "Dutch", "no": "Norwegian",
+    "nn": "Norwegian (Nynorsk)", "oc": "Occitan", "om": "Oromo", "pcm": "Naija", "pl": "Polish", "ps": "Pashto", "pt": "Portuguese",
+    "ro": "Romanian", "roa-rup": "Aromanian", "ru": "Russian", "sa": "Sanskrit", "sh": "OBSOLETE, Serbocroatian", "si": "Sinhalese",
+    "simple": "Simple English", "sk": "Slovakian", "sl": "Slovenian", "sq": "Albanian", "sr": "Serbian", "st": "Sesotho", "su": "Sundanese",
+    "sv": "Swedish", "sw": "Swahili", "ta": "Tamil", "th": "Thai", "tl": "Tagalog", "tlh": "Klingon", "tokipona": "Toki Pona",
+    "tpi": "Tok Pisin", "tr": "Turkish", "tt": "Tatar", "uk": "Ukrainian", "ur": "Urdu", "uz": "Uzbek", "vi": "Vietnamese", "vo": "Volapuk",
+    "wa": "Walon", "xh": "isiXhosa", "yi": "Yiddish", "yo": "Yoruba", "wo": "Wolof", "za": "Zhuang", "zh": "Chinese",
+    "zh-cn": "Simplified Chinese", "zh-tw": "Traditional Chinese",
 }
+# What is said of a text or a code without known language.
+UNKNOWN_LANGUAGE = "unknown language! information: "
+UNKNOWN_NAME = "an unknown language, maybe "
 RIGHT_TO_LEFT = ["Arabic", "Hebrew", "Pashto", "Persian", "Urdu"]
 
 
@@ -85,20 +95,57 @@ def _weight(length: Column) -> Column:
     return F.greatest(F.lit(1).cast("long"), F.floor(F.lit(SCALE) / length))
 
 
+FEATURES = "id {id}, chars long, total long, category string, script string, grams array<struct<gram:string,weight:long,gram_rank:int>>"
+SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def _script_of(text: str) -> tuple[str, str]:
+    """Category and first word of the name that are most common among the most frequent characters."""
+    if len(text) < 2:
+        return "", ""
+    # the last character is not counted, as for all n-grams
+    counts = Counter(re.sub(f"[{SPACES}]+", " ", text)[:-1])
+    ranked = sorted(counts.items(), key=lambda c: (c[1], c[0]), reverse=True)[:SCRIPT_CHARS]
+    best = []
+    for fact in (unicodedata.category, lambda c: unicodedata.name(c, "").partition(" ")[0]):
+        seen: dict[str, list[int]] = {}
+        for place, (char, _) in enumerate(ranked):
+            if value := fact(char):
+                seen.setdefault(value, []).append(place)
+        # on a tie the value that appears later in the ranking wins
+        best.append(max(seen, key=lambda v: (len(seen[v]), seen[v][0]), default=""))
+    return best[0], best[1]
+
+
+def text_features(texts: DataFrame, n: int = GRAM, top: int | None = PROFILE_SIZE, looked_at: Column | None = None) -> DataFrame:
+    """``(id, chars, total, category, script, grams)``: what is known of a text by itself.
+
+    ``grams`` are its heaviest ``top`` with their weights and ranks, ties by gram; ``total`` sums the weights; the script is that of
+    ``looked_at``, or of the text.
+    """
+    def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        blanks = re.compile(f"[{SPACES}]+")
+        for batch in batches:
+            rows = []
+            for key, text, seen in zip(batch["id"], batch["text"], batch["seen"]):
+                grams: list[dict] = []
+                if text:
+                    padded = blanks.sub("_", f" {text} ")
+                    parts = [padded[i : len(padded) - n + i] for i in range(n)]
+                    counts = Counter(map("".join, zip(*parts)))
+                    heaviest = sorted(counts.items(), key=lambda g: (g[1], g[0]), reverse=True)[:top]
+                    add = max(1, SCALE // len(text))
+                    grams = [{"gram": g, "weight": c * add, "gram_rank": i + 1} for i, (g, c) in enumerate(heaviest)]
+                rows.append((key, len(text or ""), sum(g["weight"] for g in grams), *_script_of(seen or ""), grams))
+            yield pd.DataFrame(rows, columns=["id", "chars", "total", "category", "script", "grams"])
+
+    chosen = texts.select("id", "text", (F.col("text") if looked_at is None else looked_at).alias("seen"))
+    return chosen.mapInPandas(compute, FEATURES.format(id=chosen.schema["id"].dataType.simpleString()))
+
+
 def char_ngrams(texts: DataFrame, n: int = GRAM, top: int | None = PROFILE_SIZE) -> DataFrame:
-    """``(id, gram, weight)`` of each non-empty text, the heaviest ``top`` with ties by gram."""
-    counted = (
-        texts.where(F.length("text") > 0)
-        .repartition("id")
-        .select("id", _weight(F.length("text")).alias("add"), F.explode(_grams(_padded(F.col("text")), n)).alias("gram"))
-        .groupBy("id", "add", "gram")
-        .agg(F.count("*").alias("n"))
-        .select("id", "gram", (F.col("n") * F.col("add")).alias("weight"))
-    )
-    if top is None:
-        return counted
-    w = Window.partitionBy("id").orderBy(F.desc("weight"), F.desc("gram"))
-    return counted.withColumn("gram_rank", F.row_number().over(w)).where(F.col("gram_rank") <= top)
+    """``(id, gram, weight, gram_rank)`` of each non-empty text, the heaviest ``top`` with ties by gram."""
+    return text_features(texts, n, top).select("id", F.inline("grams"))
 
 
 def train_profiles(labelled: DataFrame) -> DataFrame:
@@ -126,14 +173,6 @@ def train_profiles(labelled: DataFrame) -> DataFrame:
     )
 
 
-def checked_profiles(profiles: DataFrame) -> DataFrame:
-    """The profile table, after a check that it is small enough to broadcast."""
-    languages = profiles.select("lang").distinct().limit(MAX_LANGUAGES + 1).count()
-    if languages > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages in the profiles")
-    return profiles
-
-
 def register_language(profiles: DataFrame, code: str, text: DataFrame) -> DataFrame:
     """Add or replace one profile, trained on ``text(text)``."""
     new = train_profiles(text.select(F.lit(code).alias("lang"), "text"))
@@ -144,35 +183,29 @@ def register_language(profiles: DataFrame, code: str, text: DataFrame) -> DataFr
 
 
 def profile_distance(texts: DataFrame, profiles: DataFrame) -> DataFrame:
-    """``(id, lang, score)`` for every language, 100 at best.
+    """``(id, lang, score)`` for every language, 100 at best."""
+    return _distances(text_features(texts), profiles)
+
+
+def _distances(features: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Scores from :func:`text_features`.
 
     The distance sums |profile - text| over the text's heaviest grams. Only grams that a
     profile knows are joined: all others contribute their own weight, which is one sum per
     text. A marker gram that every profile and every text has brings in the languages
     without any known gram, so no cross join is needed.
     """
-    known = checked_profiles(profiles).select("lang", "gram", F.col("weight").alias("known"))
+    known = profiles.select("lang", "gram", F.col("weight").alias("known"))
     marker = known.select("lang").distinct().select("lang", F.lit("").alias("gram"), F.lit(0).cast("long").alias("known"))
-    grams = char_ngrams(texts)
-    total = F.sum("weight").over(Window.partitionBy("id"))
-    first = F.col("gram_rank") == 1
-    marked = grams.withColumn("total", total).select(
-        "id", "total",
-        F.inline(
-            F.when(first, F.array(F.struct("gram", "weight"), F.struct(F.lit("").alias("gram"), F.lit(0).cast("long").alias("weight"))))
-            .otherwise(F.array(F.struct("gram", "weight")))
-        ),
-    )
-    summed = (
-        marked.join(F.broadcast(known.unionByName(marker)), "gram")
-        .groupBy("id", "total", "lang")
+    plain = F.transform("grams", lambda g: F.struct(g["gram"].alias("gram"), g["weight"].alias("weight")))
+    zero = F.struct(F.lit("").alias("gram"), F.lit(0).cast("long").alias("weight"))
+    marked = features.where(F.col("chars") > 0).select("id", "chars", "total", F.inline(F.array_append(plain, zero)))
+    distance = F.col("total") + F.col("shift")
+    return (
+        marked.join(known.unionByName(marker), "gram")
+        .groupBy("id", "chars", "total", "lang")
         .agg(F.sum(F.abs(F.col("known") - F.col("weight")) - F.col("weight")).alias("shift"))
-        .select("id", "lang", (F.col("total") + F.col("shift")).alias("distance"))
-    )
-    sizes = texts.where(F.length("text") > 0).select("id", F.length("text").alias("chars")).repartition("id")
-    return summed.join(sizes, "id").select(
-        "id", "lang",
-        ((F.col("distance") / _weight(F.col("chars")) / F.col("chars") - 1) * -100).alias("score"),
+        .select("id", "lang", ((distance / _weight(F.col("chars")) / F.col("chars") - 1) * -100).alias("score"))
     )
 
 
@@ -194,41 +227,7 @@ def dominant_script(texts: DataFrame) -> DataFrame:
     Each distinct character counts once. On a tie the value that appears later in the
     ranking of characters wins. Texts of fewer than two characters have neither.
     """
-    spark = texts.sparkSession
-    table = F.broadcast(characters(spark, ["category", "script_word"]))
-    squeezed = F.regexp_replace("text", spark_regex(r"\s+"), " ")
-    chars = F.split(squeezed, "")
-    # the last character is not counted, as for all n-grams
-    ranked = (
-        texts.where(F.length("text") >= 2)
-        .repartition("id")
-        .select("id", F.explode(F.slice(chars, F.lit(1), F.greatest(F.size(chars) - 1, F.lit(0)))).alias("char"))
-        .groupBy("id", "char")
-        .agg(F.count("*").alias("n"))
-        .withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), F.desc("char"))))
-        .where(F.col("place") <= SCRIPT_CHARS)
-    )
-    facts = ranked.join(table, "char", "left").select(
-        "id", "place", F.coalesce("category", F.lit("Cn")).alias("category"), "script_word"
-    )
-    # both questions in one pass: kind, value, place
-    asked = facts.select(
-        "id", "place",
-        F.inline(F.array(
-            F.struct(F.lit("category").alias("kind"), F.col("category").alias("value")),
-            F.struct(F.lit("script").alias("kind"), F.col("script_word").alias("value")),
-        )),
-    ).where(F.col("value").isNotNull())
-    counted = asked.groupBy("id", "kind", "value").agg(F.count("*").alias("n"), F.min("place").alias("seen"))
-    best = counted.groupBy("id").agg(
-        *[
-            F.max_by("value", F.when(F.col("kind") == k, F.struct("n", "seen"))).alias(k)
-            for k in ("category", "script")
-        ]
-    )
-    return texts.select("id").join(best, "id", "left").select(
-        "id", F.coalesce("category", F.lit("")).alias("category"), F.coalesce("script", F.lit("")).alias("script")
-    )
+    return text_features(texts, top=0).select("id", "category", "script")
 
 
 # ------------------------------------------------------------------ guesses
@@ -241,17 +240,22 @@ def _rule(category: Column, script: Column) -> Column:
     return out
 
 
+def _ruled(texts: DataFrame, remove_punct: bool) -> DataFrame:
+    """Features with the rule of the script; read twice, so they are stored: narrow next to the texts."""
+    looked_at = strip_digits_punct(F.col("text")) if remove_punct else None
+    return stored(text_features(texts, looked_at=looked_at), "features").withColumn("rule", _rule(F.col("category"), F.col("script")))
+
+
 def guess_language(texts: DataFrame, profiles: DataFrame, remove_punct: bool = False) -> DataFrame:
     """``(id, score, lang)``: by script rule where one is certain, else the best profile."""
-    looked_at = texts.select("id", strip_digits_punct(F.col("text")).alias("text")) if remove_punct else texts
-    ruled = dominant_script(looked_at).withColumn("rule", _rule(F.col("category"), F.col("script")))
-    best = best_profile(profile_distance(texts, profiles)).select(
+    ruled = _ruled(texts, remove_punct)
+    best = best_profile(_distances(ruled.where("rule = 'ngram'"), profiles)).select(
         "id", F.col("score").alias("best_score"), F.col("lang").alias("best_lang")
     )
-    unknown = F.concat(F.lit("unknown language! information: "), F.col("category"), F.lit(" "), F.col("script"))
+    unknown = F.concat(F.lit(UNKNOWN_LANGUAGE), F.col("category"), F.lit(" "), F.col("script"))
     by_profile = (F.col("rule") == "ngram") & F.col("best_lang").isNotNull()
     certain = F.col("rule") != "ngram"
-    return ruled.join(best, "id", "left").select(
+    return ruled.select("id", "category", "script", "rule").join(best, "id", "left").select(
         "id",
         F.when(by_profile, F.col("best_score")).when(certain, F.lit(100.0)).otherwise(F.lit(0.0)).alias("score"),
         F.when(by_profile, F.col("best_lang")).when(certain, F.col("rule")).otherwise(unknown).alias("lang"),
@@ -260,12 +264,10 @@ def guess_language(texts: DataFrame, profiles: DataFrame, remove_punct: bool = F
 
 def guess_language_list(texts: DataFrame, profiles: DataFrame, remove_punct: bool = False) -> DataFrame:
     """Like :func:`guess_language` but with every profile, best first by ``place``."""
-    looked_at = texts.select("id", strip_digits_punct(F.col("text")).alias("text")) if remove_punct else texts
-    ruled = dominant_script(looked_at).withColumn("rule", _rule(F.col("category"), F.col("script")))
+    ruled = _ruled(texts, remove_punct)
     w = Window.partitionBy("id").orderBy(F.desc("score"), F.desc("lang"))
-    scored = profile_distance(texts, profiles).withColumn("place", F.row_number().over(w))
-    by_profile = ruled.where(F.col("rule") == "ngram").join(scored, "id").select("id", "place", "score", "lang")
-    unknown = F.concat(F.lit("unknown language! information: "), F.col("category"), F.lit(" "), F.col("script"))
+    by_profile = _distances(ruled.where("rule = 'ngram'"), profiles).select("id", F.row_number().over(w).alias("place"), "score", "lang")
+    unknown = F.concat(F.lit(UNKNOWN_LANGUAGE), F.col("category"), F.lit(" "), F.col("script"))
     others = ruled.where(F.coalesce(F.col("rule") != "ngram", F.lit(True))).select(
         "id", F.lit(1).alias("place"),
         F.when(F.col("rule").isNotNull(), F.lit(100.0)).otherwise(F.lit(0.0)).alias("score"),
@@ -274,14 +276,23 @@ def guess_language_list(texts: DataFrame, profiles: DataFrame, remove_punct: boo
     return by_profile.unionByName(others)
 
 
-def language_name(code: Column) -> Column:
-    names = F.create_map(*[F.lit(v) for pair in LANGUAGE_NAMES.items() for v in pair])
-    return F.try_element_at(names, code)
+def language_name(code: Column, names: dict[str, str] = LANGUAGE_NAMES) -> Column:
+    """The name of a code; null for a code without name."""
+    table = F.create_map(*[F.lit(v) for pair in names.items() for v in pair])
+    return F.try_element_at(table, code)
+
+
+def guess_language_name(texts: DataFrame, profiles: DataFrame, names: dict[str, str] = LANGUAGE_NAMES) -> DataFrame:
+    """``(id, name)``: the guessed language by its name; an unknown one is told by category and script."""
+    facts = dominant_script(texts).select("id", F.concat(F.lit("('"), "category", F.lit("', '"), "script", F.lit("')")).alias("_facts"))
+    return guess_language(texts, profiles).join(facts, "id").select(
+        "id", F.coalesce(language_name(F.col("lang"), names), F.concat(F.lit(UNKNOWN_NAME), "_facts")).alias("name")
+    )
 
 
-def language_filter(texts: DataFrame, profiles: DataFrame, name: str) -> DataFrame:
+def language_filter(texts: DataFrame, profiles: DataFrame, name: str, names: dict[str, str] = LANGUAGE_NAMES) -> DataFrame:
     """Ids of the texts whose language has this name, punctuation not counted for the script."""
-    return guess_language(texts, profiles, remove_punct=True).where(language_name(F.col("lang")) == name)
+    return guess_language(texts, profiles, remove_punct=True).where(language_name(F.col("lang"), names) == name)
 
 
 def keep_language_paragraphs(texts: DataFrame, profiles: DataFrame, lang: str) -> DataFrame:
@@ -293,11 +304,10 @@ def keep_language_paragraphs(texts: DataFrame, profiles: DataFrame, lang: str) -
     keyed = lines.withColumn("line_key", F.sha2("line", 256))
     distinct = keyed.groupBy("line_key").agg(F.first("line").alias("text")).withColumnRenamed("line_key", "id")
     good = guess_language(distinct, profiles).where(F.col("lang") == lang).select(F.col("id").alias("line_key"))
-    salts = 32  # one line may be repeated in a large share of all texts
-    salted = good.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    counted = good.join(keyed.groupBy("line_key").agg(F.count("*").alias("n")), "line_key").withColumn("good", F.lit(True))
+    # one line may be repeated in a large share of all texts
     kept = (
-        keyed.withColumn("_salt", F.pmod(F.hash("id"), F.lit(salts)))
-        .join(salted, ["line_key", "_salt"], "left_semi")
+        lookup_join(keyed, counted, "line_key", "good", F.col("n"), F.hash("id", "pos"))
         .groupBy("id")
         .agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("l"))
         .select("id", F.array_join(F.transform("l", lambda s: F.concat(s["line"], F.lit("\n"))), "").alias("text"))

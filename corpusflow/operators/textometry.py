@@ -120,9 +120,9 @@ def stretches(piece_tokens: DataFrame, n: int) -> DataFrame:
     )
     position = F.col("offset") + F.col("i")
     own = (position / STRETCH).cast("long")
-    copies = F.when(
-        (position % STRETCH < n - 1) & (own > 0), F.array(own, own - 1)
-    ).otherwise(F.array(own))
+    # the earliest stretch whose windows still reach this token
+    earliest = F.greatest(F.lit(0).cast("long"), F.ceil((position - n + 2) / STRETCH) - 1)
+    copies = F.sequence(F.least(own, earliest), own)
     return (
         placed.select("section_id", "token", position.alias("position"), F.explode(copies).alias("stretch"))
         .groupBy("section_id", "stretch")
@@ -216,34 +216,40 @@ def _rarity(totfreq: Column, size: Column, corpus: Column) -> Column:
     return F.when(share < 1, -totfreq * F.log1p(-share)).otherwise(F.lit(float("inf")))
 
 
-def absent_cells(bow: DataFrame, threshold: float = 5.0, blocks: int = 16) -> DataFrame:
+def absent_cells(bow: DataFrame, threshold: float = 5.0, sections_per_block: int = 256) -> DataFrame:
     """Cells of frequency 0 whose probability may fall below the threshold.
 
-    The bound grows with the total frequency, so each section names the powers of two
-    from which tokens are frequent enough and is joined on that power; ``blocks``
-    splits the few powers over many tasks. The bound is checked for each pair and the cells
-    that do occur are removed.
+    The bound grows with the total frequency, so each section names the lowest power of two from
+    which tokens are frequent enough, and stands once, in a block of sections of its power. The
+    tokens, which are few for any section, are copied to the blocks of all powers up to their own:
+    one copy for about ``sections_per_block`` cells. The bound is checked for each pair and the
+    cells that do occur are removed.
     """
     needed = math.log(100 / threshold)
     corpus = bow.select(F.sum("freq")).scalar()
-    tokens = (
-        vocabulary(bow)
-        .withColumn("power", F.floor(F.log2("totfreq")).cast("int"))
-        .withColumn("block", F.pmod(F.hash("token"), F.lit(blocks)))
-    )
-    powers = F.filter(
-        F.sequence(F.lit(0), F.lit(45)),
-        lambda b: _rarity(F.pow(F.lit(2.0), b + 1) - 1, F.col("size"), F.greatest(F.col("corpus"), F.pow(F.lit(2.0), b + 1))) >= needed,
-    )
-    wanted = (
-        section_sizes(bow)
-        .select("section_id", "size")
-        .withColumn("corpus", corpus)
-        .withColumn("power", F.explode(powers))
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    first = F.get(
+        F.filter(
+            F.sequence(F.lit(0), F.lit(62)),
+            lambda b: _rarity(F.pow(F.lit(2.0), b + 1) - 1, F.col("size"), F.greatest(F.col("corpus"), F.pow(F.lit(2.0), b + 1))) >= needed,
+        ),
+        0,
+    )
+    wanted = stored(
+        section_sizes(bow).select("section_id", "size").withColumn("corpus", corpus).withColumn("power", first),
+        "wanted",
+    ).where("power IS NOT NULL")
+    # at most 63 rows, whatever the corpus
+    sizes = {r.power: -(-r["count"] // sections_per_block) for r in wanted.groupBy("power").count().collect()}
+    if not sizes:
+        return _cells_of_none(bow)
+    blocks = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])
+    tokens = vocabulary(bow).withColumn("_own", F.floor(F.log2("totfreq")).cast("int")).where(F.col("_own") >= min(sizes))
+    copies = tokens.withColumn("power", F.explode(F.filter(F.array(*map(F.lit, sorted(sizes))), lambda p: p <= F.col("_own")))).withColumn(
+        "block", F.explode(F.sequence(F.lit(0), F.element_at(blocks, F.col("power")) - 1))
     )
     pairs = (
-        wanted.join(tokens, ["power", "block"])
+        wanted.withColumn("block", F.pmod(F.xxhash64("section_id"), F.element_at(blocks, F.col("power"))).cast("int"))
+        .join(copies, ["power", "block"])
         .where(_rarity(F.col("totfreq").cast("double"), F.col("size"), F.col("corpus")) >= needed)
         .select("token", "section_id", F.lit(0).cast("long").alias("freq"), "totfreq", "size")
     )
@@ -252,6 +258,11 @@ def absent_cells(bow: DataFrame, threshold: float = 5.0, blocks: int = 16) -> Da
     )
 
 
+def _cells_of_none(bow: DataFrame) -> DataFrame:
+    zero = F.lit(0).cast("long")
+    return bow.limit(0).select("token", "section_id", zero.alias("freq"), zero.alias("totfreq"), zero.alias("size"))
+
+
 def specificity_of_selection(bow: DataFrame, chosen: Column, threshold: float = 5.0) -> DataFrame:
     """Specificity of every token of the corpus in the union of the chosen sections."""
     totals = bow.groupBy("token").agg(

@@ -11,6 +11,8 @@ from pyspark.sql.functions import pandas_udf
 
 from ..functions.cells import sentence_breaks, split_blanks
 from ..functions.patterns import never_empty, spark_regex, spark_replacement
+from ..plans.checkpoints import stored
+from ..plans.skew import lookup_join
 
 LEXICON_LIMIT = 2_000_000  # entries that may be broadcast; a larger lexicon is joined by shuffle
 
@@ -98,31 +100,35 @@ def project_annotation(annotated: Column, mode: str) -> Column:
     )
 
 
-def lemmatize_with(df: DataFrame, id_col: str, column: str, lexicon: DataFrame, out: str) -> DataFrame:
-    """Replace each token by its lemma from ``lexicon(form, lemma, tag)``; others stay.
+def lemmatize_with(df: DataFrame, id_col: str, column: str, lexicon: DataFrame, out: str, mode: str = "lemma") -> DataFrame:
+    """Replace each token by its lemma, tag or both from ``lexicon(form, lemma, tag)``; others stay.
 
-    Distinct forms are looked up, not tokens, so a frequent word is joined once per text,
-    and the result is put back with a map of the text's own forms.
+    Of several readings of a form the first by lemma and tag counts. Distinct forms are looked up,
+    not tokens, so a frequent word is joined once per text, and the result is put back with a
+    map of the text's own forms.
     """
+    shown = {
+        "lemma": lambda: F.col("lemma"), "tag": lambda: F.col("tag"),
+        "lemma-tag": lambda: F.concat("lemma", F.lit("-"), "tag"),
+    }[mode]()
     tokens = df.select(id_col, F.split(F.col(column), spark_regex(r"\s+")).alias("_tokens"))
-    forms = tokens.select(id_col, F.explode_outer(F.array_distinct("_tokens")).alias("form"))
-    # hot forms: "the" stands in nearly every text, so its rows are spread over salts
-    salts = 32
-    salted = forms.withColumn("_salt", F.pmod(F.hash(id_col), F.lit(salts)))
-    entries = lexicon.select("form", "lemma").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    forms = stored(tokens.select(id_col, F.explode(F.array_distinct("_tokens")).alias("form")), "forms")
+    tagged = lexicon if "tag" in lexicon.columns else lexicon.withColumn("tag", F.lit(None).cast("string"))
+    entries = (
+        tagged.where(F.col("form").isNotNull()).groupBy("form").agg(F.min(F.struct("lemma", "tag")).alias("first"))
+        .select("form", "first.*").select("form", shown.alias("said")).where(F.col("said").isNotNull())
     )
+    counted = stored(entries.join(forms.groupBy("form").agg(F.count("*").alias("n")), "form"), "entries")
     found = (
-        salted.join(entries, ["form", "_salt"])
+        # "the" stands in nearly every text
+        lookup_join(forms, counted, "form", "said", F.col("n"), F.col(id_col))
         .groupBy(id_col)
-        .agg(F.map_from_entries(F.collect_list(F.struct("form", "lemma"))).alias("_lemmas"))
-    )
-    lemmas = F.transform(
-        "_tokens", lambda t: F.coalesce(F.try_element_at(F.col("_lemmas"), t), t)
+        .agg(F.map_from_entries(F.collect_list(F.struct("form", "said"))).alias("_said"))
     )
+    replaced = F.transform("_tokens", lambda t: F.coalesce(F.try_element_at(F.col("_said"), t), t))
     done = tokens.join(found, id_col, "left").select(
         id_col,
-        F.when(F.col("_lemmas").isNull(), F.array_join("_tokens", " ")).otherwise(F.array_join(lemmas, " ")).alias(out),
+        F.when(F.col("_said").isNull(), F.array_join("_tokens", " ")).otherwise(F.array_join(replaced, " ")).alias(out),
     )
     return df.join(done, id_col)
 

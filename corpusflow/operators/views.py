@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,11 +35,11 @@ def textualize(sources: DataFrame, texts: DataFrame, columns: dict[int, str], vi
         here = F.col("columnid") == number
         for value, suffix in (("nb_characters", "_nb_characters"), ("nb_sentences", "_nb_sentences"), ("text", "")):
             aggregates.append(F.first(F.when(here, F.col(value)), ignorenulls=True).alias(name + suffix))
-    present = F.count_distinct(F.when(F.col("columnid").isin(*columns), F.col("columnid")))
+    present = reduce(and_, [F.bool_or(F.col("columnid") == number) for number in columns])
     wide = (
         wanted.groupBy(F.col("sourceid").alias("rowid"))
         .agg(*aggregates, present.alias("_present"))
-        .where(F.col("_present") == len(columns))
+        .where("_present")
         .drop("_present")
     )
     return sources.drop("source").join(wide, "rowid")
@@ -144,7 +146,9 @@ class Condition:
 
     def predicate(self) -> Column:
         c, v = F.col(self.column), self.value
-        like = {"whole word": f"% {v} %", "contains": f"%{v}%"}
+        # a backslash stands for itself; percent and underscore are wild
+        plain = str(v).replace("\\", "\\\\")
+        like = {"whole word": f"% {plain} %", "contains": f"%{plain}%"}
         if self.operation in like:
             return c.ilike(like[self.operation])
         if self.operation in ("before", "after"):
@@ -381,24 +385,21 @@ def source_by_id(df: DataFrame, id_col: str, value: int) -> DataFrame:
 def sample_prefix(df: DataFrame, id_col: str, column: str, n_chars: int) -> DataFrame:
     """Texts in order, joined until at least ``n_chars`` characters are there.
 
-    Every non-empty text has a character, so the first ``n_chars`` of them suffice: the top-k
-    runs per partition and the ordered part is bounded by the parameter.
+    Every non-empty text has a character, so the first ``n_chars`` of them suffice: they are
+    chosen by their lengths, and only the texts that are needed are fetched.
     """
     first = (
-        df.where(F.length(column) > 0).select(id_col, F.col(column).alias("_t")).orderBy(id_col).limit(n_chars)
+        df.where(F.length(column) > 0).select(id_col, F.length(column).alias("_n")).orderBy(id_col).limit(n_chars)
     )
     before = F.coalesce(
-        F.sum(F.length("_t")).over(Window.orderBy(id_col).rowsBetween(Window.unboundedPreceding, -1)),
+        F.sum("_n").over(Window.orderBy(id_col).rowsBetween(Window.unboundedPreceding, -1)),
         F.lit(0),
     )
-    return (
-        first.withColumn("_before", before)
-        .where(F.col("_before") < n_chars)
-        .agg(
-            F.array_join(
-                F.transform(F.array_sort(F.collect_list(F.struct(id_col, "_t"))), lambda s: s["_t"]), ""
-            ).alias("sample")
-        )
+    chosen = first.withColumn("_before", before).where(F.col("_before") < n_chars).select(id_col)
+    return df.select(id_col, F.col(column).alias("_t")).join(chosen, id_col, "left_semi").where(F.length("_t") > 0).agg(
+        F.array_join(
+            F.transform(F.array_sort(F.collect_list(F.struct(id_col, "_t"))), lambda s: s["_t"]), ""
+        ).alias("sample")
     )
 
 

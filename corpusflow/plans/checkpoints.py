@@ -34,8 +34,14 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/corpusflow/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, as a URI of its file system.
+
+    A folder without scheme lies in the default file system, for Spark as for files that
+    tasks write themselves.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark).rstrip('/')}/corpusflow/{name}-{uuid.uuid4().hex}")
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return "file://" + whole[len("file:"):] if whole.startswith("file:/") and not whole.startswith("file://") else whole
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows out when there are fewer input files than cores.
+    """Deal the rows out when the scan has fewer tasks than there are cores.
 
     A file of one row group is read by one task, and the work per text is high. With
-    as many files as cores, as on any large corpus, the rows stay where they are.
+    as many splits as cores, as on any large corpus, the rows stay where they are. Results
+    are the same either way.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -10,7 +10,6 @@ from .base import SQL_CORPUS, corpus, query, sql_breaks, sql_line_breaks, table
 from .pages import SQL_TEXTS
 
 ALLOW, DENY = r"/(en|de)/", r"src1\d"
-LEVELS = 8
 
 # Every document is linked from document d div 4, and links on to document 7d + 3.
 SQL_GRAPH = SQL_CORPUS + """,
@@ -31,9 +30,10 @@ def graph(spark, sf):
 
 @query(f"""WITH RECURSIVE {SQL_GRAPH},
 edges AS (SELECT s.url, l.rowid, l.link FROM stored s JOIN links l USING (rowid)),
-reach(url, level) AS (
+reach(url, level) USING KEY (url) AS (
   SELECT url, 0 FROM corpus WHERE rowid = 0
-  UNION SELECT e.link, r.level + 1 FROM reach r JOIN edges e ON e.url = r.url WHERE r.level < {LEVELS}),
+  UNION SELECT e.link, min(r.level) + 1 FROM reach r JOIN edges e ON e.url = r.url
+  WHERE NOT EXISTS (SELECT 1 FROM recurring.reach k WHERE k.url = e.link) GROUP BY e.link),
 first AS (SELECT url, min(level)::INTEGER AS level FROM reach GROUP BY url)
 SELECT f.url, f.level, coalesce(min(e.rowid), 0)::BIGINT AS origin, f.url IN (SELECT url FROM stored) AS done
 FROM first f LEFT JOIN (SELECT e.link, e.rowid, p.level FROM edges e JOIN first p ON p.url = e.url) e
@@ -42,7 +42,7 @@ GROUP BY f.url, f.level""")
 def crawl_expand(spark, sf):
     stored, links = graph(spark, sf)
     seeds = stored.where("rowid = 0").select("url")
-    return crawl.crawl_expand(seeds, stored, links, LEVELS)
+    return crawl.crawl_expand(seeds, stored, links)
 
 
 TURNS = "SELECT conv_id || '/' || turn AS url, turn AS level, conv_id AS batch, turn AS pos FROM conversations"

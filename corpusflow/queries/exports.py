@@ -119,13 +119,13 @@ def export_files(spark, sf):
         F.concat(F.col("rowid").cast("string"), F.lit(".txt")).alias("file_name"), "content"
     )
     folder = scratch_path(spark, "files")
-    return writers.write_files(contents, folder if folder.startswith("file:") or "://" in folder else f"file://{folder}")
+    return writers.write_files(contents, folder)
 
 
-@query(f"WITH {SQL_CORPUS} SELECT rowid, url, translate(text, chr(10) || chr(9), '↩⇥') AS text FROM corpus WHERE text <> ''")
+@query(f"WITH {SQL_CORPUS} SELECT rowid, url, translate(text, chr(10) || chr(9), '↩⇥') AS text FROM corpus")
 def save_table(spark, sf):
     """A table is written with a header and read back."""
     path = scratch_path(spark, "table")
-    writers.save_table(corpus(spark, sf).where("text <> ''").select("rowid", "url", "text"), path)
+    writers.save_table(corpus(spark, sf).select("rowid", "url", "text"), path)
     schema = "rowid long, url string, text string"
     return spark.read.option("sep", "\t").option("header", "true").option("quote", "").schema(schema).csv(path)

@@ -103,8 +103,7 @@ def load_profiles(spark, sf):
     ), "\n")
     files = trained.groupBy("lang").agg(lines.alias("content")).select(F.concat("lang", F.lit(".ng")).alias("file_name"), "content")
     folder = scratch_path(spark, "profiles")
-    uri = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
-    write_files(files, uri).count()
+    write_files(files, folder).count()
     return read_profiles(spark, folder)
 
 

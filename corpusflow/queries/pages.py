@@ -267,8 +267,7 @@ def scan_folder(spark, sf):
         mobile, F.concat(number, F.lit(".bin"))
     ).otherwise(F.concat(number, F.lit(".html")))
     folder = scratch_path(spark, "folder")
-    uri = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
-    write_files(pages.select(name.alias("file_name"), F.col("html").alias("content")), uri).count()
+    write_files(pages.select(name.alias("file_name"), F.col("html").alias("content")), folder).count()
     return readers.scan_folder(spark, folder).select(F.element_at(F.split("url", "/"), -1).alias("name"), "mime", "source")
 
 

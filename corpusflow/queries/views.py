@@ -115,13 +115,11 @@ def text_columns_of(spark, sf):
 
 GROUPS = r"www\.(SRC[01]?\d)\."
 SQL_GROUPS = f"""{SQL_CORPUS}, grouped AS (
-  SELECT lower(CASE WHEN regexp_matches(url, '(?i){GROUPS}') THEN regexp_extract(url, '(?i){GROUPS}', 1) ELSE '_other_' END) AS group_key, rowid FROM corpus
-  WHERE n_chars > 100)"""
+  SELECT lower(CASE WHEN regexp_matches(url, '(?i){GROUPS}') THEN regexp_extract(url, '(?i){GROUPS}', 1) ELSE '_other_' END) AS group_key, rowid FROM corpus)"""
 
 
 def grouped(spark, sf):
-    c = corpus(spark, sf).where(F.col("n_chars") > 100)
-    return views.group_by_capture(c, "rowid", "url", GROUPS, True)
+    return views.group_by_capture(corpus(spark, sf), "rowid", "url", GROUPS, True)
 
 
 @query(f"WITH {SQL_GROUPS} SELECT * FROM grouped")

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import codecs
 import mimetypes
+import re
+from collections.abc import Iterator
 
+import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.urls import host
 from ..operators.views import with_cell_stats
 
 SOURCES = T.StructType([
@@ -71,12 +77,13 @@ def readable_mime(path: Column) -> Column:
 def scan_folder(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
     """Every importable file below the folder as a source; dot-files are left out.
 
-    The content of PDF files is not decoded and stays null.
+    The content of PDF files is not decoded and stays null. Files that a folder scan hides, because
+    their name or a folder above begins with ``_`` or ``.``, are read by their own paths.
     """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    hidden = _hidden_files(spark, path)
     files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(path)
+        (found.unionByName(_read_files(spark, hidden)) if hidden else found)
         .withColumn("mime", readable_mime(F.col("path")))
         .where(F.col("mime").isNotNull() & ~F.col("path").rlike(r"/\.[^/]*$"))
     )
@@ -89,8 +96,45 @@ def scan_folder(spark: SparkSession, path: str, encoding: str = "utf-8") -> Data
     )
 
 
+def _hidden_files(spark: SparkSession, path: str) -> list[str]:
+    """Paths below the folder that are no dot-files themselves but that a scan of it would not show."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    base, listed, found = system.makeQualified(root).toString().rstrip("/"), system.listFiles(root, True), []
+    while listed.hasNext():
+        file = listed.next().getPath().toString()
+        parts = file[len(base) + 1 :].split("/")
+        if not parts[-1].startswith(".") and any(p[:1] in ("_", ".") for p in parts):
+            found.append(file)
+    return found
+
+
+def _read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The given files in the columns of a binary scan, opened by the tasks."""
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path in batch["path"]:
+                system, place = pafs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+                info = system.get_file_info(place)
+                with system.open_input_file(place) as f:
+                    content = f.read()
+                yield pd.DataFrame({"path": [path], "modificationTime": [info.mtime], "length": [info.size], "content": [content]})
+
+    listed = spark.createDataFrame([(p,) for p in paths], "path string").repartition(min(len(paths), spark.sparkContext.defaultParallelism))
+    return listed.mapInPandas(read, "path string, modificationTime timestamp, length long, content binary")
+
+
 def decode_bytes(content: Column, encoding: str = "utf-8") -> Column:
-    return F.decode(content, encoding)
+    """Text of stored bytes; what the encoding does not allow becomes the replacement sign."""
+    if encoding.lower().replace("_", "-") in ("utf-8", "utf8"):
+        return F.make_valid_utf8(content.cast("string"))
+    name = codecs.lookup(encoding).name
+
+    @F.pandas_udf("string")
+    def decoded(values: pd.Series) -> pd.Series:
+        return values.map(lambda b: None if b is None else bytes(b).decode(name, "replace"))
+
+    return decoded(content)
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -166,7 +210,8 @@ def segment_by_marker(texts: DataFrame, id_col: str, column: str) -> DataFrame:
 
 
 def _with_scheme(url: Column) -> Column:
-    return F.when(url.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), url).otherwise(F.concat(F.lit("http://"), url))
+    """As it is where it names a host, after a scheme or after two slashes alone."""
+    return F.when(host(url) != "", url).otherwise(F.concat(F.lit("http://"), url))
 
 
 def _as_seeds(urls: DataFrame, origin: int) -> DataFrame:

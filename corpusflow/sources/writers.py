@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import escape_tags
 from ..operators.concordance import mark_matches
+from ..plans.checkpoints import cut
 from ..plans.ordered import running_rank
 
 # Default separators and the marks that are replaced in them.
@@ -156,16 +157,34 @@ def file_names(df: DataFrame, id_col: str, url: str | None = None, overwrite: bo
         )
     full = named.select(id_col, F.concat("name", F.lit(".txt")).alias("file_name"))
     long = F.length("file_name") > NAME_LIMIT
-    cut = full.where(long).select(id_col, F.concat(F.left("file_name", F.lit(NAME_CUT)), F.lit(NAME_CUT_END)).alias("file_name"))
-    cut = running_rank(cut, ["file_name"], [id_col], "_k")
+    shortened = full.where(long).select(id_col, F.concat(F.left("file_name", F.lit(NAME_CUT)), F.lit(NAME_CUT_END)).alias("file_name"))
+    shortened = running_rank(shortened, ["file_name"], [id_col], "_k")
     number = (F.col("_k") - 1).cast("string")
-    renamed = cut.select(
+    renamed = shortened.select(
         id_col,
         F.when(F.col("_k") == 1, F.col("file_name"))
         .otherwise(F.concat(F.left("file_name", F.length("file_name") - F.length(number)), number))
         .alias("file_name"),
     )
-    return full.where(~long).unionByName(renamed)
+    given = full.where(~long).unionByName(renamed)
+    return given if overwrite else _apart(given, id_col)
+
+
+def _apart(names: DataFrame, id_col: str) -> DataFrame:
+    """New names may meet others: those that do are changed again until none does."""
+    turn = 0
+    while True:
+        ranked = running_rank(names, ["file_name"], [id_col], "_k")
+        names = cut(ranked.select(id_col, "file_name", "_k"))
+        if names.where("_k > 1").isEmpty():
+            return names.drop("_k")
+        turn += 1
+        stem = F.expr("left(file_name, length(file_name) - 4)")
+        suffixed = F.concat(stem, F.repeat(F.lit(CLASH_SUFFIX), (F.col("_k") - 1).cast("int")), F.lit(".txt"))
+        number = (F.col("_k") - 1 + 1000 * turn).cast("string")
+        numbered = F.concat(F.left(stem, F.length(stem) - F.length(number)), number, F.lit(".txt"))
+        again = F.when(F.length(suffixed) <= NAME_LIMIT, suffixed).otherwise(numbered)
+        names = names.select(id_col, F.when(F.col("_k") == 1, F.col("file_name")).otherwise(again).alias("file_name"))
 
 
 def file_contents(df: DataFrame, id_col: str, columns: list[str], layout: str = "plain") -> DataFrame:
@@ -185,8 +204,11 @@ def write_files(named: DataFrame, folder: str) -> DataFrame:
 
     ``folder`` is a URI that every executor can reach. Each file is written under a name of
     its own attempt and then renamed, so a repeated task leaves the same files.
-    Gives ``(file_name, n_chars)`` when run.
+    Gives ``(file_name, n_chars)`` when run. Equal names are refused: one file would replace another.
     """
+    if not named.groupBy("file_name").count().where("count > 1").isEmpty():
+        raise ValueError("two rows have the same file name")
+
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import uuid
 

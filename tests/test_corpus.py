@@ -43,9 +43,9 @@ def test_crawl_levels_of_a_small_graph(spark):
         [(1, "p2"), (1, "p3"), (2, "p3"), (2, "p4"), (3, "p1"), (4, "p5")], "rowid long, link string"
     )
     seeds = spark.createDataFrame([("p1",)], "url string")
-    got = {r.url: (r.level, r.origin, r.done) for r in crawl.crawl_expand(seeds, pages, links, 10).collect()}
+    got = {r.url: (r.level, r.origin, r.done) for r in crawl.crawl_expand(seeds, pages, links).collect()}
     assert got == {"p1": (0, 0, True), "p2": (1, 1, True), "p3": (1, 1, True), "p4": (2, 2, True), "p5": (3, 4, False)}
-    assert "p5" not in {r.url for r in crawl.crawl_expand(seeds, pages, links, 10, level_to=2).collect()}
+    assert "p5" not in {r.url for r in crawl.crawl_expand(seeds, pages, links, level_to=2).collect()}
 
 
 def test_nice_time(spark):
