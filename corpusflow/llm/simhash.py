@@ -162,10 +162,12 @@ def tree_links(entries: DataFrame, keys: list[str], radius: int, block: int, sim
     hashes) if a ``similarity`` is to be verified. Shards of one entry are dropped by their count.
     Larger ones are dealt into blocks of about ``block`` entries; each pair of blocks is one group.
     """
-    sizes = entries.groupBy(*keys).agg(F.count("*").alias("_size")).where("_size > 1")
+    whole = entries.withColumn("_shard", F.struct(*keys)).drop(*keys)
+    sizes = whole.groupBy("_shard").agg(F.count("*").alias("_size")).where("_size > 1")
     blocks = F.ceil(F.col("_size") / block).cast("int")
+    # a shard of many entries is never brought together, not even to learn its size
     placed = (
-        entries.join(sizes, keys)
+        lookup_join(whole, sizes, "_shard", "_size", F.col("_size"), F.col("id"))
         .withColumn("_blocks", blocks)
         .withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
@@ -173,7 +175,7 @@ def tree_links(entries: DataFrame, keys: list[str], radius: int, block: int, sim
         .withColumn("_hi", F.greatest("_own", "_other"))
     )
     carried = ["id", "fp", F.col("_own").alias("block"), *(["shingles"] if similarity is not None else [])]
-    groups = placed.groupBy(*keys, "_lo", "_hi").agg(F.collect_list(F.struct(*carried)).alias("members")).where(F.size("members") > 1)
+    groups = placed.groupBy("_shard", "_lo", "_hi").agg(F.collect_list(F.struct(*carried)).alias("members")).where(F.size("members") > 1)
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
