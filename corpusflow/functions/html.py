@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .patterns import spark_regex
 
-# Tags that end a line, endings of a URL that name the folder's
-# own page, and the typographic characters behind the codes 130-159.
+# Tags that end a line, the typographic characters behind the codes
+# 130-159, elements that are dropped, and what counts as an entity or an advert's anchor.
 NEWLINE_TAGS = [
     "</div>", "<table>", "</td>", "</tr>", "</h1>", "</h2>", "</h3>", "<br>", "<br/>",
     "</p>", "<p>", "<hr>", "<hr/>", "<center>", "</center>", "<ul>", "</ul>",

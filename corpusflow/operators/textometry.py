@@ -170,13 +170,11 @@ def corpus_size(tokens: DataFrame) -> DataFrame:
 
 
 def lexical_table(bow: DataFrame) -> DataFrame:
-    """Types by sections in sparse form with both margins."""
-    with_total = lookup_join(
-        bow, vocabulary(bow), "token", "totfreq", F.col("totfreq"), F.col("section_id")
-    )
-    return lookup_join(
-        with_total, section_sizes(bow), "section_id", "size", F.col("size"), F.col("token")
-    ).select("token", "section_id", "freq", "totfreq", "size")
+    """Types by sections in sparse form with both margins; ``bow`` is read three times, so store it."""
+    # each is read for its sum, its hot and its other keys
+    totals, sizes = stored(vocabulary(bow), "vocabulary"), stored(section_sizes(bow), "sizes")
+    with_total = lookup_join(bow, totals, "token", "totfreq", F.col("totfreq"), F.col("section_id"))
+    return lookup_join(with_total, sizes, "section_id", "size", F.col("size"), F.col("token")).select("token", "section_id", "freq", "totfreq", "size")
 
 
 def lexical_matrix(bow: DataFrame, section_ids: list) -> DataFrame:
@@ -396,6 +394,7 @@ def collocation_specificity(
 
     The collocate's surroundings are taken as a section of ``n`` times its frequency.
     """
+    vocab = stored(vocab, "vocabulary")  # read by the sum and by both look-ups
     corpus = vocab.select(F.sum("totfreq")).scalar()
     # a token has at most 2(n-1) partners per occurrence, so its frequency bounds its rows
     with_total = lookup_join(

@@ -14,7 +14,7 @@ from ..functions.patterns import never_empty, spark_regex, spark_replacement
 from ..plans.checkpoints import stored
 from ..plans.skew import lookup_join
 
-LEXICON_LIMIT = 2_000_000  # entries that may be broadcast; a larger lexicon is joined by shuffle
+LEXICON_LIMIT = 2_000_000  # forms that may be collected and broadcast; more are refused
 
 
 def regex_replace_columns(df: DataFrame, columns: list[str], find: str, replace: str) -> DataFrame:

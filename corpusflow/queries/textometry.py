@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import textometry as tx
 from ..operators.concordance import highlight as highlight_column
+from ..plans.checkpoints import stored
 from .base import SQL_NON_WORD, heavy, query, sql_tokens, table
 
 WORD = "the"
@@ -139,15 +140,17 @@ def corpus_size(spark, sf):
 
 @query(f"WITH {BOW}, {VOCAB}, {SIZES} SELECT token, section_id, freq, totfreq, size FROM bow JOIN vocab USING (token) JOIN sizes USING (section_id)")
 def lexical_table(spark, sf):
-    return tx.lexical_table(doc_bow(spark, sf))
+    return tx.lexical_table(stored(doc_bow(spark, sf), "bags"))
 
 
-@query(f"""WITH bow AS (SELECT lang AS section_id, unnest({sql_tokens('text')}) AS token FROM documents)
-SELECT token, count(*) FILTER (section_id = 'de') AS de, count(*) FILTER (section_id = 'en') AS en,
-  count(*) FILTER (section_id = 'es') AS es, count(*) FILTER (section_id = 'fr') AS fr FROM bow GROUP BY token""")
+@query(f"""SELECT * FROM (PIVOT (SELECT lang, unnest({sql_tokens('text')}) AS token, 1 AS n FROM documents WHERE lang IS NOT NULL)
+  ON lang USING count(n) GROUP BY token)""")
 def lexical_matrix(spark, sf):
-    by_lang = tx.sections_by_row(table(spark, sf, "documents"), "lang", "lang", ["text"])
-    return tx.lexical_matrix(tx.bag_of_words(tx.tokenize(by_lang)), ["de", "en", "es", "fr"])
+    """One column for each language that occurs."""
+    docs = table(spark, sf, "documents")
+    langs = sorted(r.lang for r in docs.where("lang IS NOT NULL").select("lang").distinct().collect())
+    by_lang = tx.sections_by_row(docs, "lang", "lang", ["text"])
+    return tx.lexical_matrix(tx.bag_of_words(tx.tokenize(by_lang)), langs)
 
 
 # ------------------------------------------------------------------ specificity
@@ -259,7 +262,7 @@ def cooccurrences_of_groups(spark, sf):
 
 def collocations(spark, sf):
     tokens = doc_tokens(spark, sf)
-    vocab = tx.vocabulary(tx.bag_of_words(tokens))
+    vocab = stored(tx.vocabulary(tx.bag_of_words(tokens)), "vocabulary")
     return tx.collocation_specificity(tx.cooccurrences(tokens, WINDOW), vocab, WINDOW), vocab
 
 
