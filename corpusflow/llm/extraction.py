@@ -41,7 +41,7 @@ STEMS = ("comment", "advert", "sponsor", "cookie", "sidebar", "newsletter", "pro
 WORDS_ARTICLE = frozenset("article content entry post story main body page".split())
 SOFT = frozenset("header banner side".split())
 #: Elements where a word of the attribute speaks about the whole page, and words that turn it round.
-WHOLE = frozenset("html body main article".split())
+WHOLE = frozenset("html body main".split())
 TURNED = frozenset("has with no without".split())
 
 # Frequent function words of the languages served.
@@ -80,7 +80,7 @@ ARTICLE_WORDS = 1
 class Block:
     tag: str
     outside: bool  # within a part around the article
-    article: bool  # within an article or main element
+    article: int  # within an article (2) or a main part (1)
     pieces: list[str] = field(default_factory=list)
     linked: list[str] = field(default_factory=list)
     text: str = ""
@@ -117,31 +117,38 @@ def is_around(tag: str, attributes: str, in_article: bool) -> bool:
                 told = {p for p in parts if p in WORDS_AROUND or (p.startswith(STEMS) and p != "commentary") or p == "header"}
                 if parts & TURNED:
                     continue
+                if tag == "article":
+                    # an article of its own unless it is a reader's or an advertiser's
+                    told = {p for p in told if p.startswith(("comment", "advert", "sponsor", "promo")) or p in ("ad", "ads", "reply", "replies")}
                 if told - SOFT or (told and not in_article and not parts & WORDS_ARTICLE):
                     return True
     return False
 
 
-def is_article(tag: str, attributes: str) -> bool:
-    """Does the start tag say that the article itself follows?"""
-    if tag in ("article", "main"):
-        return True
+def article_level(tag: str, attributes: str) -> int:
+    """2 where the start tag says that an article follows, 1 where it says so of the main part, else 0."""
+    if tag == "article":
+        return 2
+    if tag == "main":
+        return 1
     if "class" not in attributes and "id" not in attributes:
-        return False
+        return 0
     for name, *values in ATTRIBUTE.findall(attributes):
         if name.lower() in ("class", "id"):
             for one in "".join(values).split():
                 parts = {p.lower() for p in PART.findall(one)}
-                if parts & {"article", "entry", "post", "story"} and parts & {"content", "body", "text"}:
-                    return True
-    return False
+                if (parts & {"article", "entry", "post", "story"} and parts & {"content", "body", "text"}) or (
+                    name.lower() == "id" and one.lower() in ("article", "content", "main", "main-content")
+                ):
+                    return 1
+    return 0
 
 
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page that have text, in page order."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements: name, outside, article
-    block = Block("", False, False)
+    stack: list[tuple[str, bool, int]] = []  # open elements: name, outside, article
+    block = Block("", False, 0)
     paragraph_outside, in_link, at = False, False, 0
 
     def add(text: str) -> None:
@@ -156,7 +163,7 @@ def blocks_of(page: str) -> list[Block]:
         block.close()
         if block.text:
             found.append(block)
-        outside, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+        outside, article = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
         block = Block(tag, outside or paragraph_outside, article)
 
     while token := TOKEN.search(page, at):
@@ -193,13 +200,13 @@ def blocks_of(page: str) -> list[Block]:
             if name in BLOCKS:
                 turn(name)
         else:
-            outside, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            around = is_around(name, token["rest"], article)
+            outside, article = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+            around = is_around(name, token["rest"], article > 0)
             if name == "p":
                 paragraph_outside = around
                 turn(name)
             elif name in BLOCKS or around:
-                stack.append((name, outside or around, article or is_article(name, token["rest"])))
+                stack.append((name, outside or around, max(article, article_level(name, token["rest"]))))
                 turn(name)
     add(page[at:])
     turn("")
@@ -208,6 +215,10 @@ def blocks_of(page: str) -> list[Block]:
 
 def label_blocks(blocks: list[Block]) -> None:
     """Both passes; sets ``label`` to "good" or "bad"."""
+    # the closest thing to an article that the page names
+    level = max((b.article for b in blocks if not b.outside), default=0)
+    for b in blocks:
+        b.article = int(b.article == level > 0)
     inside = [b for b in blocks if b.article and not b.outside]
     has_article = sum(b.words for b in inside) >= ARTICLE_WORDS
     # in a language without known function words their absence says nothing

@@ -23,6 +23,15 @@ def test_article_element_keeps_short_blocks_and_drops_parts():
     assert main_text(page)[0] == "A\nBc d e\nF\nG"
 
 
+def test_article_within_main_and_readers_articles():
+    page = (
+        f"<main><p>{PROSE}</p><article class='post has-comments'><h1>A</h1><p>B</p><article class='comment-7'><p>{PROSE}</p></article></article></main>"
+        f"<div id=content><p>{PROSE}</p></div>"
+    )
+    assert main_text(page)[0] == "A\nB"
+    assert main_text(f"<p>{PROSE}</p><div id=content><p>B</p><div class=sidebar>{PROSE}</div></div>")[0] == "B"
+
+
 def test_link_lists_are_menus():
     links = "".join(f"<p><a href=x>The one of the {i} and of all the others that there are to be had</a></p>" for i in range(4))
     assert main_text(f"<div>{links}</div><div><p>{PROSE}</p><p>{PROSE}</p></div>")[0] == f"{PROSE}\n{PROSE}"
