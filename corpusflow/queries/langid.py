@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from ..operators import langid
@@ -24,6 +26,34 @@ def sql_grams(key: str, source: str) -> str:
   FROM (SELECT {key}, string_split(regexp_replace(' ' || text || ' ', '{SQL_WHITE}+', '_', 'g'), '') AS c FROM {source} WHERE text <> ''))"""
 
 
+def sql_characters() -> str:
+    """A table of the characters up to Latin Extended-A: all that occur in the given tables."""
+    def quoted(value: str) -> str:
+        return "'" + value.replace("'", "''") + "'"
+
+    rows = []
+    for code in (9, 10, *range(32, 127), *range(161, 384)):
+        name = unicodedata.name(chr(code), "")
+        word = quoted(name.partition(" ")[0]) if name else "NULL"
+        rows.append(f"({code}, {quoted(unicodedata.category(chr(code)))}, {word}, {quoted(name)})")
+    return f"""characters AS (SELECT chr(code) AS char, category, script_word, char_name
+  FROM (VALUES {', '.join(rows)}) AS t(code, category, script_word, char_name))"""
+
+
+def sql_scripts(source: str) -> str:
+    """``scripts(id, category, script)`` of ``source(id, text)``."""
+    return f"""{sql_characters()},
+script_chars AS (SELECT id, unnest(c[:-2]) AS char FROM (
+  SELECT id, string_split(regexp_replace(text, '{SQL_WHITE}+', ' ', 'g'), '') AS c FROM {source} WHERE length(text) >= 2)),
+script_ranks AS (SELECT id, char, row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, char DESC) AS place
+  FROM script_chars GROUP BY id, char QUALIFY place <= 200),
+script_facts AS (SELECT id, place, unnest(['category', 'script']) AS kind, unnest([category, script_word]) AS value FROM script_ranks JOIN characters USING (char)),
+script_best AS (SELECT id, kind, value FROM script_facts WHERE value IS NOT NULL GROUP BY id, kind, value
+  QUALIFY row_number() OVER (PARTITION BY id, kind ORDER BY count(*) DESC, min(place) DESC) = 1),
+scripts AS (SELECT id, coalesce(c.value, '') AS category, coalesce(k.value, '') AS script FROM (SELECT id FROM {source})
+  LEFT JOIN (SELECT id, value FROM script_best WHERE kind = 'category') c USING (id) LEFT JOIN (SELECT id, value FROM script_best WHERE kind = 'script') k USING (id))"""
+
+
 SQL_PROFILES = f"""lang_sizes AS (SELECT lang, sum(length(text)) AS chars FROM documents GROUP BY lang),
 lang_grams AS (SELECT lang, gram, count(*) AS n FROM {sql_grams('lang', 'documents')} GROUP BY lang, gram),
 profiles AS (SELECT lang, gram, CASE WHEN chars <= 1000000 THEN n * (1000000 // chars) ELSE (1000000 * n) // chars END::BIGINT AS weight
@@ -54,7 +84,7 @@ def profile_distance(spark, sf):
     return langid.profile_distance(texts(spark, sf), profiles(spark, sf)).select("id", "lang", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(f"WITH texts AS (SELECT doc_id AS id, text FROM documents), {sql_scripts('texts')} SELECT * FROM scripts")
 def dominant_script(spark, sf):
     return langid.dominant_script(texts(spark, sf))
 
@@ -78,7 +108,17 @@ def language_filter(spark, sf):
     return langid.language_filter(texts(spark, sf), profiles(spark, sf), "French").select("id")
 
 
-@query()
+# A line is judged by itself: its script must leave the choice to the profiles, and German must be the best.
+@query(f"""WITH {SQL_PROFILES},
+doc_lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
+texts AS (SELECT DISTINCT line AS id, line AS text FROM doc_lines), {sql_scripts('texts')},
+line_grams AS (SELECT id, gram, n * greatest(1, 1000000 // length(id)) AS weight FROM (
+  SELECT id, gram, count(*) AS n, row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, gram DESC) AS k FROM {sql_grams('id', 'texts')} GROUP BY id, gram) WHERE k <= 500),
+line_scores AS (SELECT id, l.lang, (sum(abs(coalesce(p.weight, 0) - g.weight)) / greatest(1, 1000000 // length(id)) / length(id) - 1) * -100 AS score
+  FROM line_grams g CROSS JOIN (SELECT DISTINCT lang FROM profiles) l LEFT JOIN profiles p ON p.lang = l.lang AND p.gram = g.gram GROUP BY id, l.lang),
+line_best AS (SELECT id FROM line_scores QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, lang DESC) = 1 AND lang = 'de'),
+good AS (SELECT id FROM line_best JOIN scripts USING (id) WHERE category IN ('Ll', 'Lu') AND script = 'LATIN')
+SELECT doc_id AS id, coalesce(string_agg(CASE WHEN line IN (SELECT id FROM good) THEN line || chr(10) END, '' ORDER BY pos), '') AS text FROM doc_lines GROUP BY doc_id""")
 def keep_language_paragraphs(spark, sf):
     return langid.keep_language_paragraphs(texts(spark, sf), profiles(spark, sf), "de")
 

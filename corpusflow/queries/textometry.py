@@ -9,6 +9,7 @@ from ..operators import textometry as tx
 from ..operators.concordance import highlight as highlight_column
 from ..plans.checkpoints import stored
 from .base import SQL_NON_WORD, heavy, query, sql_tokens, table
+from .langid import sql_characters
 
 WORD = "the"
 SELECTION = ["src1", "src2", "src3"]
@@ -316,7 +317,11 @@ def graph_json(spark, sf):
 # ------------------------------------------------------------------ display
 
 
-@query()
+@query(f"""WITH {sql_characters()},
+words AS (SELECT token, count(*) AS n FROM (SELECT unnest(string_split_regex(text, '\\s+')) AS token FROM documents) GROUP BY token),
+symbols AS (SELECT * FROM words WHERE regexp_matches(token, '^[^\\p{{L}}\\p{{M}}\\p{{N}}_]+$')),
+parts AS (SELECT token, unnest(string_split(token, '')) AS char, unnest(range(len(string_split(token, '')))) AS pos FROM symbols)
+SELECT token, n, names FROM symbols JOIN (SELECT token, string_agg(char_name, ' - ' ORDER BY pos) AS names FROM parts JOIN characters USING (char) GROUP BY token) USING (token)""")
 def describe_symbols(spark, sf):
     """Names of the characters of all tokens that consist of other signs than letters."""
     words = table(spark, sf, "documents").select(F.explode_outer(F.split("text", r"\s+")).alias("token"))
