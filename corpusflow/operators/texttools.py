@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,11 +12,10 @@ from pyspark.sql.functions import pandas_udf
 
 from ..functions.cells import sentence_breaks, split_blanks
 from ..functions.patterns import never_empty, spark_regex, spark_replacement
+from ..plans import bloom
 from ..plans.checkpoints import stored
 from ..plans.skew import lookup_join
 
-LEXICON_LIMIT = 2_000_000  # forms that may be collected and broadcast; more are refused
-
 
 def regex_replace_columns(df: DataFrame, columns: list[str], find: str, replace: str) -> DataFrame:
     regex = spark_regex(find, ignore_case=True, multiline=True)
@@ -133,7 +133,7 @@ def lemmatize_with(df: DataFrame, id_col: str, column: str, lexicon: DataFrame,
     return df.join(done, id_col)
 
 
-def _longest_first(text: str, words: frozenset[str], longest: int) -> str:
+def _longest_first(text: str, words: set[str], longest: int) -> str:
     out, i = [], 0
     while i < len(text):
         size = next((k for k in range(min(longest, len(text) - i), 1, -1) if text[i : i + k] in words), 1)
@@ -142,25 +142,57 @@ def _longest_first(text: str, words: frozenset[str], longest: int) -> str:
     return " ".join(out)
 
 
-def segment_with(df: DataFrame, column: str, lexicon: DataFrame, out: str) -> DataFrame:
-    """Forward maximum matching against ``lexicon(form)``, words joined by blanks.
+def _piece_hashes(text: str, lengths: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each length the hashes of all pieces of the text of that length, by a running polynomial."""
+    points = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4").astype(np.uint64) + np.uint64(1)
+    total, wanted = np.zeros(len(points) + 1, np.uint64), set(lengths)
+    for k in range(1, min(max(lengths, default=0), len(points)) + 1):
+        total = total[:-1] * np.uint64(0x9E3779B97F4A7C15) + points[k - 1 :]
+        if k in wanted:
+            yield k, total ^ (total >> np.uint64(32))
+
+
+def segment_with(df: DataFrame, id_col: str, column: str, lexicon: DataFrame, out: str) -> DataFrame:
+    """Forward maximum matching against ``lexicon(form)``, words joined by blanks; ids are unique.
 
-    The scan depends on where the last word ended, which built-in functions cannot
-    express. The lexicon is checked to be of broadcast size before it is collected.
+    The lexicon may have any size: it reaches the texts as a bit map of bounded size, which names the
+    pieces of a text that may be forms. Those are looked up exactly, and each text is cut with its own
+    forms: where a word ends decides where the next begins, which built-in functions cannot express.
     """
-    entries = lexicon.select("form").distinct()
-    if entries.count() > LEXICON_LIMIT:
-        raise ValueError(f"the lexicon has more than {LEXICON_LIMIT} forms")
-    words = frozenset(r.form for r in entries.collect())
-    shared = df.sparkSession.sparkContext.broadcast((words, max(map(len, words), default=1)))
+    forms = lexicon.select("form").where(F.length("form") > 1).distinct()
+    lengths = sorted(r.n for r in forms.select(F.length("form").alias("n")).distinct().collect())  # one per length
+
+    @pandas_udf("long")
+    def hashed(values: pd.Series) -> pd.Series:
+        return pd.Series([int(next(h for _, h in _piece_hashes(v, [len(v)]))[0].view(np.int64)) for v in values], dtype="int64")
+
+    keyed = stored(forms.withColumn("h", hashed("form")), "forms")
+    bits, _ = bloom.map_bits(keyed.count())
+    # a form is put in twice, so that its places count as hit by two
+    ask = bloom.asks(df, bloom.repeated_map(keyed.select("h").unionAll(keyed.select("h")), "h", bits))
+
+    @pandas_udf("array<string>")
+    def candidates(texts: pd.Series) -> pd.Series:
+        def of(text: str | None) -> list[str]:
+            if not text:
+                return []
+            return list({text[i : i + k] for k, h in _piece_hashes(text, lengths) for i in np.flatnonzero(ask(h)).tolist()})
+
+        return texts.map(of)
+
+    pieces = stored(df.select(id_col, F.explode(candidates(F.col(column))).alias("form")), "pieces")
+    counted = stored(keyed.select("form").join(pieces.groupBy("form").agg(F.count("*").alias("n")), "form").withColumn("known", F.lit(True)), "counted")
+    found = (
+        lookup_join(pieces, counted, "form", "known", F.col("n"), F.col(id_col)).groupBy(id_col).agg(F.collect_list("form").alias("_forms"))
+    )
 
     @pandas_udf("string")
-    def segment(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known, longest = shared.value
-        for batch in batches:
-            yield batch.map(lambda t: _longest_first(t, known, longest), na_action="ignore")
+    def segment(texts: pd.Series, words: pd.Series) -> pd.Series:
+        rows = ((t, set(w) if w is not None else set()) for t, w in zip(texts, words))
+        return pd.Series([None if t is None else _longest_first(t, w, max(map(len, w), default=1)) for t, w in rows], dtype=object)
 
-    return df.withColumn(out, segment(F.col(column)))
+    done = df.select(id_col, F.col(column).alias("_text")).join(found, id_col, "left").select(id_col, segment("_text", "_forms").alias(out))
+    return df.join(done, id_col)
 
 
 # ------------------------------------------------------------- plain normal forms

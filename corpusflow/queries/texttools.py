@@ -81,12 +81,15 @@ def lemmatize_with(spark, sf):
     return tt.lemmatize_with(docs, "doc_id", "text", lexicon, "text_lem").select("doc_id", "text_lem")
 
 
-@query()
+# An alternation takes the first branch that matches: with the longest forms in front it cuts the same way.
+@query(f"""WITH forms AS (SELECT DISTINCT w FROM (SELECT unnest(string_split_regex(text, '{SQL_WHITE}+')) AS w FROM benchmark) WHERE length(w) > 1),
+pattern AS (SELECT '(?s)' || string_agg(regexp_escape(w), '|' ORDER BY length(w) DESC, w) || '|.' AS p FROM forms)
+SELECT doc_id, array_to_string(regexp_extract_all(regexp_replace(text, '{SQL_WHITE}+', '', 'g'), p), ' ') AS segmented FROM documents, pattern""")
 def segment_with(spark, sf):
     """Documents without blanks are cut again into the words of the benchmark texts."""
     lexicon = table(spark, sf, "benchmark").select(F.explode(F.split("text", r"(?U)\s+")).alias("form"))
     docs = heavy(spark, sf, "documents").select("doc_id", F.regexp_replace("text", r"(?U)\s+", "").alias("text"))
-    return tt.segment_with(docs, "text", lexicon, "segmented").select("doc_id", "segmented")
+    return tt.segment_with(docs, "doc_id", "text", lexicon, "segmented").select("doc_id", "segmented")
 
 
 @query(f"SELECT doc_id, translate(replace(regexp_replace(text, '{SQL_WHITE}+', ' ', 'g'), '...', '…'), '‘’', '''''') AS text FROM documents")

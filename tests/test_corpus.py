@@ -121,7 +121,7 @@ def test_annotation_and_segmentation(spark):
     got = [df.select(tt.project_annotation(F.col("a"), m)).first()[0] for m in ("lemma", "tag", "lemma-tag")]
     assert got == ["the cat \n", "DT NN \n", "the-DT cat-NN \n"]
     lexicon = spark.createDataFrame([("中国",), ("中国人",), ("人民",)], "form string")
-    out = tt.segment_with(spark.createDataFrame([("中国人民好",)], "t string"), "t", lexicon, "s").first().s
+    out = tt.segment_with(spark.createDataFrame([(1, "中国人民好")], "id long, t string"), "id", "t", lexicon, "s").first().s
     assert out == "中国人 民 好"
 
 

@@ -133,3 +133,22 @@ def test_right_to_left(spark):
     profiles = langid.train_profiles(spark.createDataFrame([("fa", "این یک متن فارسی است"), ("en", "this is text")], "lang string, text string"))
     texts = spark.createDataFrame([(1, "این یک متن فارسی است"), (2, "this is a text in latin"), (3, "متن")], "id long, text string")
     assert {r.id: r.direction for r in langid.text_direction(texts, profiles).collect()} == {1: "RTL", 2: "LTR", 3: "LTR"}
+
+
+def test_segments_against_a_loop(spark):
+    import random
+
+    rng = random.Random(9)
+    words = {"".join(rng.choice("abc😀é") for _ in range(rng.randrange(1, 7))) for _ in range(60)} | {"a" * 40}
+    lexicon = spark.createDataFrame([(w,) for w in words] + [(None,), ("",)], "form string")
+    texts = ["".join(rng.choice("abc😀é") for _ in range(rng.randrange(0, 200))) for _ in range(30)] + ["a" * 100, None]
+    got = {r.id: r.s for r in tt.segment_with(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), "id", "t", lexicon, "s").collect()}
+    for i, text in enumerate(texts):
+        out, at = [], 0
+        while text and at < len(text):
+            size = next((k for k in range(40, 1, -1) if text[at : at + k] in words and at + k <= len(text)), 1)
+            out.append(text[at : at + size])
+            at += size
+        assert got[i] == (None if text is None else " ".join(out))
+    empty = tt.segment_with(spark.createDataFrame([(1, "ab")], "id long, t string"), "id", "t", lexicon.limit(0), "s").collect()
+    assert empty[0].s == "a b"
