@@ -47,7 +47,8 @@ def train_dictionaries(
     chance = F.xxhash64(F.lit("row"), "text") / F.lit(float(1 << 64)) + 0.5
     spot = F.pmod(F.xxhash64(F.lit("spot"), "text"), F.greatest(F.lit(1), F.length("text") - PIECE + 1)).cast("int") + 1
     pieces = (
-        labelled.join(sizes, "lang")
+        # one row per language: far less than the dictionaries, which every task holds
+        labelled.join(F.broadcast(sizes), "lang")
         .where(chance < F.lit(float(wanted)) / F.col("n"))
         .select("lang", chance.alias("order"), F.substring("text", spot, F.lit(PIECE)).alias("piece"))
         .distinct()

@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import types as T
 
-from corpusflow.llm import bloom
+from corpusflow.plans import bloom
 from corpusflow.llm.exact_dedup import exact_duplicates
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("sha", T.StringType()),
