@@ -10,23 +10,42 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.skew import lookup_join
-from .common import answer, table
+from .common import answer, stored, table
 
 #: Turns are rendered as header, text and end mark; {role} is the turn's role.
 HEADER, END_MARK = "<|{role}|>\n", "<|end|>\n"
 TRAINED_ROLE = "assistant"
 
 
-def _turns(conversations: DataFrame, pair_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
-    """Turns with their place in the conversation; repeated rows are one, a null turn comes first."""
-    rows = conversations.where(F.col(pair_col).isNotNull()).select(
+def _turns(conversations: DataFrame, side: int, pair_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
+    """Turns of one side, with values for nulls: a null turn comes first."""
+    return conversations.where(F.col(pair_col).isNotNull()).select(
         F.col(pair_col).cast("long").alias("pair_id"),
         F.coalesce(F.col(turn_col).cast("long"), F.lit(-(1 << 62))).alias("turn"),
         F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
-    ).distinct()
-    # different rows of one turn stand in the order of role and text
-    return rows.withColumn("nth", F.row_number().over(Window.partitionBy("pair_id", "turn").orderBy("role", "text")))
+        F.lit(side).alias("side"),
+    )
+
+
+def _compared(turns: DataFrame) -> DataFrame:
+    """Turns of both sides with their place ``nth`` within the turn, and whether the other side ``differs`` there.
+
+    Repeated rows are one; different rows of one turn stand in the order of role and text. Both sides of a turn
+    meet in one task by a single exchange, which serves all windows.
+    """
+    turn = ["pair_id", "turn"]
+    said = F.struct("role", "text")
+    equal = Window.partitionBy(*turn, "side", "role", "text").orderBy("pair_id")
+    order = Window.partitionBy(*turn, "side").orderBy("role", "text")
+    place = Window.partitionBy(*turn, "nth")
+    return (
+        turns.repartition(*turn)
+        .withColumn("_copy", F.row_number().over(equal)).where("_copy = 1")
+        .withColumn("nth", F.row_number().over(order))
+        .withColumn("differs", (F.count("*").over(place) < 2) | (F.min(said).over(place) != F.max(said).over(place)))
+        .drop("_copy")
+    )
 
 
 def rendered(role: Column, text: Column) -> Column:
@@ -55,25 +74,19 @@ def preference_segments(
     are all prompt. Null ids belong to no pair. Null roles and texts are empty, null turns come first, rows that
     repeat a turn whole are one. Segments are ordered by ``part, turn, nth``.
     """
-    sides = [_turns(d, pair_col, turn_col, role_col, text_col) for d in (chosen, rejected)]
-    keys = ["pair_id", "turn", "nth"]
-    c, r = (s.select(*keys, F.struct("role", "text").alias(n)) for s, n in zip(sides, ("c", "r")))
-    met = c.join(r, keys, "full")
-    differs = ~F.col("c").eqNullSafe(F.col("r"))
+    columns = (pair_col, turn_col, role_col, text_col)
+    turns = stored(_compared(_turns(chosen, 0, *columns).unionByName(_turns(rejected, 1, *columns))), "turns")
     place = F.struct("turn", "nth")
-    first = met.groupBy("pair_id").agg(F.min(F.when(differs, place)).alias("first"), F.count("*").alias("turns"))
+    first = turns.groupBy("pair_id").agg(F.min(F.when(F.col("differs"), place)).alias("first"), F.count("*").alias("n"))
     # the pair's row is never null, so that equal sides are told from pairs that have no row
     split = lookup_join(
-        met, first.select("pair_id", F.struct("first").alias("split"), "turns"), "pair_id", "split", F.col("turns"), F.hash("turn", "nth")
+        turns.drop("differs"), stored(first.select("pair_id", F.struct("first").alias("split"), "n"), "splits"),
+        "pair_id", "split", F.col("n"), F.hash("turn", "nth"),
     )
     common = F.col("split.first").isNull() | (place < F.col("split.first"))
-    parts = F.when(common, F.array(F.struct(F.lit("prompt").alias("part"), F.col("c").alias("said")))).otherwise(
-        F.array(
-            F.struct(F.lit("chosen").alias("part"), F.col("c").alias("said")),
-            F.struct(F.lit("rejected").alias("part"), F.col("r").alias("said")),
-        )
+    rows = split.where(~common | (F.col("side") == 0)).withColumn(
+        "part", F.when(common, "prompt").when(F.col("side") == 0, "chosen").otherwise("rejected")
     )
-    rows = split.select(*keys, F.inline(parts)).where(F.col("said").isNotNull()).select(*keys, "part", "said.role", "said.text")
     trained = (F.col("part") != "prompt") & (F.col("role") == trained_role)
     header = F.length("role") + len(HEADER.format(role=""))
     return rows.select(
