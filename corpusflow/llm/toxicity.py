@@ -52,7 +52,7 @@ def buckets_of(word: str, size: int) -> tuple[int, ...]:
 
 def telling(owner: np.ndarray, words: np.ndarray, toxic: np.ndarray, buckets: int) -> np.ndarray:
     """Buckets in enough documents whose presence goes with the label, by the likelihood ratio of the 2 x 2 table."""
-    pairs = np.unique(owner * buckets + words)
+    pairs = np.unique(owner.astype(np.int64) * buckets + words)
     with_word = np.bincount(pairs % buckets, minlength=buckets).astype(float)
     both = np.bincount((pairs % buckets)[toxic[pairs // buckets] > 0], minlength=buckets).astype(float)
     n, positive = len(toxic), toxic.sum()
@@ -86,10 +86,11 @@ def train(sample: DataFrame, buckets: int = BUCKETS, epochs: int = EPOCHS) -> Se
     weights, bias = np.zeros(buckets + 1), -8.0
     if len(rows) and rows["label"].nunique() > 1:
         weights[-1] = -5.0
-        words = np.concatenate(rows["words"].to_list()).astype(np.int64)
+        words = np.concatenate(rows["words"].to_list())
         sizes = np.concatenate(rows["sizes"].to_list()).astype(np.int64)
         of = np.repeat(np.arange(len(rows)), rows["sizes"].str.len())
-        owner = np.repeat(np.arange(len(rows)), rows["words"].str.len())
+        owner = np.repeat(np.arange(len(rows), dtype=np.int32), rows["words"].str.len())
+        rows = rows.drop(columns=["words"])
         toxic = (rows["label"].to_numpy() > 0).astype(float)
         # words that say nothing of the label weigh nothing: leave them out of the sums
         weighed = telling(owner, words, toxic, buckets)[words]
