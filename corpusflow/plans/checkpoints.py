@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -33,14 +34,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_made: list = []
+
+
+@atexit.register
+def _remove_scratch() -> None:
+    """Intermediate tables of this process go when it ends; the session may be gone by then."""
+    for system, path in _made:
+        try:
+            system.delete(path, True)
+        except Exception:  # nothing can be done about it here
+            return
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder, as a URI of its file system.
 
     A folder without scheme lies in the default file system, for Spark as for files that
-    tasks write themselves.
+    tasks write themselves. What is written there is removed when the process ends.
     """
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark).rstrip('/')}/corpusflow/{name}-{uuid.uuid4().hex}")
-    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    _made.append((system, path))
+    whole = system.makeQualified(path).toString()
     return "file://" + whole[len("file:"):] if whole.startswith("file:/") and not whole.startswith("file://") else whole
 
 

@@ -42,14 +42,13 @@ def stream_ingest(pages: DataFrame, target: str, checkpoint: str) -> DataStreamW
 
 
 def latest_pages(spark: SparkSession, target: str) -> DataFrame:
-    """One row per URL: the one of the latest batch, then of the highest page id."""
+    """One row per URL: the one of the latest batch, then of the highest page id.
+
+    The row is chosen by its keys alone; the pages join once. In a batch, a page id stands once per URL.
+    """
     rows = spark.read.parquet(target)
-    rest = [c for c in rows.columns if c not in ("url", "batch")]
-    return (
-        rows.groupBy("url")
-        .agg(F.max_by(F.struct(*rest), F.struct("batch", "page_id")).alias("v"))
-        .select("url", "v.*")
-    )
+    latest = rows.groupBy("url").agg(F.max(F.struct("batch", "page_id")).alias("v")).select("url", "v.*")
+    return rows.join(latest, ["url", "batch", "page_id"]).drop("batch")
 
 
 def stream_stats(events: DataFrame, ts: str, key: str, value: str, window: str, late: str) -> DataFrame:
