@@ -115,8 +115,8 @@ def score_toxicity(docs: DataFrame, model: SentenceModel, sentence_threshold: fl
     """``doc_id, score, spans`` for every row, from the whole text alone.
 
     ``score`` is the noisy-or of all sentences' scores. ``spans`` holds start, end (code points of the
-    text) and score of each sentence whose own score is at least ``sentence_threshold``. A null or empty text
-    has one empty sentence.
+    text) and score of each sentence whose own score is at least ``sentence_threshold``. Sentences without
+    words don't count; a text without any has one empty sentence.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
 
@@ -133,14 +133,16 @@ def score_toxicity(docs: DataFrame, model: SentenceModel, sentence_threshold: fl
         for batch in batches:
             scores, spans = [], []
             for text in batch["text"]:
-                z = np.array([sentence(find(s)) for s in sentences_of(text)]) + bias
+                # sentences without words are none, as in training
+                spoken = [(i, w) for i, s in enumerate(sentences_of(text)) if (w := find(s))] or [(0, [])]
+                z = np.array([sentence(w) for _, w in spoken]) + bias
                 scores.append(float(-np.expm1(-np.logaddexp(0, z).sum())))
                 p = 1 / (1 + np.exp(-z))
                 found = []
                 if (p >= sentence_threshold).any():
                     edges = [(m.start(), m.end()) for m in SENTENCE_END.finditer(text)] if text else []
                     starts, ends = [0, *(e for _, e in edges)], [*(s for s, _ in edges), len(text)]
-                    found = [{"start": starts[i], "end": ends[i], "score": float(p[i])} for i in np.flatnonzero(p >= sentence_threshold)]
+                    found = [{"start": starts[i], "end": ends[i], "score": float(q)} for (i, _), q in zip(spoken, p) if q >= sentence_threshold]
                 spans.append(found)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": scores, "spans": spans})
 
