@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from html import escape
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import cells, html, urls
 from ..plans.skew import lookup_join
@@ -182,20 +180,13 @@ def extract_field(
     Without any condition nothing is selected. As text, the elements are cleaned by
     built-in expressions; as source, they are wrapped in an ``html`` element.
     """
-    out = T.StructType([f for f in pages.schema.fields if f.name != name] + [T.StructField("_outer", T.StringType())])
-    keep = [f.name for f in out.fields[:-1]]
-
-    def select(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            outer = (
-                [_outer_sources(s, tag, id, class_) for s in batch[source]]
-                if (tag or id or class_)
-                else [""] * len(batch)
-            )
-            yield batch[keep].assign(_outer=outer)
+    # html.parser has no counterpart among the built-in functions: only the sources that can match go there
+    @F.pandas_udf("string")
+    def select(sources: pd.Series) -> pd.Series:
+        return sources.map(lambda s: _outer_sources(s, tag, id, class_) if s else "")
 
-    # html.parser has no counterpart among the built-in functions
-    selected = pages.mapInPandas(select, schema=out)
+    possible = F.contains(F.lower(F.col(source)), F.lit(f"<{tag.lower()}")) if tag else F.lit(bool(id or class_))
+    selected = pages.withColumn("_outer", F.coalesce(select(F.when(possible, F.col(source))), F.lit("")))
     value = (
         html.field_to_text(F.col("_outer"))
         if as_text
