@@ -73,10 +73,12 @@ def train(sample: DataFrame, buckets: int = BUCKETS, epochs: int = EPOCHS) -> Gr
     weights = np.zeros(buckets)
     if len(grades) < 2:
         return GradeModel(weights.astype(np.float32), grades or [0], np.zeros(max(0, len(grades) - 1)))
-    words = np.concatenate(rows["found"].to_list()).astype(np.int64)
     counts = rows["found"].str.len().to_numpy()
-    owner = np.repeat(np.arange(len(rows)), counts)
-    pairs, times = np.unique(owner * buckets + words, return_counts=True)
+    keys = np.repeat(np.arange(len(rows)) * buckets, counts)
+    keys += np.concatenate(rows["found"].to_list())
+    rows = rows.drop(columns=["found"])
+    pairs, times = np.unique(keys, return_counts=True)
+    del keys
     owner, words = pairs // buckets, pairs % buckets
     value = times / np.maximum(1, counts // 2)[owner] * SCALE
     usual = np.bincount(words, minlength=buckets)[words] >= LEAST_DOCS
