@@ -100,6 +100,26 @@ def test_near_duplicates(spark, block):
     assert sum(i != c for i, c in want.items()) > 10
 
 
+def test_repeats_do_not_hide_near_duplicates(spark):
+    rng = random.Random(11)
+    shared = [f"w{rng.randrange(10_000)}" for _ in range(200)]
+    footer = "all rights of the page are reserved".split()
+    rows = [(1, " ".join(shared)), (2, " ".join(shared + footer * 50)), (3, " ".join(shared[:100] + ["again"] * 40)), (4, " ".join(shared[:100]))]
+    got = {r.doc_id: r.component_id for r in S.near_duplicates(spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA)).collect()}
+    assert got[2] == 1 and got[4] == 3
+
+
+@pytest.mark.parametrize("block", [512, 2])
+def test_far_fingerprints_are_compared_too(spark, block):
+    rng = np.random.default_rng(3)
+    base = np.unique(rng.integers(0, 1 << 32, 500, dtype=np.uint32))
+    sets = [base, base[:-20], base[30:], rng.permutation(base)[:300], base[:0]]
+    rows = [(7, i, S.signed(rng.integers(0, 1 << 64, dtype=np.uint64).item()), np.sort(s).tobytes()) for i, s in enumerate(sets)]
+    entries = spark.createDataFrame(rows, "key long, id long, fp long, shingles binary")
+    links = S.tree_links(entries, ["key"], 0, block, 0.8).collect()
+    assert components(range(5), [(r.a, r.b) for r in links]) == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4}
+
+
 def test_drop_keeps_columns_and_null_ids(spark):
     rows = [(1, "a b c d e f", "p", 1), (2, "a b c d e f", "q", 2), (None, "a b c d e f", "r", 3)]
     df = spark.createDataFrame(rows, "doc_id long, text string, gone string, component_id int")
