@@ -2,13 +2,14 @@
 
 A text becomes a sequence of template words: numbers, names and units give way to typed
 placeholders. Windows of template words are joined with the benchmark's by their hash. Along a
-line (document position minus item position) the values behind the placeholders must fit: one
-value of the item always stands for one value of the document, and the other way round.
+line (document position minus item position) the values behind the placeholders must fit: a
+value of the item stands for the same value of the document in most of its places.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,8 @@ WINDOW = 8
 LEAST_PLAIN = 4
 #: Share of an item's windows that a document must hold.
 COVERAGE = 0.4
+#: Share of the placeholders along a line that must fit.
+FITTING = 0.5
 
 # Units that may follow a number.
 UNITS = frozenset(
@@ -89,6 +92,21 @@ def template(text: str | None, known=described) -> tuple[list[str], list[int], l
     return words, places, values
 
 
+def judged(slots: list[tuple[int, str, str]]) -> tuple[float, int]:
+    """Share of a line's ``(number, item's value, document's value)`` that fit, and the item's values that changed.
+
+    A slot fits if it holds what its value stands for most often. Names are compared by their parts, so a
+    full name and a part of it may stand for the same. Two values of the item may become one.
+    """
+    stands: dict[str, Counter] = {}
+    split = [(a.split(" "), set(b.split(" "))) for _, a, b in slots]
+    for parts, others in split:
+        for part in parts:
+            stands.setdefault(part, Counter()).update(others)
+    usual = {part: min(c, key=lambda o: (-c[o], o)) for part, c in stands.items()}
+    return sum(any(usual[p] in others for p in parts) for parts, others in split) / len(slots), len({a for _, a, b in slots if a != b})
+
+
 class Windows:
     """Hashes of all windows of a text, by a polynomial over word hashes."""
 
@@ -110,12 +128,13 @@ class Windows:
         return (total ^ (total >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(size)
 
 
-SCHEMA = "_id long, pos int, h long, slots array<string>, n int"
+SCHEMA = "_id long, pos int, h long, first int, slots array<string>, n int"
 
 
 def windows_of(texts: DataFrame, size: int, least_plain: int, ask=None, short: tuple[int, ...] = ()) -> DataFrame:
-    """``_id, pos, h, slots, n``: windows of ``_id, text`` that ``ask`` lets pass; n windows in all.
+    """``_id, pos, h, first, slots, n``: windows of ``_id, text`` that ``ask`` lets pass; n windows in all.
 
+    ``first`` is the number of the first of the ``slots`` within the text.
     ``short`` adds windows of these lengths for texts that have more words than that.
     """
 
@@ -123,7 +142,7 @@ def windows_of(texts: DataFrame, size: int, least_plain: int, ask=None, short: t
         makers = [Windows(s) for s in sorted({size, *short}, reverse=True)]
         known_pieces = Remembered(described).__getitem__
         for batch in batches:
-            out: dict[str, list] = {"_id": [], "pos": [], "h": [], "slots": [], "n": []}
+            out: dict[str, list] = {"_id": [], "pos": [], "h": [], "first": [], "slots": [], "n": []}
             for key, text in zip(batch["_id"], batch["text"]):
                 words, places, values = template(text, known_pieces)
                 slots_before = np.zeros(len(words) + 1, np.int64)
@@ -142,10 +161,11 @@ def windows_of(texts: DataFrame, size: int, least_plain: int, ask=None, short: t
                     out["_id"] += [key] * len(at)
                     out["pos"] += at.tolist()
                     out["h"] += hashes[at].view(np.int64).tolist()
+                    out["first"] += slots_before[at].tolist()
                     out["slots"] += [values[slots_before[i] : slots_before[i] + slots[i]] for i in at.tolist()]
                     out["n"] += [len(at) if ask is None else 0] * len(at)
             if out["h"]:  # an empty column of lists has no type
-                yield pd.DataFrame(out).astype({"_id": "int64", "pos": "int32", "h": "int64", "n": "int32"})
+                yield pd.DataFrame(out).astype({"_id": "int64", "pos": "int32", "h": "int64", "first": "int32", "n": "int32"})
 
     return texts.mapInPandas(run, SCHEMA)
 
@@ -159,11 +179,12 @@ def contaminated(
     id_col: str = "doc_id",
     text_col: str = "text",
     item_col: str = "item_id",
+    fitting: float = FITTING,
 ) -> DataFrame:
     """``doc_id, item_id, n_windows, coverage, changed_slots`` of documents that hold an item's template.
 
-    A document holds an item if windows on lines with consistent slots cover at least ``coverage`` of
-    the item's windows. ``changed_slots`` counts the item's values that stand for another one there: over
+    A document holds an item if windows with the item's very values, or on lines where at least ``fitting``
+    of the slots are consistent, cover at least ``coverage`` of the item's windows. ``changed_slots`` counts the item's values that stand for another one there: over
     zero, the question was re-parameterised. Rows without id and null or empty texts match nothing, nor do
     items of fewer than ``least_plain`` plain words. Rows that repeat an id are one document (or item).
 
@@ -172,25 +193,26 @@ def contaminated(
     """
     pick = lambda df, key, text: df.select(F.col(key).cast("long").alias("_id"), F.col(text).cast("string").alias("text")).where("_id IS NOT NULL")
     items = stored(windows_of(pick(benchmark, item_col, text_col), size, least_plain), "items")
-    items = items.groupBy("_id", "pos", "h", "slots").agg(F.max("n").alias("n"))
+    items = items.groupBy("_id", "pos", "h", "first", "slots").agg(F.max("n").alias("n"))
     lengths = pick(benchmark, item_col, text_col).mapInPandas(_short_lengths(size), "length int").distinct()
     short = tuple(sorted(r.length for r in lengths.collect()))  # at most size - 1 rows
     hashes = items.select("h")
     bits, _ = bloom.map_bits(hashes.count())
     ask = bloom.asks(docs, bloom.repeated_map(stored(hashes.unionAll(hashes), "hashes"), "h", bits))
     found = windows_of(pick(docs, id_col, text_col), size, least_plain, ask, short)
-    wanted = items.select(F.col("_id").alias("item_id"), F.col("pos").alias("at"), "h", F.col("slots").alias("item_slots"), "n")
+    wanted = items.select(F.col("_id").alias("item_id"), F.col("pos").alias("at"), "h", "first", F.col("slots").alias("item_slots"), "n")
     met = cut(
         found.select("_id", "pos", "h", "slots").join(wanted, "h").where(F.size("slots") == F.size("item_slots"))
         .withColumn("line", F.col("pos") - F.col("at"))
     )
     keys = ["_id", "item_id", "line"]
-    pairs = met.select(*keys, F.explode(F.arrays_zip("item_slots", "slots")).alias("s")).select(*keys, "s.*").distinct()
-    lines = pairs.groupBy(*keys).agg(
-        ((F.count("*") == F.count_distinct("item_slots")) & (F.count("*") == F.count_distinct("slots"))).alias("fits"),
-        F.count_if(F.col("item_slots") != F.col("slots")).alias("changed"),
-    )
-    held = met.join(lines, keys, "left").where(F.coalesce("fits", F.lit(True)))
+    zipped = met.select(*keys, "first", F.posexplode(F.arrays_zip("item_slots", "slots")).alias("i", "s"))
+    slots = zipped.groupBy(*keys).agg(F.collect_set(F.struct((F.col("first") + F.col("i")).alias("number"), "s.item_slots", "s.slots")).alias("line_slots"))
+    judge = F.udf(judged, "share double, changed int")  # a line has no more slots than the item
+    lines = slots.withColumn("told", judge("line_slots")).select(*keys, (F.col("told.share") >= fitting).alias("fits"), "told.changed")
+    # what is the item's to the letter needs no other slots to fit
+    same = F.col("slots") == F.col("item_slots")
+    held = met.join(lines, keys, "left").where(same | F.col("fits")).withColumn("changed", F.when(same, 0).otherwise(F.col("changed")))
     return (
         held.groupBy("_id", "item_id", "at").agg(F.max("n").alias("n"), F.min(F.coalesce("changed", F.lit(0))).alias("changed"))
         .groupBy("_id", "item_id").agg(F.count("*").alias("n_windows"), F.max("n").alias("n"), F.max("changed").alias("changed_slots"))

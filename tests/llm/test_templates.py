@@ -43,6 +43,15 @@ def test_inconsistent_slots_do_not_match(spark):
     assert set(found(spark, docs, [(1, item)])) == {(1, 1), (2, 1)}
 
 
+def test_values_that_become_equal_and_parts_of_names(spark):
+    kept = "the farmer who lives by the old river sold {} of his sheep and then bought {} of the brown cows at the market"
+    twice = "on the table by the door there are {} kg of flour and also {} apples that we want to use for the cake"
+    names = "in the morning {} went down to the river with a net and in the evening {} came back to the house with nothing"
+    items = [(1, kept.format(3, 9)), (2, twice.format(5, 5)), (3, names.format("Anna Berg", "Anna"))]
+    docs = [(1, kept.format(4, 4)), (2, twice.format(7, 2)), (3, names.format("Otto", "Otto")), (4, names.format("Otto Lang", "Otto"))]
+    assert set(found(spark, docs, items)) == {(1, 1), (2, 2), (3, 3), (4, 3)}
+
+
 def test_short_items_and_windows_of_their_length(spark):
     docs = [(1, "he said what is the capital of france and left"), (2, "what is the capital of france"), (3, "what is the capital of spain then")]
     assert set(found(spark, docs, [(1, "What is the capital of france?"), (2, "Yes or no?")])) == {(1, 1), (2, 1)}
