@@ -4,6 +4,9 @@ A text becomes a sequence of template words: numbers, names and units give way t
 placeholders. Windows of template words are joined with the benchmark's by their hash. Along a
 line (document position minus item position) the values behind the placeholders must fit: a
 value of the item stands for the same value of the document in most of its places.
+
+Windows of few plain words would meet by chance, so they are not templates. For these, and for texts in
+other cases, the pieces themselves are joined a second time, in lower case and with their values.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from .features import Remembered
 
 #: Template words of a window. Shorter texts are one window as they are.
 WINDOW = 8
-#: A window with fewer plain words says too little.
+#: A window with fewer plain words says too little, unless its values are the item's.
 LEAST_PLAIN = 4
 #: Share of an item's windows that a document must hold.
 COVERAGE = 0.4
@@ -42,6 +45,8 @@ UNITS = frozenset(
 PIECE = re.compile(r"[-+]?\d+(?:[.,:/]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|[$€£%°]|[.!?\n…。！？]+")
 ENDS = frozenset(".!?\n…。！？")
 NUMBER, NAME, UNIT = "\x01number", "\x01name", "\x01unit"
+#: Signs that tell short texts of numbers apart, where they stand between the pieces.
+SIGN = re.compile(r"[-+*/=<>^×÷−%$€£]")
 PLAIN, END, CAPITAL, DIGITS, MEASURE = range(5)
 
 
@@ -59,8 +64,17 @@ def described(piece: str) -> tuple[int, str]:
     return CAPITAL if first.isupper() and piece[1:].islower() else PLAIN, low
 
 
+def pieces_of(text: str | None, known=described) -> list[tuple[int, str]]:
+    return list(map(known, PIECE.findall(text or "")))
+
+
 def template(text: str | None, known=described) -> tuple[list[str], list[int], list[str]]:
-    """Template words of a text, the places of its placeholders, and the values that they stand for.
+    """Template words of a text, the places of its placeholders, and the values that they stand for."""
+    return template_of(pieces_of(text, known))
+
+
+def template_of(pieces: list[tuple[int, str]]) -> tuple[list[str], list[int], list[str]]:
+    """The same from the pieces.
 
     A capitalised word is a name unless it begins a sentence. Names that follow each other are one. A
     unit is one only right after a number.
@@ -69,8 +83,7 @@ def template(text: str | None, known=described) -> tuple[list[str], list[int], l
     places: list[int] = []
     values: list[str] = []
     begins = True
-    for piece in PIECE.findall(text or ""):
-        kind, low = known(piece)
+    for kind, low in pieces:
         if kind == PLAIN:
             words.append(low)
             begins = False
@@ -92,6 +105,20 @@ def template(text: str | None, known=described) -> tuple[list[str], list[int], l
     return words, places, values
 
 
+def spelled(pieces: list[tuple[int, str]]) -> list[str]:
+    """The pieces of a text in lower case, without ends of sentences."""
+    return [low for kind, low in pieces if kind != END]
+
+
+def signs_of(text: str, starts: list[int], length: int) -> list[str]:
+    """The signs within the windows of ``length`` pieces that begin at ``starts``."""
+    spans = [m.span() for m in PIECE.finditer(text) if m[0][0] not in ENDS]
+    gaps = ["".join(SIGN.findall(text[a[1] : b[0]])) for a, b in zip(spans, spans[1:])]
+    # a plus before a number may be taken for a part of it
+    lead = ["+" if text[a] == "+" else "" for a, _ in spans]
+    return [" ".join(gaps[k - 1] + lead[k] for k in range(i + 1, i + length)) for i in starts]
+
+
 def judged(slots: list[tuple[int, str, str]]) -> tuple[float, int]:
     """Share of a line's ``(number, item's value, document's value)`` that fit, and the item's values that changed.
 
@@ -115,7 +142,7 @@ class Windows:
         self.hashes = Remembered(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "replace"), 7))
         self.powers = np.array([pow(0x9E3779B97F4A7C15 | 1, i, 1 << 64) for i in range(size)], np.uint64)
 
-    def of(self, words: list[str]) -> np.ndarray:
+    def of(self, words: list[str], salt: int = 0) -> np.ndarray:
         n = len(words)
         size = min(self.size, n)
         if not n:
@@ -125,26 +152,45 @@ class Windows:
         for i in range(size):
             total += h[i : n - size + 1 + i] * self.powers[i]
         # windows of another length must not meet these
-        return (total ^ (total >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(size)
+        return (total ^ (total >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(size + salt)
 
 
-SCHEMA = "_id long, pos int, h long, first int, slots array<string>, n int"
+#: Ways to read a text: as a template, and by its pieces themselves.
+TEMPLATE, SPELLED = 0, 1
+SALT = 1 << 32
+SCHEMA = "_id long, reading int, pos int, h long, first int, slots array<string>, signs string, n int"
 
 
-def windows_of(texts: DataFrame, size: int, least_plain: int, ask=None, short: tuple[int, ...] = ()) -> DataFrame:
-    """``_id, pos, h, first, slots, n``: windows of ``_id, text`` that ``ask`` lets pass; n windows in all.
+def windows_of(
+    texts: DataFrame, size: int, least_plain: int, ask=None, short: tuple[int, ...] = (), spelled_short: tuple[int, ...] = ()
+) -> DataFrame:
+    """``_id, reading, pos, h, first, slots, signs, n``: windows of ``_id, text`` that ``ask`` lets pass; n windows in all.
 
-    ``first`` is the number of the first of the ``slots`` within the text.
-    ``short`` adds windows of these lengths for texts that have more words than that.
+    ``first`` is the number of the first of the ``slots`` within the text. ``signs`` are those within a
+    spelled window of less than ``size`` pieces. ``short`` and ``spelled_short`` add windows of these lengths
+    for texts that have more words (or pieces) than that.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         makers = [Windows(s) for s in sorted({size, *short}, reverse=True)]
+        spelled_makers = [Windows(s) for s in sorted({size, *spelled_short}, reverse=True)]
         known_pieces = Remembered(described).__getitem__
         for batch in batches:
-            out: dict[str, list] = {"_id": [], "pos": [], "h": [], "first": [], "slots": [], "n": []}
+            out: dict[str, list] = {"_id": [], "reading": [], "pos": [], "h": [], "first": [], "slots": [], "signs": [], "n": []}
+
+            def put(key: int, reading: int, at: np.ndarray, hashes: np.ndarray, first: list[int], slots: list[list[str]], signs: list) -> None:
+                out["_id"] += [key] * len(at)
+                out["reading"] += [reading] * len(at)
+                out["pos"] += at.tolist()
+                out["h"] += hashes[at].view(np.int64).tolist()
+                out["first"] += first
+                out["slots"] += slots
+                out["signs"] += signs
+                out["n"] += [len(at) if ask is None else 0] * len(at)
+
             for key, text in zip(batch["_id"], batch["text"]):
-                words, places, values = template(text, known_pieces)
+                whole = pieces_of(text, known_pieces)
+                words, places, values = template_of(whole)
                 slots_before = np.zeros(len(words) + 1, np.int64)
                 slots_before[np.array(places, np.int64) + 1] = 1
                 slots_before = np.cumsum(slots_before)
@@ -158,14 +204,22 @@ def windows_of(texts: DataFrame, size: int, least_plain: int, ask=None, short: t
                     if ask is not None:
                         told &= ask(hashes)
                     at = np.flatnonzero(told)
-                    out["_id"] += [key] * len(at)
-                    out["pos"] += at.tolist()
-                    out["h"] += hashes[at].view(np.int64).tolist()
-                    out["first"] += slots_before[at].tolist()
-                    out["slots"] += [values[slots_before[i] : slots_before[i] + slots[i]] for i in at.tolist()]
-                    out["n"] += [len(at) if ask is None else 0] * len(at)
+                    if len(at):
+                        held = [values[slots_before[i] : slots_before[i] + slots[i]] for i in at.tolist()]
+                        put(key, TEMPLATE, at, hashes, slots_before[at].tolist(), held, [None] * len(at))
+                pieces = spelled(whole)
+                for maker in spelled_makers:
+                    length = min(maker.size, len(pieces))
+                    if not length or (maker.size != size and length < maker.size):
+                        continue
+                    hashes = maker.of(pieces, SALT)
+                    at = np.arange(len(hashes)) if ask is None else np.flatnonzero(ask(hashes))
+                    if len(at):
+                        signs = signs_of(text, at.tolist(), length) if length < size else [None] * len(at)
+                        put(key, SPELLED, at, hashes, [0] * len(at), [[]] * len(at), signs)
             if out["h"]:  # an empty column of lists has no type
-                yield pd.DataFrame(out).astype({"_id": "int64", "pos": "int32", "h": "int64", "first": "int32", "n": "int32"})
+                kinds = {"_id": "int64", "reading": "int32", "pos": "int32", "h": "int64", "first": "int32", "n": "int32"}
+                yield pd.DataFrame(out).astype(kinds)
 
     return texts.mapInPandas(run, SCHEMA)
 
@@ -185,27 +239,29 @@ def contaminated(
 
     A document holds an item if windows with the item's very values, or on lines where at least ``fitting``
     of the slots are consistent, cover at least ``coverage`` of the item's windows. ``changed_slots`` counts the item's values that stand for another one there: over
-    zero, the question was re-parameterised. Rows without id and null or empty texts match nothing, nor do
-    items of fewer than ``least_plain`` plain words. Rows that repeat an id are one document (or item).
+    zero, the question was re-parameterised. The same share of windows of the text as it is spelled, whatever
+    the case, will do as well: so an item of fewer than ``least_plain`` plain words is found with its own
+    values. The larger coverage is given. Rows without id and null or empty texts match nothing. Rows that repeat an id are one document (or item).
 
     The benchmark's window hashes go into a bit map of bounded size, whatever the benchmark's; only
     windows of documents that pass it are joined, by hash, with the windows themselves.
     """
     pick = lambda df, key, text: df.select(F.col(key).cast("long").alias("_id"), F.col(text).cast("string").alias("text")).where("_id IS NOT NULL")
     items = stored(windows_of(pick(benchmark, item_col, text_col), size, least_plain), "items")
-    items = items.groupBy("_id", "pos", "h", "first", "slots").agg(F.max("n").alias("n"))
-    lengths = pick(benchmark, item_col, text_col).mapInPandas(_short_lengths(size), "length int").distinct()
-    short = tuple(sorted(r.length for r in lengths.collect()))  # at most size - 1 rows
+    items = items.groupBy("_id", "reading", "pos", "h", "first", "slots", "signs").agg(F.max("n").alias("n"))
+    lengths = pick(benchmark, item_col, text_col).mapInPandas(_short_lengths(size), "reading int, length int").distinct().collect()
+    short, spelled_short = (tuple(sorted(r.length for r in lengths if r.reading == k)) for k in (TEMPLATE, SPELLED))  # at most size - 1 each
     hashes = items.select("h")
     bits, _ = bloom.map_bits(hashes.count())
     ask = bloom.asks(docs, bloom.repeated_map(stored(hashes.unionAll(hashes), "hashes"), "h", bits))
-    found = windows_of(pick(docs, id_col, text_col), size, least_plain, ask, short)
-    wanted = items.select(F.col("_id").alias("item_id"), F.col("pos").alias("at"), "h", "first", F.col("slots").alias("item_slots"), "n")
+    found = windows_of(pick(docs, id_col, text_col), size, least_plain, ask, short, spelled_short)
+    wanted = items.select(F.col("_id").alias("item_id"), "reading", F.col("pos").alias("at"), "h", "first", F.col("slots").alias("item_slots"), F.col("signs").alias("item_signs"), "n")
     met = cut(
-        found.select("_id", "pos", "h", "slots").join(wanted, "h").where(F.size("slots") == F.size("item_slots"))
+        found.select("_id", "reading", "pos", "h", "slots", "signs").join(wanted, ["h", "reading"])
+        .where((F.size("slots") == F.size("item_slots")) & F.col("signs").eqNullSafe(F.col("item_signs")))
         .withColumn("line", F.col("pos") - F.col("at"))
     )
-    keys = ["_id", "item_id", "line"]
+    keys = ["_id", "item_id", "reading", "line"]
     zipped = met.select(*keys, "first", F.posexplode(F.arrays_zip("item_slots", "slots")).alias("i", "s"))
     slots = zipped.groupBy(*keys).agg(F.collect_set(F.struct((F.col("first") + F.col("i")).alias("number"), "s.item_slots", "s.slots")).alias("line_slots"))
     judge = F.udf(judged, "share double, changed int")  # a line has no more slots than the item
@@ -213,19 +269,21 @@ def contaminated(
     # what is the item's to the letter needs no other slots to fit
     same = F.col("slots") == F.col("item_slots")
     held = met.join(lines, keys, "left").where(same | F.col("fits")).withColumn("changed", F.when(same, 0).otherwise(F.col("changed")))
+    share = F.col("n_windows") / F.col("n")
     return (
-        held.groupBy("_id", "item_id", "at").agg(F.max("n").alias("n"), F.min(F.coalesce("changed", F.lit(0))).alias("changed"))
-        .groupBy("_id", "item_id").agg(F.count("*").alias("n_windows"), F.max("n").alias("n"), F.max("changed").alias("changed_slots"))
-        .withColumn("coverage", F.col("n_windows") / F.col("n")).where(F.col("coverage") >= coverage)
-        .select(F.col("_id").alias("doc_id"), "item_id", "n_windows", "coverage", "changed_slots")
+        held.groupBy("_id", "item_id", "reading", "at").agg(F.max("n").alias("n"), F.min(F.coalesce("changed", F.lit(0))).alias("changed"))
+        .groupBy("_id", "item_id", "reading").agg(F.count("*").alias("n_windows"), F.max("n").alias("n"), F.max("changed").alias("changed_slots"))
+        .groupBy("_id", "item_id").agg(F.max(F.struct(share.alias("coverage"), -F.col("changed_slots"), "n_windows", "changed_slots")).alias("best"))
+        .where(F.col("best.coverage") >= coverage)
+        .select(F.col("_id").alias("doc_id"), "item_id", "best.n_windows", "best.coverage", "best.changed_slots")
     )
 
 
 def _short_lengths(size: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = {len(template(t)[0]) for t in batch["text"]}
-            yield pd.DataFrame({"length": sorted(n for n in found if 0 < n < size)}).astype("int32")
+            found = {pair for t in batch["text"] for pair in ((TEMPLATE, len(template(t)[0])), (SPELLED, len(spelled(pieces_of(t)))))}
+            yield pd.DataFrame([p for p in sorted(found) if 0 < p[1] < size], columns=["reading", "length"]).astype("int32")
 
     return run
 

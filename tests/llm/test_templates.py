@@ -57,6 +57,14 @@ def test_short_items_and_windows_of_their_length(spark):
     assert set(found(spark, docs, [(1, "What is the capital of france?"), (2, "Yes or no?")])) == {(1, 1), (2, 1)}
 
 
+def test_items_of_numbers_and_names(spark):
+    items = [(1, "2 + 2 = ?"), (2, "Who wrote Hamlet?"), (3, "What is 12 + 7?"), (4, "Anna, 12 March 2004; Tom, 13 May 2005; Eva, 14 June 2006; Otto, 15 July 2007"),
+             (5, "Der Mann sah Haus, Hund, Katze, Maus und Baum im Garten bei Regen, Wind und Schnee am Abend")]
+    docs = [(i, f"he said this to us: {t} and so it was") for i, t in items] + [(10, "there were 2, 2 or 3 of them"), (11, "what is 12, 7 or 5"), (12, "who wrote 7")]
+    assert set(found(spark, docs, items)) == {(i, i) for i, _ in items}
+    assert set(found(spark, [(1, "so 12+7 is: What is 12 +7?")], items)) == {(1, 3)}
+
+
 def test_drop(spark):
     d = spark.createDataFrame([(1, QUESTION, "a", 1), (2, "fine", "b", 2), (None, QUESTION, "c", 3)], DOCS)
     kept = T.drop_contaminated(d, spark.createDataFrame([(1, QUESTION)], ITEMS))
