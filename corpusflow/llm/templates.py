@@ -73,7 +73,7 @@ def template(text: str | None, known=described) -> tuple[list[str], list[int], l
     return template_of(pieces_of(text, known))
 
 
-def template_of(pieces: list[tuple[int, str]]) -> tuple[list[str], list[int], list[str]]:
+def template_of(pieces: list[tuple[int, str]], begins: bool = True) -> tuple[list[str], list[int], list[str]]:
     """The same from the pieces.
 
     A capitalised word is a name unless it begins a sentence. Names that follow each other are one. A
@@ -82,7 +82,6 @@ def template_of(pieces: list[tuple[int, str]]) -> tuple[list[str], list[int], li
     words: list[str] = []
     places: list[int] = []
     values: list[str] = []
-    begins = True
     for kind, low in pieces:
         if kind == PLAIN:
             words.append(low)
@@ -105,6 +104,14 @@ def template_of(pieces: list[tuple[int, str]]) -> tuple[list[str], list[int], li
     return words, places, values
 
 
+def other_readings(pieces: list[tuple[int, str]]) -> list[tuple[int, tuple]]:
+    """How else a text may stand in another: within a line, where its first word may be a name, or in lower case."""
+    lowered = [(PLAIN if kind == CAPITAL else kind, low) for kind, low in pieces]
+    first = template_of(pieces)
+    found = [(WITHIN, template_of(pieces, begins=False)), (LOWERED, template_of(lowered))]
+    return [r for r in found if r[1] != first]
+
+
 def spelled(pieces: list[tuple[int, str]]) -> list[str]:
     """The pieces of a text in lower case, without ends of sentences."""
     return [low for kind, low in pieces if kind != END]
@@ -155,8 +162,8 @@ class Windows:
         return (total ^ (total >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(size + salt)
 
 
-#: Ways to read a text: as a template, and by its pieces themselves.
-TEMPLATE, SPELLED = 0, 1
+#: Ways to read an item: as a template, by its pieces themselves, and as ``other_readings``.
+TEMPLATE, SPELLED, WITHIN, LOWERED = range(4)
 SALT = 1 << 32
 SCHEMA = "_id long, reading int, pos int, h long, first int, slots array<string>, signs string, n int"
 
@@ -190,23 +197,24 @@ def windows_of(
 
             for key, text in zip(batch["_id"], batch["text"]):
                 whole = pieces_of(text, known_pieces)
-                words, places, values = template_of(whole)
-                slots_before = np.zeros(len(words) + 1, np.int64)
-                slots_before[np.array(places, np.int64) + 1] = 1
-                slots_before = np.cumsum(slots_before)
-                for maker in makers:
-                    length = min(maker.size, len(words))
-                    if not length or (maker.size != size and length < maker.size):
-                        continue
-                    hashes = maker.of(words)
-                    slots = slots_before[length:] - slots_before[:-length]
-                    told = length - slots >= min(least_plain, length)
-                    if ask is not None:
-                        told &= ask(hashes)
-                    at = np.flatnonzero(told)
-                    if len(at):
-                        held = [values[slots_before[i] : slots_before[i] + slots[i]] for i in at.tolist()]
-                        put(key, TEMPLATE, at, hashes, slots_before[at].tolist(), held, [None] * len(at))
+                # every reading of an item is looked up, so a document needs one only
+                for reading, (words, places, values) in [(TEMPLATE, template_of(whole)), *(other_readings(whole) if ask is None else ())]:
+                    slots_before = np.zeros(len(words) + 1, np.int64)
+                    slots_before[np.array(places, np.int64) + 1] = 1
+                    slots_before = np.cumsum(slots_before)
+                    for maker in makers:
+                        length = min(maker.size, len(words))
+                        if not length or (maker.size != size and length < maker.size):
+                            continue
+                        hashes = maker.of(words)
+                        slots = slots_before[length:] - slots_before[:-length]
+                        told = length - slots >= min(least_plain, length)
+                        if ask is not None:
+                            told &= ask(hashes)
+                        at = np.flatnonzero(told)
+                        if len(at):
+                            held = [values[slots_before[i] : slots_before[i] + slots[i]] for i in at.tolist()]
+                            put(key, reading, at, hashes, slots_before[at].tolist(), held, [None] * len(at))
                 pieces = spelled(whole)
                 for maker in spelled_makers:
                     length = min(maker.size, len(pieces))
@@ -241,7 +249,8 @@ def contaminated(
     of the slots are consistent, cover at least ``coverage`` of the item's windows. ``changed_slots`` counts the item's values that stand for another one there: over
     zero, the question was re-parameterised. The same share of windows of the text as it is spelled, whatever
     the case, will do as well: so an item of fewer than ``least_plain`` plain words is found with its own
-    values. The larger coverage is given. Rows without id and null or empty texts match nothing. Rows that repeat an id are one document (or item).
+    values. An item is read as the start of a sentence, as a part of one and in lower case, each with its own
+    windows. The largest coverage is given. Rows without id and null or empty texts match nothing. Rows that repeat an id are one document (or item).
 
     The benchmark's window hashes go into a bit map of bounded size, whatever the benchmark's; only
     windows of documents that pass it are joined, by hash, with the windows themselves.
@@ -257,7 +266,7 @@ def contaminated(
     found = windows_of(pick(docs, id_col, text_col), size, least_plain, ask, short, spelled_short)
     wanted = items.select(F.col("_id").alias("item_id"), "reading", F.col("pos").alias("at"), "h", "first", F.col("slots").alias("item_slots"), F.col("signs").alias("item_signs"), "n")
     met = cut(
-        found.select("_id", "reading", "pos", "h", "slots", "signs").join(wanted, ["h", "reading"])
+        found.select("_id", "pos", "h", "slots", "signs").join(wanted, "h")
         .where((F.size("slots") == F.size("item_slots")) & F.col("signs").eqNullSafe(F.col("item_signs")))
         .withColumn("line", F.col("pos") - F.col("at"))
     )
@@ -282,7 +291,9 @@ def contaminated(
 def _short_lengths(size: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = {pair for t in batch["text"] for pair in ((TEMPLATE, len(template(t)[0])), (SPELLED, len(spelled(pieces_of(t)))))}
+            found = set()
+            for pieces in map(pieces_of, batch["text"]):
+                found |= {(TEMPLATE, len(r[1][0])) for r in [(TEMPLATE, template_of(pieces)), *other_readings(pieces)]} | {(SPELLED, len(spelled(pieces)))}
             yield pd.DataFrame([p for p in sorted(found) if 0 < p[1] < size], columns=["reading", "length"]).astype("int32")
 
     return run

@@ -65,6 +65,15 @@ def test_items_of_numbers_and_names(spark):
     assert set(found(spark, [(1, "so 12+7 is: What is 12 +7?")], items)) == {(1, 3)}
 
 
+def test_items_within_lines_and_in_other_cases(spark):
+    items = [(1, "What is the capital of France?"), (2, "How many of the 12 boxes are in Berlin now?")]
+    docs = [(1, "Q: What is the capital of France?"), (2, "what is the capital of france"), (3, "so Anna (What is the capital of France) said"), (4, "7 What is the capital of Spain"),
+            (5, "Q: How many of the 30 boxes are in Paris now"), (6, "how many of the 30 boxes are in berlin now"), (7, 'he said "How many of the 12 boxes are in Berlin now"'), (8, "WHAT IS THE CAPITAL OF FRANCE"),
+            (9, "what is the capital of spain"), (10, "how few of the 30 boxes are in berlin then")]
+    got = set(found(spark, docs, items))
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 1), (8, 1), (5, 2), (6, 2), (7, 2)}
+
+
 def test_drop(spark):
     d = spark.createDataFrame([(1, QUESTION, "a", 1), (2, "fine", "b", 2), (None, QUESTION, "c", 3)], DOCS)
     kept = T.drop_contaminated(d, spark.createDataFrame([(1, QUESTION)], ITEMS))
