@@ -74,6 +74,13 @@ SHORT = 12
 STOP_DENSITY = 0.1
 #: Words that an article element must hold to be taken for the article.
 ARTICLE_WORDS = 1
+#: Share of the page's prose that article elements must hold to be taken for the article, and words
+#: of other prose up to which one with the page's heading is taken for it anyway.
+ARTICLE_SHARE = 0.25
+LITTLE = 50
+#: Shares of the page's prose and of its unlinked words in a form or a named part that wraps the page.
+WRAPPED_PROSE = 0.8
+WRAPPED_WORDS = 0.5
 
 
 @dataclass
@@ -81,6 +88,9 @@ class Block:
     tag: str
     outside: bool  # within a part around the article
     article: int  # within an article (2) or a main part (1)
+    part: int = 0  # within a main part (1), articles aside
+    fixed: bool = False  # outside by more than forms and names
+    wrappers: tuple[int, ...] = ()  # numbers of the forms and named parts that make it outside
     pieces: list[str] = field(default_factory=list)
     linked: list[str] = field(default_factory=list)
     text: str = ""
@@ -125,6 +135,12 @@ def is_around(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
+def is_fixed(tag: str, attributes: str, in_article: bool) -> bool:
+    """Is it around the article by more than a form or a name, which may also wrap a whole page?"""
+    unnamed = ATTRIBUTE.sub(lambda m: "" if m[1].lower() in ("class", "id") else m[0], attributes)
+    return tag == "p" or is_around("div" if tag == "form" else tag, unnamed, in_article)
+
+
 def article_level(tag: str, attributes: str) -> int:
     """2 where the start tag says that an article follows, 1 where it says so of the main part, else 0."""
     if tag == "article":
@@ -147,9 +163,10 @@ def article_level(tag: str, attributes: str) -> int:
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page that have text, in page order."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # open elements: name, outside, article
+    top = Block("", False, 0)
+    stack: list[tuple[str, Block]] = []  # open elements: name, what holds for their text
     block = Block("", False, 0)
-    paragraph_outside, in_link, at = False, False, 0
+    paragraph_outside, in_link, at, wrappers = False, False, 0, 0
 
     def add(text: str) -> None:
         if text:
@@ -163,8 +180,8 @@ def blocks_of(page: str) -> list[Block]:
         block.close()
         if block.text:
             found.append(block)
-        outside, article = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-        block = Block(tag, outside or paragraph_outside, article)
+        here = stack[-1][1] if stack else top
+        block = Block(tag, here.outside or paragraph_outside, here.article, here.part, here.fixed or paragraph_outside, here.wrappers)
 
     while token := TOKEN.search(page, at):
         add(page[at : token.start()])
@@ -200,21 +217,65 @@ def blocks_of(page: str) -> list[Block]:
             if name in BLOCKS:
                 turn(name)
         else:
-            outside, article = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-            around = is_around(name, token["rest"], article > 0)
+            here = stack[-1][1] if stack else top
+            around = is_around(name, token["rest"], here.article > 0)
             if name == "p":
                 paragraph_outside = around
                 turn(name)
             elif name in BLOCKS or around:
-                stack.append((name, outside or around, max(article, article_level(name, token["rest"]))))
+                level = article_level(name, token["rest"])
+                fixed = around and is_fixed(name, token["rest"], here.article > 0)
+                wrappers += around
+                inner = Block(name, here.outside or around, max(here.article, level), max(here.part, level % 2), here.fixed or fixed)
+                inner.wrappers = (*here.wrappers, wrappers) if around and not fixed else here.wrappers
+                stack.append((name, inner))
                 turn(name)
     add(page[at:])
     turn("")
     return found
 
 
+def unlinked(b: Block) -> int:
+    return b.words - b.link_words
+
+
+def is_prose(b: Block) -> bool:
+    return b.words >= SHORT and b.link_words <= LINK_DENSITY * b.words
+
+
+def unwrap(blocks: list[Block]) -> None:
+    """A form or a named part that holds nearly all prose of the page is no part around it."""
+    if not any(b.wrappers for b in blocks):
+        return
+    open_ = [b for b in blocks if not b.fixed]
+    prose, words = sum(b.words for b in open_ if is_prose(b)), sum(map(unlinked, open_))
+    held: dict[int, list[int]] = {}
+    for b in open_:
+        for w in b.wrappers:
+            counts = held.setdefault(w, [0, 0])
+            counts[0] += b.words if is_prose(b) else 0
+            counts[1] += unlinked(b)
+    whole = {w for w, (p, n) in held.items() if p and p >= WRAPPED_PROSE * prose and n >= WRAPPED_WORDS * words}
+    for b in blocks:
+        b.wrappers = tuple(w for w in b.wrappers if w not in whole)
+        b.outside = b.fixed or bool(b.wrappers)
+
+
+def weigh_articles(blocks: list[Block]) -> None:
+    """Article elements that hold too little of the page's prose, such as teasers, count as what they stand in."""
+    inside = [b for b in blocks if b.article == 2 and not b.outside]
+    own = sum(map(unlinked, inside))
+    other = sum(b.words for b in blocks if b.article < 2 and not b.outside and is_prose(b))
+    if own >= ARTICLE_SHARE * (own + other) or (other <= LITTLE and any(b.tag == "h1" for b in inside)):
+        return
+    for b in blocks:
+        b.article = b.part
+
+
 def label_blocks(blocks: list[Block]) -> None:
     """Both passes; sets ``label`` to "good" or "bad"."""
+    unwrap(blocks)
+    weigh_articles(blocks)
     # the closest thing to an article that the page names
     level = max((b.article for b in blocks if not b.outside), default=0)
     for b in blocks:

@@ -32,6 +32,21 @@ def test_article_within_main_and_readers_articles():
     assert main_text(f"<p>{PROSE}</p><div id=content><p>B</p><div class=sidebar>{PROSE}</div></div>")[0] == "B"
 
 
+@pytest.mark.parametrize("body", ["<main>{}</main>", "<div id=content>{}</div>", "<div>{}</div>"])
+def test_a_teaser_is_not_the_article(body):
+    text = f"<h1>The title</h1><p>{PROSE}, he said.</p><p>{PROSE}</p><p>{PROSE}, they say.</p>"
+    want = f"The title\n{PROSE}, he said.\n{PROSE}\n{PROSE}, they say."
+    assert want in main_text(f"{body.format(text)}<article class=card><h2>More</h2><p>Read it</p></article>")[0]
+    assert want in main_text(f"<article class=card><a href=x>More</a></article>{body.format(text)}")[0]
+
+
+@pytest.mark.parametrize("wrapper", ["<form id=aspnetForm>{}</form>", "<div class='layout sidebar-right'>{}</div>", "<form><div class='page sidebar-left'>{}</div></form>"])
+def test_a_wrapper_of_the_page_is_no_part_around_it(wrapper):
+    text = f"<div class=header-menu>Menu</div><h1>The title</h1><p>{PROSE}, he said.</p><p>{PROSE}</p><p>{PROSE}, we say.</p><p>{PROSE}, they say.</p>"
+    page = wrapper.format(f"{text}<div class=sidebar>Words of the side</div><div class=newsletter>{PROSE}</div>") + "<footer>Foot</footer>"
+    assert main_text(page)[0] == f"The title\n{PROSE}, he said.\n{PROSE}\n{PROSE}, we say.\n{PROSE}, they say."
+
+
 def test_link_lists_are_menus():
     links = "".join(f"<p><a href=x>The one of the {i} and of all the others that there are to be had</a></p>" for i in range(4))
     assert main_text(f"<div>{links}</div><div><p>{PROSE}</p><p>{PROSE}</p></div>")[0] == f"{PROSE}\n{PROSE}"
