@@ -50,8 +50,20 @@ SIGN = re.compile(r"[-+*/=<>^×÷−%$€£]")
 PLAIN, END, CAPITAL, DIGITS, MEASURE = range(5)
 
 
-def described(piece: str) -> tuple[int, str]:
-    """What a piece of text can be, and its form for comparison."""
+def word_hash(word: str) -> int:
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "replace"), 7)
+
+
+HOLDER_HASHES = {word: word_hash(word) for word in (NUMBER, NAME, UNIT)}
+
+
+def described(piece: str) -> tuple[int, str, int]:
+    """What a piece of text can be, its form for comparison, and the hash of that."""
+    kind, low = kind_of(piece)
+    return kind, low, word_hash(low)
+
+
+def kind_of(piece: str) -> tuple[int, str]:
     first = piece[0]
     if first in ENDS:
         return END, ""
@@ -64,17 +76,17 @@ def described(piece: str) -> tuple[int, str]:
     return CAPITAL if first.isupper() and piece[1:].islower() else PLAIN, low
 
 
-def pieces_of(text: str | None, known=described) -> list[tuple[int, str]]:
+def pieces_of(text: str | None, known=described) -> list[tuple[int, str, int]]:
     return list(map(known, PIECE.findall(text or "")))
 
 
 def template(text: str | None, known=described) -> tuple[list[str], list[int], list[str]]:
     """Template words of a text, the places of its placeholders, and the values that they stand for."""
-    return template_of(pieces_of(text, known))
+    return template_of(pieces_of(text, known))[:3]
 
 
-def template_of(pieces: list[tuple[int, str]], begins: bool = True) -> tuple[list[str], list[int], list[str]]:
-    """The same from the pieces.
+def template_of(pieces: list[tuple[int, str, int]], begins: bool = True) -> tuple[list[str], list[int], list[str], list[int]]:
+    """The same from the pieces, and the hashes of the words.
 
     A capitalised word is a name unless it begins a sentence. Names that follow each other are one. A
     unit is one only right after a number.
@@ -82,9 +94,11 @@ def template_of(pieces: list[tuple[int, str]], begins: bool = True) -> tuple[lis
     words: list[str] = []
     places: list[int] = []
     values: list[str] = []
-    for kind, low in pieces:
+    hashes: list[int] = []
+    for kind, low, hashed in pieces:
         if kind == PLAIN:
             words.append(low)
+            hashes.append(hashed)
             begins = False
             continue
         if kind == END:
@@ -98,23 +112,25 @@ def template_of(pieces: list[tuple[int, str]], begins: bool = True) -> tuple[lis
                 places.append(len(words))
                 values.append(low)
                 words.append(word)
+                hashes.append(HOLDER_HASHES[word])
         else:
             words.append(low)
+            hashes.append(hashed)
         begins = False
-    return words, places, values
+    return words, places, values, hashes
 
 
-def other_readings(pieces: list[tuple[int, str]]) -> list[tuple[int, tuple]]:
+def other_readings(pieces: list[tuple[int, str, int]]) -> list[tuple[int, tuple]]:
     """How else a text may stand in another: within a line, where its first word may be a name, or in lower case."""
-    lowered = [(PLAIN if kind == CAPITAL else kind, low) for kind, low in pieces]
+    lowered = [(PLAIN if kind == CAPITAL else kind, low, hashed) for kind, low, hashed in pieces]
     first = template_of(pieces)
     found = [(WITHIN, template_of(pieces, begins=False)), (LOWERED, template_of(lowered))]
     return [r for r in found if r[1] != first]
 
 
-def spelled(pieces: list[tuple[int, str]]) -> list[str]:
-    """The pieces of a text in lower case, without ends of sentences."""
-    return [low for kind, low in pieces if kind != END]
+def spelled(pieces: list[tuple[int, str, int]]) -> list[int]:
+    """The hashes of the pieces of a text in lower case, without ends of sentences."""
+    return [hashed for kind, _, hashed in pieces if kind != END]
 
 
 def signs_of(text: str, starts: list[int], length: int) -> list[str]:
@@ -146,18 +162,26 @@ class Windows:
 
     def __init__(self, size: int) -> None:
         self.size = size
-        self.hashes = Remembered(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "replace"), 7))
         self.powers = np.array([pow(0x9E3779B97F4A7C15 | 1, i, 1 << 64) for i in range(size)], np.uint64)
 
-    def of(self, words: list[str], salt: int = 0) -> np.ndarray:
-        n = len(words)
+    def of(self, words: list[str]) -> np.ndarray:
+        return self.of_hashes(list(map(word_hash, words)))
+
+    def of_hashes(self, hashes: list[int], salt: int = 0) -> np.ndarray:
+        n = len(hashes)
         size = min(self.size, n)
         if not n:
             return np.zeros(0, np.uint64)
-        h = np.fromiter(map(self.hashes.__getitem__, words), np.uint64, n)
-        total = np.zeros(n - size + 1, np.uint64)
-        for i in range(size):
-            total += h[i : n - size + 1 + i] * self.powers[i]
+        h = np.array(hashes, np.uint64)
+        if size & (size - 1) == 0:
+            # each round joins two halves of twice the length
+            total, half = h, 1
+            while half < size:
+                total, half = total[:-half] + total[half:] * self.powers[half], half * 2
+        else:
+            total = np.zeros(n - size + 1, np.uint64)
+            for i in range(size):
+                total += h[i : n - size + 1 + i] * self.powers[i]
         # windows of another length must not meet these
         return (total ^ (total >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(size + salt)
 
@@ -198,7 +222,7 @@ def windows_of(
             for key, text in zip(batch["_id"], batch["text"]):
                 whole = pieces_of(text, known_pieces)
                 # every reading of an item is looked up, so a document needs one only
-                for reading, (words, places, values) in [(TEMPLATE, template_of(whole)), *(other_readings(whole) if ask is None else ())]:
+                for reading, (words, places, values, word_hashes) in [(TEMPLATE, template_of(whole)), *(other_readings(whole) if ask is None else ())]:
                     slots_before = np.zeros(len(words) + 1, np.int64)
                     slots_before[np.array(places, np.int64) + 1] = 1
                     slots_before = np.cumsum(slots_before)
@@ -206,7 +230,7 @@ def windows_of(
                         length = min(maker.size, len(words))
                         if not length or (maker.size != size and length < maker.size):
                             continue
-                        hashes = maker.of(words)
+                        hashes = maker.of_hashes(word_hashes)
                         slots = slots_before[length:] - slots_before[:-length]
                         told = length - slots >= min(least_plain, length)
                         if ask is not None:
@@ -220,7 +244,7 @@ def windows_of(
                     length = min(maker.size, len(pieces))
                     if not length or (maker.size != size and length < maker.size):
                         continue
-                    hashes = maker.of(pieces, SALT)
+                    hashes = maker.of_hashes(pieces, SALT)
                     at = np.arange(len(hashes)) if ask is None else np.flatnonzero(ask(hashes))
                     if len(at):
                         signs = signs_of(text, at.tolist(), length) if length < size else [None] * len(at)
