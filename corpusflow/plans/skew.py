@@ -32,8 +32,9 @@ def lookup_join(
     hot = weighted.where(F.col("_weight") * HOT_SHARE > total).select(
         F.col(key).alias("_hot_key"), F.col(value).alias("_hot_value")
     )
+    # generated, since the planner would fold a constant and deal the rows out by the key alone
     rest = weighted.select(
-        F.col(key).alias("_rest_key"), F.lit(0).alias("_rest_spread"), F.col(value).alias("_rest_value")
+        F.col(key).alias("_rest_key"), F.explode(F.array(F.lit(0))).alias("_rest_spread"), F.col(value).alias("_rest_value")
     )
     marked = facts.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left").withColumn(
         "_spread", F.when(F.col("_hot_key").isNull(), F.lit(0)).otherwise(F.abs(F.hash(spread)) + 1)
