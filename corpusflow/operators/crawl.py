@@ -6,6 +6,8 @@ seed and the row that linked to it (0 for a seed, -1 for a search result or impo
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,6 +73,52 @@ def visit_order(frontier: DataFrame, depth_first: bool = False) -> DataFrame:
     return running_rank(frontier, [], [*order, F.asc("url")], "visit_no")
 
 
+def depth_first_order(tree: DataFrame, order: str = "pos") -> DataFrame:
+    """Position of each page ``(rowid, parent, order)`` when a page's links are visited before all that was queued earlier.
+
+    This is the preorder of the forest; pages without a stored parent are its roots, siblings stand by ``order``, then by rowid.
+    No task holds a tree: a tour enters and leaves each page, and how much of it lies ahead
+    is found by pointer doubling, in as many joins on unique keys as the number of pages has binary digits. Pages that
+    only a cycle leads to have no position.
+    """
+    pages = tree.select("rowid", "parent", F.col(order).alias("_pos"))
+    known = pages.select(F.col("rowid").alias("parent"), F.explode(F.array(F.lit(True))).alias("_known"))
+    children = pages.groupBy("parent").agg(F.count("*").alias("_n")).join(known, "parent")
+    # roots are the children of no page
+    placed = lookup_join(pages, children, "parent", "_known", F.col("_n"), F.col("rowid"), "left").select(
+        "rowid", "_pos", F.when(F.col("_known"), F.col("parent")).alias("parent")
+    )
+    ranked = cut(
+        running_rank(placed.withColumn("_root", F.col("parent").isNull()).withColumn("parent", F.coalesce("parent", F.lit(0))),
+                     ["_root", "parent"], ["_pos", "rowid"], "nth")
+    )
+    heads = ranked.where("nth = 1 AND NOT _root").select(F.col("parent").alias("rowid"), F.col("rowid").alias("child"))
+    siblings = ranked.select("_root", "parent", (F.col("nth") - 1).alias("nth"), F.col("rowid").alias("sibling"))
+    step = lambda page, leaves: F.struct(page.alias("page"), F.lit(leaves).alias("leaves"))
+    page = F.col("rowid")
+    enter = ranked.join(heads, "rowid", "left").select(
+        step(page, False).alias("at"),
+        F.when(F.col("child").isNotNull(), step(F.col("child"), False)).otherwise(step(page, True)).alias("next"),
+        F.lit(1).cast("long").alias("ahead"),
+    )
+    leave = ranked.join(siblings, ["_root", "parent", "nth"], "left").select(
+        step(page, True).alias("at"),
+        F.when(F.col("sibling").isNotNull(), step(F.col("sibling"), False)).when(~F.col("_root"), step(F.col("parent"), True)).alias("next"),
+        F.lit(0).cast("long").alias("ahead"),
+    )
+    tour = cut(enter.unionByName(leave))
+    for _ in range(tour.count().bit_length()):
+        if tour.where("next IS NOT NULL").isEmpty():
+            break
+        jump = tour.select(F.col("at").alias("next"), F.col("next").alias("_next"), F.col("ahead").alias("_ahead"))
+        tour = cut(tour.join(jump, "next", "left").select("at", F.col("_next").alias("next"), (F.col("ahead") + F.coalesce("_ahead", F.lit(0))).alias("ahead")))
+    ended = tour.where("next IS NULL AND NOT at.leaves").select(F.col("at.page").alias("rowid"), "ahead")
+    numbered = ended.withColumn("_all", ended.select(F.max("ahead")).scalar())
+    return tree.join(numbered, "rowid", "left").select(
+        *[tree[c] for c in tree.columns], (F.col("_all") - F.col("ahead") + 1).alias("visit_no")
+    )
+
+
 def level_filter(pages: DataFrame, level_from: int = 0, level_to: int = -1) -> DataFrame:
     """Whether the page is kept and whether its links are taken."""
     return pages.select(
@@ -324,3 +372,47 @@ def link_lineage(sources: DataFrame) -> DataFrame:
     return lookup_join(
         sources.select("rowid", "url", "link_origin_rowid"), parents, "link_origin_rowid", "origin_url", F.col("n"), F.col("rowid"), "left"
     ).select("rowid", "url", "link_origin_rowid", "origin_url")
+
+
+def link_path(sources: DataFrame) -> DataFrame:
+    """Each source ``(rowid, url, link_origin_rowid)`` with ``depth``, ``seed`` and the ``path`` of URLs from its seed to itself.
+
+    A source without stored origin, or with itself as origin, is a seed. Pointers are doubled: after k joins a source knows its
+    ancestor 2^k links away, so a chain of any length takes as many joins as its length has binary digits. The
+    first run finds seeds and depths; what still has no seed after enough joins for all rows hangs on a cycle and gets nulls. The second run
+    adds the paths, without the rows of cycles.
+    """
+    pages = sources.select("rowid", "url", "link_origin_rowid")
+    known = pages.select(F.col("rowid").alias("link_origin_rowid"), F.col("rowid").alias("_parent"))
+    children = known.join(pages.groupBy("link_origin_rowid").agg(F.count("*").alias("_n")), "link_origin_rowid")
+    linked = lookup_join(pages, children, "link_origin_rowid", "_parent", F.col("_n"), F.col("rowid"), "left")
+    own = F.coalesce("_parent", "rowid")
+    base = cut(linked.select("rowid", "url", own.alias("at"), (own == F.col("rowid")).alias("ended")))
+    start = base.select("rowid", "at", "ended", (~F.col("ended")).cast("long").alias("depth"))
+    found = _pointers(start, "depth", lambda far, near: far + near, base.count().bit_length() + 1)
+    seeds = found.where("ended").select("rowid", "depth", F.col("at").alias("seed"))
+    acyclic = base.join(seeds.select("rowid"), "rowid", "left_semi").select("rowid", "at", "ended", F.array("url").alias("path"))
+    paths = _pointers(acyclic, "path", F.concat, None).select("rowid", "path")
+    return pages.select("rowid", "url").join(seeds, "rowid", "left").join(paths, "rowid", "left")
+
+
+def _pointers(rows: DataFrame, value: str, joined: Callable[[Column, Column], Column], most: int | None) -> DataFrame:
+    """Double the pointers ``at`` of ``(rowid, at, ended, value)`` until all have ended, ``most`` times at most.
+
+    ``value`` sums up the way from ``at``, without it, to the row; where the way has ended it takes in all of it. A row that very many
+    point to is answered by a bounded broadcast.
+    """
+    rows = cut(rows)
+    for _ in range(most if most is not None else 64):
+        open_ = rows.where("NOT ended")
+        if open_.isEmpty():
+            break
+        asked = open_.groupBy("at").agg(F.count("*").alias("_n"))
+        far = rows.select(F.col("rowid").alias("at"), F.struct("at", "ended", value).alias("_far")).join(asked, "at")
+        moved = lookup_join(open_, far, "at", "_far", F.col("_n"), F.col("rowid"))
+        rows = cut(
+            rows.where("ended").unionByName(
+                moved.select("rowid", F.col("_far.at").alias("at"), F.col("_far.ended").alias("ended"), joined(F.col(f"_far.{value}"), F.col(value)).alias(value))
+            )
+        )
+    return rows

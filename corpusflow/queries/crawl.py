@@ -65,6 +65,29 @@ def visit_order_depth(spark, sf):
     return crawl.visit_order(turns(spark, sf), depth_first=True)
 
 
+# Each turn links to the two turns after twice its number; a conversation is found from the first turn of conversation div 3.
+SQL_TALK = """talk AS (SELECT conv_id * 1000 + turn AS rowid, CASE WHEN turn > 0 THEN conv_id * 1000 + (turn - 1) // 2
+  WHEN conv_id > 0 THEN conv_id // 3 * 1000 END AS parent, (conv_id * 7 + turn * 5) % 11 AS pos FROM conversations)"""
+
+
+def talk(spark, sf):
+    turn, conv = F.col("turn"), F.col("conv_id")
+    return table(spark, sf, "conversations").select(
+        (conv * 1000 + turn).alias("rowid"),
+        F.when(turn > 0, conv * 1000 + F.floor((turn - 1) / 2)).when(conv > 0, F.floor(conv / 3) * 1000).alias("parent"),
+        ((conv * 7 + turn * 5) % 11).alias("pos"),
+    )
+
+
+@query(f"""WITH RECURSIVE {SQL_TALK}, stored AS (
+  SELECT rowid, pos, CASE WHEN parent IN (SELECT rowid FROM talk) THEN parent END AS parent FROM talk),
+way AS (SELECT rowid, [pos, rowid] AS way FROM stored WHERE parent IS NULL
+  UNION ALL SELECT s.rowid, way || [s.pos, s.rowid] FROM stored s JOIN way w ON s.parent = w.rowid)
+SELECT rowid, parent, pos, row_number() OVER (ORDER BY way) AS visit_no FROM talk JOIN way USING (rowid)""")
+def depth_first_order(spark, sf):
+    return crawl.depth_first_order(talk(spark, sf))
+
+
 @query(f"WITH t AS ({TURNS}) SELECT url, level, level >= 2 AS keep_page, level + 1 <= 4 AS take_links FROM t")
 def level_filter(spark, sf):
     return crawl.level_filter(turns(spark, sf).select("url", "level"), 2, 4)
@@ -216,6 +239,16 @@ def link_lineage(spark, sf):
     return crawl.link_lineage(corpus(spark, sf))
 
 
+@query(f"""WITH RECURSIVE {SQL_CORPUS},
+way AS (SELECT rowid, url, 0::BIGINT AS depth, rowid AS seed, [url] AS path FROM corpus
+    WHERE link_origin_rowid = rowid OR link_origin_rowid NOT IN (SELECT rowid FROM corpus)
+  UNION ALL SELECT c.rowid, c.url, depth + 1, seed, path || [c.url]
+    FROM corpus c JOIN way w ON c.link_origin_rowid = w.rowid AND c.rowid <> w.rowid)
+SELECT rowid, url, depth, seed, path FROM way""")
+def link_path(spark, sf):
+    return crawl.link_path(corpus(spark, sf))
+
+
 # ------------------------------------------------------------------ ingest
 
 
