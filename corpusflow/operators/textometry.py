@@ -19,6 +19,7 @@ from ..plans.checkpoints import stored
 from ..plans.ordered import running_total
 from ..plans.skew import lookup_join
 
+EDGE_TYPE = "suit"  # fixed value: the type of all edges of a collocation graph
 STRETCH = 4096  # tokens per stretch of a section that is made of many rows
 
 
@@ -302,6 +303,11 @@ def token_evolution(bow: DataFrame, token: str, threshold: float = 5.0) -> DataF
         F.sum("freq").alias("size"),
         F.coalesce(F.sum(F.when(F.col("token") == token, F.col("freq"))), F.lit(0)).alias("freq"),
     )
+    return evolution(sizes, threshold)
+
+
+def evolution(sizes: DataFrame, threshold: float = 5.0) -> DataFrame:
+    """Specificity of a token from ``section_id, size, freq`` of all sections, with the extremes."""
     cells = sizes.withColumn("_corpus", sizes.select(F.sum("size")).scalar()).withColumn(
         "_totfreq", sizes.select(F.sum("freq")).scalar()
     )
@@ -452,11 +458,30 @@ def collocation_graph(collspec: DataFrame, token: str, k: int = 5, depth: int =
     frontier = edges
     for level in range(1, depth + 1):
         nodes = frontier.select(F.col("target").alias("source")).distinct()
-        frontier = best.join(F.broadcast(nodes), "source", "left_semi").withColumn(
-            "level", F.lit(level)
-        )
+        frontier = best.join(nodes, "source", "left_semi").withColumn("level", F.lit(level))
         edges = edges.unionByName(frontier)
-    return edges.withColumn("type", F.lit("suit"))
+    return edges.withColumn("type", F.lit(EDGE_TYPE))
+
+
+def collocation_graph_of(
+    cooc: DataFrame, vocab: DataFrame, n: int, token: str, k: int = 5, depth: int = 1, threshold: float = 5.0
+) -> DataFrame:
+    """Edges from the token to its ``k`` best collocates, and on for ``depth`` more levels.
+
+    ``level`` is that of the source. Only pairs of the tokens that are asked for are scored: of the start, then of the
+    collocates that the last level found, at most ``k ** level`` and stored before they are joined.
+    """
+    order = Window.partitionBy("token").orderBy(F.desc("spec"), F.desc("collocate"))
+    edges, asked = None, cooc.where(F.col("x") == token)
+    for level in range(depth + 1):
+        best = (
+            collocation_specificity(asked, vocab, n, threshold).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+            .select(F.col("token").alias("source"), F.col("collocate").alias("target"), "spec", "rank", F.lit(level).alias("level"))
+        )
+        best = stored(best, "best")
+        edges = best if edges is None else edges.unionByName(best)
+        asked = cooc.join(best.select(F.col("target").alias("x")).distinct(), "x", "left_semi")
+    return edges.withColumn("type", F.lit(EDGE_TYPE))
 
 
 def graph_levels(edges: DataFrame, token: str) -> DataFrame:

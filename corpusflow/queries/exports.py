@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import concordance as kwic
+from ..operators import positions
 from ..plans.checkpoints import scratch_path
 from ..sources import writers
 from .base import SQL_CORPUS, corpus, heavy, query, table
+from .textometry import doc_index
 
 WORD, BEFORE, AFTER = "the", 60, 40
 RE = "(?i)\\bthe\\b"
@@ -33,6 +35,13 @@ def concordance(spark, sf):
     return kwic.concordance(heavy(spark, sf, "documents"), "doc_id", "text", WORD, BEFORE, AFTER)
 
 
+@query(f"WITH {sql_concordance('documents', 'doc_id', True)} SELECT id AS doc_id, pos, \"left\", match, \"right\" FROM kwic")
+def index_concordance(spark, sf):
+    """Only the documents that the stored index names are searched."""
+    docs = table(spark, sf, "documents")
+    return positions.concordance(doc_index(spark, sf), docs, "doc_id", "text", WORD, BEFORE, AFTER)
+
+
 @query(f"""WITH {sql_concordance('documents', 'doc_id', False)} SELECT id AS doc_id, pos, "left", match, "right", row_number() OVER (ORDER BY id, pos) AS number FROM kwic""")
 def numbered_concordance(spark, sf):
     return kwic.numbered_concordance(

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import positions
 from ..operators import textometry as tx
 from ..operators.concordance import highlight as highlight_column
-from ..plans.checkpoints import stored
+from ..plans.checkpoints import scratch_path, stored
 from .base import SQL_NON_WORD, heavy, query, sql_tokens, table
 from .langid import sql_characters
 
@@ -144,14 +145,16 @@ def lexical_table(spark, sf):
     return tx.lexical_table(stored(doc_bow(spark, sf), "bags"))
 
 
-@query(f"""SELECT * FROM (PIVOT (SELECT lang, unnest({sql_tokens('text')}) AS token, 1 AS n FROM documents WHERE lang IS NOT NULL)
-  ON lang USING count(n) GROUP BY token)""")
+MATRIX_LANGS = ["de", "en", "es", "fr"]
+
+
+@query(f"""SELECT token, {', '.join(f"count(*) FILTER (lang = '{lang}') AS {lang}" for lang in MATRIX_LANGS)}
+FROM (SELECT lang, unnest({sql_tokens('text')}) AS token FROM documents WHERE lang IN ({', '.join(f"'{lang}'" for lang in MATRIX_LANGS)})) GROUP BY token""")
 def lexical_matrix(spark, sf):
-    """One column for each language that occurs."""
-    docs = table(spark, sf, "documents")
-    langs = sorted(r.lang for r in docs.where("lang IS NOT NULL").select("lang").distinct().collect())
+    """One column for each of the languages that are asked for."""
+    docs = heavy(spark, sf, "documents").where(F.col("lang").isin(MATRIX_LANGS))
     by_lang = tx.sections_by_row(docs, "lang", "lang", ["text"])
-    return tx.lexical_matrix(tx.bag_of_words(tx.tokenize(by_lang)), langs)
+    return tx.lexical_matrix(tx.bag_of_words(tx.tokenize(by_lang)), MATRIX_LANGS)
 
 
 # ------------------------------------------------------------------ specificity
@@ -261,10 +264,9 @@ def cooccurrences_of_groups(spark, sf):
     return tx.cooccurrences(tx.stretches(tokens, WINDOW), WINDOW)
 
 
-def collocations(spark, sf):
+def pairs(spark, sf):
     tokens = doc_tokens(spark, sf)
-    vocab = stored(tx.vocabulary(tx.bag_of_words(tokens)), "vocabulary")
-    return tx.collocation_specificity(tx.cooccurrences(tokens, WINDOW), vocab, WINDOW), vocab
+    return tx.cooccurrences(tokens, WINDOW), tx.vocabulary(tx.bag_of_words(tokens))
 
 
 COLLOC = COOC + f""",
@@ -277,15 +279,21 @@ ccells AS (SELECT x AS token, y AS collocate, a.totfreq AS totfreq, b.totfreq AS
 
 @query(f"WITH {COLLOC} SELECT token, collocate, totfreq, cooc, spec, log10p FROM scored WHERE spec <> 0")
 def collocation_specificity(spark, sf):
-    return shown(collocations(spark, sf)[0])
+    return shown(tx.collocation_specificity(*pairs(spark, sf), WINDOW))
 
 
 @query(f"WITH {COLLOC} SELECT collocate, collocate_freq, cooc, spec FROM scored WHERE spec <> 0 AND token = '{WORD}' AND regexp_matches(collocate, 'e')")
 def collocation_table(spark, sf):
-    spec, vocab = collocations(spark, sf)
+    cooc, vocab = pairs(spark, sf)
+    spec = tx.collocation_specificity(cooc.where(F.col("x") == WORD), vocab, WINDOW)
     return tx.collocation_table(spec, vocab, WORD, "e")
 
 
+def word_graph(spark, sf):
+    cooc, vocab = pairs(spark, sf)
+    return tx.collocation_graph_of(stored(cooc, "pairs"), vocab, WINDOW, WORD)
+
+
 GRAPH = COLLOC + f""",
 best AS (SELECT token AS source, collocate AS target, spec,
            row_number() OVER (PARTITION BY token ORDER BY spec DESC, collocate DESC)::INTEGER AS rank FROM scored WHERE spec <> 0
@@ -297,13 +305,13 @@ edges AS (SELECT *, 0 AS level, 'suit' AS type FROM best WHERE source = '{WORD}'
 
 @query(f"WITH {GRAPH} SELECT * FROM edges")
 def collocation_graph(spark, sf):
-    return tx.collocation_graph(collocations(spark, sf)[0], WORD)
+    return word_graph(spark, sf)
 
 
 @query(f"""WITH {GRAPH} SELECT label, min(level)::INTEGER AS level FROM (
   SELECT source AS label, level FROM edges UNION ALL SELECT target, level + 1 FROM edges) GROUP BY label""")
 def graph_levels(spark, sf):
-    return tx.graph_levels(tx.collocation_graph(collocations(spark, sf)[0], WORD), WORD)
+    return tx.graph_levels(word_graph(spark, sf), WORD)
 
 
 @query(f"""WITH {GRAPH}, levels AS (SELECT label, min(level) AS level FROM (
@@ -311,7 +319,46 @@ def graph_levels(spark, sf):
 SELECT (SELECT '[' || string_agg('{{"source":"' || source || '","target":"' || target || '","spec":' || spec || ',"type":"suit"}}', ',' ORDER BY level, source, rank) || ']' FROM edges) AS links,
   (SELECT '{{' || string_agg('"' || label || '":' || level, ',' ORDER BY label) || '}}' FROM levels) AS levels""")
 def graph_json(spark, sf):
-    return tx.graph_json(tx.collocation_graph(collocations(spark, sf)[0], WORD), WORD)
+    return tx.graph_json(word_graph(spark, sf), WORD)
+
+
+# ------------------------------------------------------------------ the stored index
+
+
+def doc_index(spark, sf):
+    path = scratch_path(spark, "index")
+    positions.write_index(stored(doc_tokens(spark, sf), "tokens"), path, WINDOW)
+    return positions.read_index(spark, path, WINDOW)
+
+
+@query(f"WITH {TOKENS}, pos AS (SELECT section_id, unnest(tokens) AS token, unnest(range(len(tokens)))::INTEGER AS pos FROM tok) SELECT section_id, pos FROM pos WHERE token = '{WORD}'")
+def token_positions(spark, sf):
+    return positions.token_positions(doc_index(spark, sf), WORD)
+
+
+@query(f"WITH {BOW} SELECT section_id, freq FROM bow WHERE token = '{WORD}'")
+def index_sections_with_token(spark, sf):
+    return positions.sections_with_token(doc_index(spark, sf), WORD)
+
+
+@query(f"""WITH {BOW}, per AS (
+  SELECT section_id, sum(freq)::BIGINT AS size, coalesce(sum(freq) FILTER (token = '{WORD}'), 0)::BIGINT AS freq FROM bow GROUP BY section_id),
+whole AS (SELECT *, (SELECT sum(freq) FROM per)::BIGINT AS totfreq FROM per),
+{sql_scored('whole', 'SELECT sum(size) FROM per', 'size')}
+SELECT section_id, size, freq, spec, log10p, min(spec) OVER () AS min_spec, max(spec) OVER () AS max_spec, max(freq) OVER () AS max_freq FROM scored""")
+def index_token_evolution(spark, sf):
+    return shown(positions.token_evolution(doc_index(spark, sf), WORD))
+
+
+@query(f"""WITH {TOKENS}, pos AS (SELECT section_id, tokens, unnest(range(len(tokens)))::INTEGER AS pos FROM tok)
+SELECT section_id, pos FROM pos WHERE tokens[pos + 1] = 'of' AND tokens[pos + 2] = '{WORD}'""")
+def index_phrase(spark, sf):
+    return positions.phrase(doc_index(spark, sf), ["of", WORD])
+
+
+@query(f"WITH {COLLOC} SELECT collocate, collocate_freq, cooc, spec FROM scored WHERE spec <> 0 AND token = '{WORD}' AND regexp_matches(collocate, 'e')")
+def index_collocation_table(spark, sf):
+    return positions.collocation_table(doc_index(spark, sf), WORD, "e")
 
 
 # ------------------------------------------------------------------ display
