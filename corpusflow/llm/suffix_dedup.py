@@ -5,7 +5,7 @@ Neighbouring windows of one anchor are a fragment of at most 84 bytes, and equal
 one anchor. So texts are cut into fragments, the few anchors that occur again are found by bit maps of bounded size, and
 only fragments of these shuffle: as two hashes where all fragments of an anchor are equal, else with their bytes.
 
-The different fragments of an anchor are compared by their suffixes. Prefix polynomial hashes
+The different fragments of an anchor are compared by the suffixes that start their windows. Prefix polynomial hashes
 give the hash of any substring at once, binary search on its length the common extension of two suffixes, and a
 mergesort over all anchors of a batch their order. What the order says is verified byte by byte; after a collision the batch is sorted anew
 with other hashes.
@@ -14,7 +14,7 @@ with other hashes.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pandas as pd
@@ -30,9 +30,9 @@ WINDOW, GRAM = 50, 16
 #: Windows that may share an anchor, and the most windows of a fragment.
 SPAN = WINDOW - GRAM + 1
 #: Bytes of text that are hashed together. A longer text is taken in pieces that overlap by a window less one.
-BLOCK_BYTES = 1 << 18
+BLOCK_BYTES = 1 << 16
 #: Fragments that a task gathers before it hands them on, and different fragments that are sorted together at least.
-CHUNK, BATCH = 1 << 20, 1 << 14
+CHUNK, BATCH = 1 << 18, 1 << 13
 #: An anchor of more different fragments is hot: its windows are fragments of their own, so no task gets them all.
 HOT = 4096
 #: Text bytes for each bucket of a bit map, and the most bits of one (64 MB).
@@ -43,6 +43,10 @@ NO_ID = (1 << 63) - 1
 SEED = 42
 
 U = np.uint64
+#: Hashes by which suffixes are compared: narrow, as every order that they give is verified.
+NARROW = np.uint32
+#: Hashes that are tried; each fails for a batch about once in a thousand times.
+TRIES = 20
 
 
 # ------------------------------------------------------------------ prefix polynomial hashes
@@ -56,30 +60,33 @@ def _base(seed: int) -> tuple[np.ndarray, int, int]:
     return rng.integers(0, 1 << 64, 256, U), base, pow(base, -1, 1 << 64)
 
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_powers: dict[tuple[int, type], tuple[np.ndarray, np.ndarray]] = {}
 
 
-def powers(n: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int, seed: int = SEED, width: type = U) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n`` powers of the base and of its inverse."""
-    if seed not in _powers or len(_powers[seed][0]) < n:
-        _, base, inverse = _base(seed)
+    if (seed, width) not in _powers or len(_powers[seed, width][0]) < n:
+        _, *bases = _base(seed)
         found = []
-        for b in (base, inverse):
-            steps = np.full(n, b, U)
+        for b in bases:
+            steps = np.full(n, b & int(np.iinfo(width).max), width)
             steps[:1] = 1
-            found.append(np.multiply.accumulate(steps))
-        _powers[seed] = found[0], found[1]
-    return _powers[seed][0][:n], _powers[seed][1][:n]
+            found.append(np.multiply.accumulate(steps, dtype=width))
+        _powers[seed, width] = found[0], found[1]
+    up, down = _powers[seed, width]
+    return up[:n], down[:n]
 
 
 class Hashed:
     """A text with the hashes of its prefixes: the hash of any substring costs two look-ups."""
 
-    def __init__(self, data: np.ndarray, seed: int = SEED):
-        up, self.down = powers(len(data) + 1, seed)
+    def __init__(self, data: np.ndarray, seed: int = SEED, width: type = U):
+        up, self.down = powers(len(data) + 1, seed, width)
         self.data = data
-        self.prefix = np.zeros(len(data) + 1, U)
-        np.cumsum(_base(seed)[0][data] * up[:-1], out=self.prefix[1:])
+        self.prefix = np.zeros(len(data) + 1, width)
+        coded = _base(seed)[0].astype(width)[data]
+        coded *= up[:-1]
+        np.cumsum(coded, out=self.prefix[1:], dtype=width)
 
     def of(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
         return (self.prefix[start + length] - self.prefix[start]) * self.down[start]
@@ -89,32 +96,55 @@ class Hashed:
         from_a, from_b, down_a, down_b = self.prefix[a], self.prefix[b], self.down[a], self.down[b]
         low, step = np.zeros(len(a), np.int64), 1 << max(int(most.max(initial=0)).bit_length() - 1, 0)
         while step:
-            to = low + step
-            fits = to <= most
-            to[~fits] = 0
-            equal = fits & ((self.prefix[a + to] - from_a) * down_a == (self.prefix[b + to] - from_b) * down_b)
-            low[equal] += step
+            # beyond its end a suffix is asked for its whole length again
+            to = np.minimum(low + step, most)
+            equal = (self.prefix[a + to] - from_a) * down_a == (self.prefix[b + to] - from_b) * down_b
+            low = np.where(equal, to, low)
             step >>= 1
         return low
 
+    @cached_property
+    def words(self) -> np.ndarray:
+        """Eight bytes from each place on, as a little-endian number."""
+        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        return np.ndarray(len(self.data) + 1, "<u8", padded, strides=(1,))
+
+    def first_bytes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The first eight bytes of each text[start:end] as a number of the same order; zeros after its end."""
+        length = np.minimum(end - start, 8)
+        return np.where(length > 0, self.words[start].byteswap() & (~U(0) << (U(8) * (8 - np.maximum(length, 1)).astype(U))), U(0))
+
 
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> U(32))) * U(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> U(29))) * U(0x94D049BB133111EB)
-    return h ^ (h >> U(32))
+    h ^= h >> U(29)
+    h *= U(0x94D049BB133111EB)
+    h ^= h >> U(32)
+    return h
 
 
 # ------------------------------------------------------------------ suffix sort
 
 
+def _stands_before(text: Hashed, start: np.ndarray, end: np.ndarray, x: np.ndarray, y: np.ndarray, or_equal: np.ndarray) -> np.ndarray:
+    """Whether suffix ``x`` is smaller than ``y``, by hashes; equal ones count where ``or_equal``."""
+    a, b = start[x], start[y]
+    length_a, length_b = end[x] - a, end[y] - b
+    shared = text.common(a, b, np.minimum(length_a, length_b))
+    ended_a, ended_b = shared == length_a, shared == length_b
+    last = len(text.data) - 1
+    smaller = text.data[np.minimum(a + shared, last)] < text.data[np.minimum(b + shared, last)]
+    return np.where(ended_a | ended_b, ended_a & (~ended_b | or_equal), smaller)
+
+
 def sorted_suffixes(text: Hashed, start: np.ndarray, end: np.ndarray, group: np.ndarray) -> np.ndarray:
     """Places of the suffixes text[start:end] in order, within each group; ``group`` must be ascending.
 
     A mergesort from below: at each level every suffix finds by binary search how many of the run that it is merged
     with stand before it, and so its place. Groups that are already one run take no part. Two suffixes are
-    compared by their common extension and the byte after it.
+    compared by their first eight bytes, and if these agree by their common extension and the byte after it.
     """
-    order = np.arange(len(start))
+    order, key = np.arange(len(start)), text.first_bytes(start, end)
     first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
     size = np.diff(np.append(first, len(start)))
     begin, size = np.repeat(first, size), np.repeat(size, size)
@@ -134,15 +164,11 @@ def sorted_suffixes(text: Hashed, start: np.ndarray, end: np.ndarray, group: np.
                 break
             mid = (low[open_] + high[open_]) >> 1
             me, they = mine[open_], order[mid]
-            a, b = start[me], start[they]
-            length_a, length_b = end[me] - a, end[they] - b
-            shared = text.common(a, b, np.minimum(length_a, length_b))
-            ended_a, ended_b = shared == length_a, shared == length_b
-            byte_a = text.data[np.minimum(a + shared, len(text.data) - 1)]
-            byte_b = text.data[np.minimum(b + shared, len(text.data) - 1)]
-            same = ended_a & ended_b
-            less = np.where(ended_a | ended_b, ended_b & ~ended_a, byte_b < byte_a)  # they stand before me
-            before = less | (same & right[open_])
+            key_a, key_b = key[me], key[they]
+            before = key_b < key_a  # they stand before me
+            tied = np.flatnonzero(key_a == key_b)
+            if len(tied):
+                before[tied] = _stands_before(text, start, end, they[tied], me[tied], right[open_[tied]])
             low[open_[before]] = mid[before] + 1
             high[open_[~before]] = mid[~before]
         moved = order.copy()
@@ -156,93 +182,57 @@ def neighbours(text: Hashed, start: np.ndarray, end: np.ndarray, group: np.ndarr
     """Common extension of each suffix in order with the one before (0 for the first of a group), and whether the bytes agree."""
     a, b = order[:-1], order[1:]
     most = np.where(group[a] == group[b], np.minimum(end[a] - start[a], end[b] - start[b]), 0)
-    shared = text.common(start[a], start[b], most)
-    reach = int(most.max(initial=0)) + 1
-    last = len(text.data) - 1
+    x, y = start[a], start[b]
+    shared = text.common(x, y, most)
     right = True
-    for lo in range(0, len(a), CHUNK // 16):
-        part = slice(lo, lo + CHUNK // 16)
-        at = np.arange(reach)
-        x = text.data[np.minimum(start[a[part]][:, None] + at, last)]
-        y = text.data[np.minimum(start[b[part]][:, None] + at, last)]
-        differs = x != y
-        differs &= at < most[part][:, None]
-        first = np.where(differs.any(axis=1), differs.argmax(axis=1), most[part])
-        here = np.arange(len(first))
-        column = np.minimum(first, reach - 1)
-        ordered = (first >= most[part]) | (x[here, column] < y[here, column])
-        # a suffix that is the beginning of the next stands before it
-        ordered &= (first < most[part]) | (most[part] == 0) | (end[a[part]] - start[a[part]] <= end[b[part]] - start[b[part]])
-        right &= bool((first == shared[part]).all() and ordered.all())
+    for i in range(0, int(shared.max(initial=0)), 8):  # what is said to be equal is equal
+        rows = np.flatnonzero(shared > i)
+        used = np.minimum(shared[rows] - i, 8).astype(U)
+        right &= not ((text.words[x[rows] + i] ^ text.words[y[rows] + i]) & (~U(0) >> (U(64) - U(8) * used))).any()
+    # then comes a smaller byte, or the end
+    inner, ended = np.flatnonzero(shared < most), np.flatnonzero((shared == most) & (most > 0))
+    right &= bool((text.data[x[inner] + shared[inner]] < text.data[y[inner] + shared[inner]]).all())
+    right &= bool((end[a[ended]] - x[ended] <= end[b[ended]] - y[ended]).all())
     return np.concatenate([[0], shared]) if len(order) else np.zeros(0, np.int64), right
 
 
-def _reach(text: Hashed, start: np.ndarray, end: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, bool]:
-    """The longest common extension of each suffix with any other of its group: with one of its neighbours in order."""
-    order = sorted_suffixes(text, start, end, group)
-    shared, right = neighbours(text, start, end, group, order)
-    best = np.zeros(len(start), np.int64)
-    best[order] = np.maximum(shared, np.append(shared[1:], 0))
-    return best, right
-
-
 def earlier_windows(data: np.ndarray, bounds: np.ndarray, group: np.ndarray, least: np.ndarray, seed: int = SEED) -> np.ndarray:
     """For each fragment the windows, as bits, that a fragment of its group with a smaller ``least`` has too.
 
-    ``data`` holds the fragments one after the other. Around each occurrence of the group's anchor the
-    suffixes are sorted forwards and backwards; windows beyond the longest common extensions are in no
-    other fragment. The suffixes that start the remaining windows are then sorted, and windows are equal where neighbours
+    ``data`` holds the fragments one after the other. A window whose hash no fragment of another ``least`` of the group has is in no other
+    document. The suffixes that start the remaining windows are sorted, and windows are equal where neighbours
     share a whole one.
     """
-    while True:
-        text = Hashed(data, seed)
-        backwards = Hashed(data[::-1].copy(), seed)
-        n = len(data)
-        start, end = bounds[:-1], bounds[1:]
-        # an anchor is the least gram of the first window; all its occurrences in the fragment count
-        gram_at = np.arange(max(n - GRAM + 1, 0))
-        owner = np.searchsorted(bounds, gram_at, "right") - 1
-        whole = gram_at + GRAM <= end[owner]
-        gram_at, owner = gram_at[whole], owner[whole]
-        anchors = anchor_hashes(Hashed(data), gram_at)
-        least_gram = np.minimum.reduceat(np.where(gram_at < start[owner] + SPAN, anchors, ~U(0)), np.searchsorted(owner, np.arange(len(start))))
-        pivot = np.flatnonzero(anchors == least_gram[owner])
-        at, of = gram_at[pivot], owner[pivot]
-        ahead, right = _reach(text, at, end[of], group[of])
-        behind, also = _reach(backwards, n - at, n - start[of], group[of])
-        if not (right and also):
-            seed += 1
-            continue
-        # windows that start at most ``behind`` before the anchor and end at most ``ahead`` after it
-        low, high = np.maximum(at - behind, start[of]), np.minimum(at, at + ahead - WINDOW)
-        some = high >= low
-        low, count, of = low[some], (high - low + 1)[some], of[some]
-        window = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        code = np.unique(np.repeat(of, count) * np.int64(SPAN) + window - start[np.repeat(of, count)])
-        of, offset = code // SPAN, code % SPAN
-        window = start[of] + offset
+    start = bounds[:-1]
+    count = np.diff(bounds) - WINDOW + 1
+    every = np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    owner = np.repeat(np.arange(len(start)), count)
+    for seed in range(seed, seed + TRIES):
+        text = Hashed(data, seed, NARROW)
+        code = text.of(every, WINDOW).astype(np.int64) + (group[owner] << 32)
+        by_code = np.argsort(code)
+        heads = np.flatnonzero(np.diff(code[by_code], prepend=-1))
+        in_class = least[owner[by_code]]
+        several = np.minimum.reduceat(in_class, heads) < np.maximum.reduceat(in_class, heads)
+        kept = np.sort(by_code[np.repeat(several, np.diff(np.append(heads, len(code))))])
+        window, of = every[kept], owner[kept]
         order = sorted_suffixes(text, window, window + WINDOW, group[of])
         shared, right = neighbours(text, window, window + WINDOW, group[of], order)
         if not right:
-            seed += 1
             continue
         masks = np.zeros(len(start), np.int64)
         if len(order):
             heads = np.flatnonzero(shared < WINDOW)
-            smallest = np.minimum.reduceat(least[of[order]], heads)
-            smallest = np.repeat(smallest, np.diff(np.append(heads, len(order))))
+            smallest = np.repeat(np.minimum.reduceat(least[of[order]], heads), np.diff(np.append(heads, len(order))))
             found = order[smallest < least[of[order]]]
-            np.bitwise_or.at(masks, of[found], np.int64(1) << offset[found])
+            np.bitwise_or.at(masks, of[found], np.int64(1) << (window[found] - start[of[found]]))
         return masks
+    raise ArithmeticError(f"no hash of {TRIES} puts these suffixes in order")
 
 
 # ------------------------------------------------------------------ fragments of texts
 
 
-def anchor_hashes(text: Hashed, at: np.ndarray) -> np.ndarray:
-    return mixed(text.of(at, GRAM))
-
-
 def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     n = 1
     while n * 2 <= width:
@@ -261,7 +251,8 @@ class Fragments:
             self.anchor = self.hash = np.zeros(0, U)
             self.lo = self.count = self.of = np.zeros(0, np.int64)
             return
-        grams = mixed((text.prefix[GRAM:] - text.prefix[:-GRAM]) * text.down[: len(data) - GRAM + 1])
+        grams = text.prefix[GRAM:] - text.prefix[:-GRAM]
+        grams *= text.down[: len(data) - GRAM + 1]
         least = _sliding_min(grams, SPAN)
         begins = np.ones(n, bool)
         begins[1:] = least[1:] != least[:-1]
@@ -448,7 +439,7 @@ def _each_fragment(docs: DataFrame, wanted, open_: object = None, hot: object =
                         None if h else raw[lo : lo + n + WINDOW - 1] for lo, n, h in zip(found.lo.tolist(), found.count.tolist(), is_hot.tolist())
                     ]
                 held += len(found.lo)
-                if held >= (CHUNK if pieces is None else CHUNK // 4):
+                if held >= (CHUNK * 2 if pieces is None else CHUNK // 2):
                     yield from _merged(parts, pieces)
                     parts, pieces, held = [], (None if pieces is None else []), 0
         yield from _merged(parts, pieces)
@@ -527,27 +518,45 @@ KEPT = T.StructType([
     T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
     T.StructField("kept", T.BinaryType()),
 ])
+KEPT_ARROW = pa.struct([("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
 
 
 @F.arrow_udf(KEPT)
 def _cut_out(text: pa.Array, lo: pa.Array, mask: pa.Array) -> pa.Array:
     """Removed runs, and what is left of the text without the windows that start at ``lo`` plus the bits of ``mask``."""
-    spans, kept = [], []
-    for raw, starts, bits in zip(text.cast(pa.large_binary()), lo, mask):
-        data = np.frombuffer(raw.as_py(), np.uint8)
-        at, bits = starts.values.to_numpy(), bits.values.to_numpy()
-        row, bit = np.nonzero((bits[:, None] >> np.arange(SPAN)) & 1)
-        change = np.zeros(len(data) + 1, np.int32)
-        windows = at[row] + bit
-        np.add.at(change, windows, 1)
-        np.add.at(change, windows + WINDOW, -1)
-        gone = np.cumsum(change[:-1]) > 0
-        edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]])))
-        spans.append([{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2])])
-        kept.append(data[~gone].tobytes())
-    return pa.StructArray.from_arrays(
-        [pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], ["spans", "kept"]
-    )
+    text = text.cast(pa.large_binary())
+    offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+    whole = np.frombuffer(text.buffers()[2] or b"", np.uint8)
+    lengths = lo.value_lengths().to_numpy()
+    border = np.concatenate([[0], np.cumsum(lengths)])
+    starts, bits = lo.flatten().to_numpy(), mask.flatten().to_numpy()
+    parts, row = [], 0
+    while row < len(text):
+        to = max(row + 1, int(np.searchsorted(offsets, offsets[row] + BLOCK_BYTES, "right")) - 1)
+        own = slice(int(border[row]), int(border[to]))
+        parts.append(_runs_and_rest(whole[offsets[row] : offsets[to]], offsets[row : to + 1] - offsets[row], lengths[row:to], starts[own], bits[own]))
+        row = to
+    return pa.concat_arrays(parts) if parts else pa.array([], KEPT_ARROW)
+
+
+def _runs_and_rest(data: np.ndarray, bounds: np.ndarray, lengths: np.ndarray, starts: np.ndarray, bits: np.ndarray) -> pa.Array:
+    """Spans and kept bytes of the texts of a block; a text has ``lengths`` of the starts and bits. An unused place stands behind each text."""
+    n = len(bounds) - 1
+    at = bounds[:-1] + np.arange(n)
+    which, bit = np.nonzero((bits[:, None] >> np.arange(SPAN)) & 1)
+    windows = (starts + np.repeat(at, lengths))[which] + bit
+    size = len(data) + n
+    change = np.bincount(windows, minlength=size) - np.bincount(windows + WINDOW, minlength=size)
+    gone = np.cumsum(change) > 0
+    edges = np.flatnonzero(np.diff(gone, prepend=False, append=False))
+    first, last = edges[::2], edges[1::2]
+    of = np.searchsorted(at, first, "right") - 1
+    span = pa.StructArray.from_arrays([pa.array(first - at[of]), pa.array(last - at[of])], ["start", "end"])
+    spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(n + 1)), pa.int32()), span)
+    stays = ~np.delete(gone, bounds[1:] + np.arange(n))
+    ends = np.concatenate([[0], np.cumsum(stays)])[bounds].astype(np.int32)
+    kept = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data[stays].tobytes())])
+    return pa.StructArray.from_arrays([spans, kept], ["spans", "kept"])
 
 
 def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -595,11 +604,15 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
     def closed(anchor: pa.Array) -> pa.Array:
         return pa.array(~Bits(open_.value).has(as_u64(anchor.to_numpy())))
 
-    alone = every.where("most > least").where(closed("anchor")).select("anchor", "hash", "least", F.lit(0).cast("long").alias("mask"), "n")
-    matter = alone.unionByName(compared).select(
-        F.struct("anchor", "hash").alias("fragment"), F.struct("least", "mask").alias("found"), F.col("n"), "hash"
-    )
-    [known] = share(bit_maps(_coded(matter.select("hash"), column("hash"), bucket_bits, 1), bucket_bits, map_bits, [1]))
+    def closed_hashes(batch: pa.RecordBatch) -> list[np.ndarray]:
+        return [as_u64(batch.column("hash").to_numpy())[~Bits(open_.value).has(as_u64(batch.column("anchor").to_numpy()))]]
+
+    shared = every.where("most > least")
+    # asked within one function: a second one in the same task would be a second worker with its own memory
+    coded = _coded(shared.select("anchor", "hash"), closed_hashes, bucket_bits, 1).union(_coded(compared.select("hash"), column("hash"), bucket_bits, 1))
+    [known] = share(bit_maps(coded, bucket_bits, map_bits, [1]))
+    alone = shared.where(closed("anchor")).select("anchor", "hash", "least", F.lit(0).cast("long").alias("mask"), "n")
+    matter = alone.unionByName(compared).select(F.struct("anchor", "hash").alias("fragment"), F.struct("least", "mask").alias("found"), "n")
     places = _found(texts, again, hot, known).withColumn("fragment", F.struct("anchor", "hash")).drop("anchor", "hash")
     joined = lookup_join(places, matter, "fragment", "found", F.col("n"), F.struct("doc", "lo"))
     whole = F.expr("shiftleft(1L, count) - 1")
