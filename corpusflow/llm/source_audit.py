@@ -9,6 +9,7 @@ exact counts decide.
 
 from __future__ import annotations
 
+import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
@@ -31,17 +32,22 @@ FIRST_LEVEL, LEVEL_FACTOR = 4, 3
 MAX_BITS = 1 << 27
 BITS_PER_KEY, PROBES = 16, 3
 #: Entries that a task counts or remembers before it hands them on or forgets them.
-MOST_ENTRIES = 400_000
+MOST_ENTRIES = 800_000
 PIECE = 1 << 20
+#: Terms of so many bytes are rare: they are searched for, without the others being cut out.
+LONG = 8
 #: Sources that are compared in one block, and terms in it.
 BLOCK_SOURCES, BLOCK_TERMS = 64, 8192
 SEED = 42
 
 
-def terms_in(text: bytes) -> Iterator[list[bytes]]:
-    """The terms of a UTF-8 text in order, with repeats, in lists of bounded size."""
+def terms_in(text: bytes, least: int = 0) -> Iterator[list[bytes]]:
+    """The terms of a UTF-8 text in order, with repeats, in lists of bounded size; where ``least`` is large, only terms of so many bytes."""
     start = 0
     folded = text.translate(FOLDED)
+    if least >= LONG:
+        yield re.findall(rb"[^ ]{%d,}" % least, folded)
+        return
     while len(folded) - start > PIECE:
         to = folded.find(b" ", start + PIECE)
         if to < 0:
@@ -57,18 +63,24 @@ def terms_in(text: bytes) -> Iterator[list[bytes]]:
 class Passing:
     """Is a prefix of a language perhaps in the map? Everything is, where there is no map."""
 
-    def __init__(self, words: np.ndarray | None):
-        self.words = words
+    def __init__(self, bits: bytes | None):
+        self.bits = bits
+        self.last = len(bits or b"") * 8 - 1
 
     def __call__(self, lang_seed: int, prefix: bytes) -> bool:
-        if self.words is None:
+        if self.bits is None:
             return True
         h = xxhash.xxh64_intdigest(prefix, lang_seed)
-        low, high, last = h & 0xFFFFFFFF, h >> 32, len(self.words) * 64 - 1
-        return all(int(self.words[(at := (low + i * high) & last) >> 6]) >> (at & 63) & 1 for i in range(PROBES))
+        at, step = h & 0xFFFFFFFF, h >> 32
+        for _ in range(PROBES):
+            place = at & self.last
+            if not self.bits[place >> 3] >> (place & 7) & 1:
+                return False
+            at += step
+        return True
 
 
-def bit_map(prefixes: DataFrame) -> np.ndarray:
+def bit_map(prefixes: DataFrame) -> bytes:
     """A Bloom filter of ``lang, prefix``: at most ``MAX_BITS`` bits, merged by a group of 64 bits."""
     wanted = max(prefixes.count() * BITS_PER_KEY, 1 << 10)
     bits = min(1 << (wanted - 1).bit_length(), MAX_BITS)
@@ -79,9 +91,9 @@ def bit_map(prefixes: DataFrame) -> np.ndarray:
         at.select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, int(at & 63))").alias("bit"))
         .groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     )
-    whole = np.zeros(bits // 64, np.uint64)
-    whole[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
-    return whole
+    whole = np.zeros(bits // 64, "<i8")
+    whole[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return whole.tobytes()
 
 
 class Known(dict):
@@ -92,7 +104,7 @@ class Known(dict):
         self.of = of
 
     def __missing__(self, term: bytes):
-        if len(self) >= MOST_ENTRIES:
+        if len(self) >= MOST_ENTRIES // 2:
             self.clear()
         self[term] = found = self.of(term)
         return found
@@ -112,7 +124,7 @@ def _handed_on(counts: dict[tuple[str, ...], Counter], names: list[str], counted
     for key, counter in counts.items():
         counter.pop(None, None)
         if counter:
-            columns = {name: pa.array([value] * len(counter), pa.string()) for name, value in zip(names, key)}
+            columns = {name: pa.repeat(pa.scalar(value, pa.string()), len(counter)) for name, value in zip(names, key)}
             yield pa.RecordBatch.from_pydict({**columns, counted: pa.array(list(counter), pa.binary()), n: pa.array(list(counter.values()), pa.int64())})
     counts.clear()
 
@@ -120,7 +132,7 @@ def _handed_on(counts: dict[tuple[str, ...], Counter], names: list[str], counted
 # ------------------------------------------------------------------ levels
 
 
-def _documents_by_prefix(rows: DataFrame, level: int, before: int, passed: np.ndarray | None) -> DataFrame:
+def _documents_by_prefix(rows: DataFrame, level: int, before: int, passed: bytes | None) -> DataFrame:
     """``lang, prefix, docs``: documents that hold a term of that prefix, where the shorter prefix of the last level has passed."""
     shared = rows.sparkSession.sparkContext.broadcast(passed)
 
@@ -132,10 +144,11 @@ def _documents_by_prefix(rows: DataFrame, level: int, before: int, passed: np.nd
             if lang not in known:
                 seed = xxhash.xxh64_intdigest(lang.encode(), SEED)
                 # a term that ended within the last level is final; the others are asked for
-                known[lang] = Known(lambda t, seed=seed: (t + END)[:level] if len(t) >= before and passing(seed, t[:before]) else None)
+                asked = Known(lambda prefix, seed=seed: passing(seed, prefix))
+                known[lang] = Known(lambda t, asked=asked: (t + END)[:level] if len(t) >= before and asked[t[:before]] else None)
             prefix_of = known[lang].__getitem__
             held: set = set()
-            for terms in terms_in(text):
+            for terms in terms_in(text, before):
                 held.update(map(prefix_of, terms))
             counts[(lang,)].update(held)
             if sum(map(len, counts.values())) > MOST_ENTRIES:

@@ -70,3 +70,4 @@ def test_no_rows(spark):
 def test_pieces_end_between_terms(size):
     text = (b"Ab cde f" * (size // 8 + 1))[:size] + b" end" + b"x" * size
     assert [t for part in source_audit.terms_in(text) for t in part] == text.lower().split()
+    assert [t for part in source_audit.terms_in(text, 12) for t in part] == [t for t in text.lower().split() if len(t) >= 12]
