@@ -9,52 +9,64 @@ exact counts decide.
 
 from __future__ import annotations
 
-import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import answer, stored, table, text_of
 
-#: Bytes outside of terms become spaces, A-Z lower case; all other letters are bytes of 0x80 and above.
-FOLDED = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 #: The mark behind a complete term: a byte that is in no term.
 END = b"\0"
+#: Bytes outside of terms become end marks, A-Z lower case; all other letters are bytes of 0x80 and above.
+FOLDED = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x61 <= c <= 0x7A or c >= 0x80 else 0 for c in range(256))
 FIRST_LEVEL, LEVEL_FACTOR = 4, 3
 #: A bit map of prefixes takes at most so many bits (16 MB).
 MAX_BITS = 1 << 27
 BITS_PER_KEY, PROBES = 16, 3
-#: Entries that a task counts or remembers before it hands them on or forgets them.
-MOST_ENTRIES = 800_000
-PIECE = 1 << 20
-#: Terms of so many bytes are rare: they are searched for, without the others being cut out.
-LONG = 8
+#: Counts that a task brings together before it hands them on, and their bytes.
+MOST_ENTRIES, MOST_BYTES = 800_000, 1 << 27
+#: Bytes of text of one language that are cut into terms at a time.
+SLICE = 1 << 23
 #: Sources that are compared in one block, and terms in it.
 BLOCK_SOURCES, BLOCK_TERMS = 64, 8192
 SEED = 42
 
 
-def terms_in(text: bytes, least: int = 0) -> Iterator[list[bytes]]:
-    """The terms of a UTF-8 text in order, with repeats, in lists of bounded size; where ``least`` is large, only terms of so many bytes."""
-    start = 0
-    folded = text.translate(FOLDED)
-    if least >= LONG:
-        yield re.findall(rb"[^ ]{%d,}" % least, folded)
-        return
-    while len(folded) - start > PIECE:
-        to = folded.find(b" ", start + PIECE)
+def pieces(text: bytes) -> Iterator[bytes]:
+    """A UTF-8 text, folded, in pieces of bounded size that are cut between terms."""
+    folded, start = text.translate(FOLDED), 0
+    while len(folded) - start > SLICE:
+        to = folded.find(END, start + SLICE)
         if to < 0:
             break
-        yield folded[start:to].split()
+        yield folded[start:to]
         start = to
-    yield folded[start:].split()
+    yield folded[start:]
+
+
+def marked_terms(folded: list[bytes], least: int = 0) -> tuple[np.ndarray, pa.Array]:
+    """The terms of at least ``least`` bytes of folded texts in order, with repeats: the number of each one's text, and the terms with end marks."""
+    joined = np.frombuffer(END.join(folded) + END, np.uint8)
+    inside = joined != 0
+    edge = np.diff(inside.view(np.int8), prepend=np.int8(0))
+    first, mark = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    of = np.searchsorted(np.cumsum([len(f) + 1 for f in folded]), first, "right")
+    inside[mark] = True
+    offsets = np.zeros(len(first) + 1, np.int32)
+    np.cumsum(mark - first + 1, out=offsets[1:])
+    terms = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(joined[inside])])
+    if least:
+        long = mark - first >= least
+        return of[long], terms.filter(pa.array(long))
+    return of, terms
 
 
 # ------------------------------------------------------------------ bit maps of prefixes
@@ -96,40 +108,66 @@ def bit_map(prefixes: DataFrame) -> bytes:
     return whole.tobytes()
 
 
-class Known(dict):
-    """Remembers what becomes of each term of one language; forgets when it is full."""
-
-    def __init__(self, of):
-        super().__init__()
-        self.of = of
-
-    def __missing__(self, term: bytes):
-        if len(self) >= MOST_ENTRIES // 2:
-            self.clear()
-        self[term] = found = self.of(term)
-        return found
-
-
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str, bytes]]:
-    """Language, source and text of each row; the text as UTF-8."""
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[str], list[bytes]]]:
+    """Language, sources and texts (UTF-8) of rows of one language, of bounded size unless one text is larger."""
+    waiting: dict[str, tuple[list[str], list[bytes]]] = {}
+    size: Counter = Counter()
     for batch in batches:
-        lang, source = batch.column("lang").to_pylist(), batch.column("source").to_pylist()
-        text = batch.column("text").cast(pa.large_binary())
-        for i in range(len(lang)):
-            yield lang[i], source[i], text[i].as_py()
+        langs, sources = batch.column("lang").to_pylist(), batch.column("source").to_pylist()
+        texts = batch.column("text").cast(pa.large_binary())
+        for i, lang in enumerate(langs):
+            text = texts[i].as_py()
+            if size[lang] and size[lang] + len(text) > SLICE:
+                yield lang, *waiting.pop(lang)
+                del size[lang]
+            of, held = waiting.setdefault(lang, ([], []))
+            of.append(sources[i])
+            held.append(text)
+            size[lang] += len(text) + 1
+        # many languages share the room of four
+        if size.total() > 4 * SLICE:
+            for lang, rows in waiting.items():
+                yield lang, *rows
+            waiting, size = {}, Counter()
+    for lang, rows in waiting.items():
+        yield lang, *rows
+
+
+def _handed_on(counts: Iterator[pa.Table], names: list[str], n: str) -> Iterator[pa.RecordBatch]:
+    """Sums of counts by names, as far as a task brings them together."""
+
+    def sums() -> pa.Table:
+        return pa.concat_tables(parts).group_by(names, use_threads=False).aggregate([(n, "sum")]).select([*names, f"{n}_sum"]).rename_columns([*names, n])
+
+    parts: list[pa.Table] = []
+    for table_ in counts:
+        parts.append(table_)
+        if sum(p.num_rows for p in parts) > MOST_ENTRIES or sum(p.nbytes for p in parts) > MOST_BYTES:
+            parts = [sums()]
+            if parts[0].num_rows > MOST_ENTRIES // 2 or parts[0].nbytes > MOST_BYTES // 2:
+                yield from parts.pop().to_batches(1 << 16)
+    if parts:
+        yield from sums().to_batches(1 << 16)
 
 
-def _handed_on(counts: dict[tuple[str, ...], Counter], names: list[str], counted: str, n: str) -> Iterator[pa.RecordBatch]:
-    """One batch for each key: its items and their numbers."""
-    for key, counter in counts.items():
-        counter.pop(None, None)
-        if counter:
-            columns = {name: pa.repeat(pa.scalar(value, pa.string()), len(counter)) for name, value in zip(names, key)}
-            yield pa.RecordBatch.from_pydict({**columns, counted: pa.array(list(counter), pa.binary()), n: pa.array(list(counter.values()), pa.int64())})
-    counts.clear()
+# ------------------------------------------------------------------ levels
 
 
-# ------------------------------------------------------------------ levels
+def _held(texts: list[bytes], level: int, before: int) -> tuple[pa.Array, np.ndarray]:
+    """Prefixes of terms of at least ``before`` bytes, and in how many of the texts each is."""
+    # a text in pieces holds a prefix once, however many of its pieces hold it
+    several = [list(pieces(t)) for t in texts]
+    whole = [p[0] for p in several if len(p) == 1]
+    of, terms = marked_terms(whole, before)
+    prefixes = [pc.binary_slice(terms, 0, level)]
+    for cut in several:
+        if len(cut) > 1:
+            once = pc.unique(pa.chunked_array([pc.unique(pc.binary_slice(marked_terms([p], before)[1], 0, level)) for p in cut]))
+            of = np.concatenate([of, np.full(len(once), (of[-1] if len(of) else -1) + 1)])
+            prefixes.append(once)
+    coded = pa.concat_arrays(prefixes).dictionary_encode()
+    held = pd.unique(of.astype(np.int64) * len(coded.dictionary) + coded.indices.to_numpy())
+    return coded.dictionary, np.bincount(held % max(1, len(coded.dictionary)), minlength=len(coded.dictionary))
 
 
 def _documents_by_prefix(rows: DataFrame, level: int, before: int, passed: bytes | None) -> DataFrame:
@@ -138,22 +176,19 @@ def _documents_by_prefix(rows: DataFrame, level: int, before: int, passed: bytes
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passing = Passing(shared.value)
-        known: dict[str, Known] = {}
-        counts: dict[tuple[str, ...], Counter] = defaultdict(Counter)
-        for lang, _, text in _rows(batches):
-            if lang not in known:
-                seed = xxhash.xxh64_intdigest(lang.encode(), SEED)
+
+        def counted() -> Iterator[pa.Table]:
+            for lang, _, texts in slices(batches):
                 # a term that ended within the last level is final; the others are asked for
-                asked = Known(lambda prefix, seed=seed: passing(seed, prefix))
-                known[lang] = Known(lambda t, asked=asked: (t + END)[:level] if len(t) >= before and asked[t[:before]] else None)
-            prefix_of = known[lang].__getitem__
-            held: set = set()
-            for terms in terms_in(text, before):
-                held.update(map(prefix_of, terms))
-            counts[(lang,)].update(held)
-            if sum(map(len, counts.values())) > MOST_ENTRIES:
-                yield from _handed_on(counts, ["lang"], "prefix", "docs")
-        yield from _handed_on(counts, ["lang"], "prefix", "docs")
+                prefixes, docs = _held(texts, level, before)
+                if before:
+                    seed = xxhash.xxh64_intdigest(lang.encode(), SEED)
+                    shorter = pc.binary_slice(prefixes, 0, before).dictionary_encode()
+                    asked = np.array([passing(seed, p) for p in shorter.dictionary.to_pylist()], bool)[shorter.indices.to_numpy()]
+                    prefixes, docs = prefixes.filter(pa.array(asked)), docs[asked]
+                yield pa.table({"lang": pa.repeat(pa.scalar(lang, pa.string()), len(docs)), "prefix": prefixes, "docs": pa.array(docs, pa.int64())})
+
+        yield from _handed_on(counted(), ["lang", "prefix"], "docs")
 
     return rows.mapInArrow(count, "lang string, prefix binary, docs long")
 
@@ -184,22 +219,28 @@ def occurrences(rows: DataFrame, terms: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passing = Passing(shared.value)
-        known: dict[str, Known] = {}
-        counts: dict[tuple[str, ...], Counter] = defaultdict(Counter)
-        entries = 0
-        for lang, source, text in _rows(batches):
-            if lang not in known:
+
+        def counted() -> Iterator[pa.Table]:
+            for lang, sources, texts in slices(batches):
                 seed = xxhash.xxh64_intdigest(lang.encode(), SEED)
-                known[lang] = Known(lambda t, seed=seed: t + END if passing(seed, t + END) else None)
-            counter = counts[lang, source]
-            entries -= len(counter)
-            for found in terms_in(text):
-                counter.update(map(known[lang].__getitem__, found))
-            entries += len(counter)
-            if entries > MOST_ENTRIES:
-                yield from _handed_on(counts, ["lang", "source"], "prefix", "n")
-                entries = 0
-        yield from _handed_on(counts, ["lang", "source"], "prefix", "n")
+                of_text, names = pd.factorize(np.array(sources, object))
+                # a long text stands alone; its pieces are counted one after the other
+                cut = [list(pieces(t)) for t in texts]
+                for part in range(max(map(len, cut))):
+                    there = np.array([part < len(c) for c in cut])
+                    of, terms = marked_terms([c[part] for c in cut if part < len(c)])
+                    coded = terms.dictionary_encode()
+                    asked = np.array([passing(seed, t) for t in coded.dictionary.to_pylist()], bool)
+                    code = coded.indices.to_numpy()
+                    kept = asked[code]
+                    cells, n = np.unique(of_text[there][of[kept]] * max(1, len(asked)) + code[kept], return_counts=True)
+                    source, code = np.divmod(cells, max(1, len(asked)))
+                    yield pa.table({
+                        "lang": pa.repeat(pa.scalar(lang, pa.string()), len(n)), "source": pa.array(names[source], pa.string()),
+                        "prefix": coded.dictionary.take(pa.array(code)), "n": pa.array(n, pa.int64()),
+                    })
+
+        yield from _handed_on(counted(), ["lang", "source", "prefix"], "n")
 
     counted = rows.mapInArrow(count, "lang string, source string, prefix binary, n long")
     # what the map let through by chance goes here

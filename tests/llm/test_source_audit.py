@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 
@@ -67,7 +68,30 @@ def test_no_rows(spark):
 
 
 @pytest.mark.parametrize("size", [0, 1, 2**20, 2**20 + 5, 3 * 2**20])
-def test_pieces_end_between_terms(size):
+def test_pieces_end_between_terms(monkeypatch, size):
+    monkeypatch.setattr(source_audit, "SLICE", 2**20)
     text = (b"Ab cde f" * (size // 8 + 1))[:size] + b" end" + b"x" * size
-    assert [t for part in source_audit.terms_in(text) for t in part] == text.lower().split()
-    assert [t for part in source_audit.terms_in(text, 12) for t in part] == [t for t in text.lower().split() if len(t) >= 12]
+    words = text.lower().split()
+    cut = list(source_audit.pieces(text))
+    assert all(len(p) <= 2**20 + 8 or b"\0" not in p[2**20 :] for p in cut)
+    for least in (0, 4, 12):
+        found = [source_audit.marked_terms([p], least)[1].to_pylist() for p in cut]
+        assert [t for part in found for t in part] == [w + b"\0" for w in words if len(w) >= least]
+
+
+def test_terms_belong_to_their_texts():
+    of, terms = source_audit.marked_terms([b"", b"ab\0\0c", b"\0\0", b"\0d", b""])
+    assert list(zip(of.tolist(), terms.to_pylist())) == [(1, b"ab\0"), (1, b"c\0"), (3, b"d\0")]
+    of, terms = source_audit.marked_terms([])
+    assert not len(of) and not len(terms)
+
+
+def test_a_text_in_pieces_holds_a_prefix_once(monkeypatch):
+    monkeypatch.setattr(source_audit, "SLICE", 6)
+    texts = [b"abcde abcdf xy abcde abcde", b"abcde", b"", b"xy"]
+    prefixes, docs = source_audit._held(texts, 4, 0)
+    assert dict(zip(prefixes.to_pylist(), docs.tolist())) == {b"abcd": 2, b"xy\0": 2}
+    schema = ["lang", "source", "text"]
+    batch = pa.RecordBatch.from_pylist([dict(zip(schema, r)) for r in [("a", "s", "x y"), ("b", "s", "z" * 30), ("a", "t", "v w u"), ("c", "s", "")]])
+    got = [(lang, s, t) for lang, sources, held in source_audit.slices(iter([batch])) for s, t in zip(sources, held)]
+    assert sorted(got) == [("a", "s", b"x y"), ("a", "t", b"v w u"), ("b", "s", b"z" * 30), ("c", "s", b"")]
