@@ -28,6 +28,8 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,10 +39,15 @@ from .common import answer, scratch_path, table, text_of
 ROWS = "doc_id long, shard long, row long, n_tokens long, file string"
 #: Keys of one index part: bounds the memory of the task that builds it or reads it.
 KEYS_PER_PART = 100_000
-#: Entries of each of the two caches of word pieces in a worker.
-CACHE = 300_000
-#: Characters where str.split would part a text and the tokenizer would not.
-SEPARATORS = "\x1c\x1d\x1e\x1f"
+#: Words that each of the two memories of a worker keeps.
+MOST_WORDS = 600_000
+#: Code points of text that are encoded at a time.
+SLICE = 1 << 22
+#: Bytes between words: of ASCII white space, which the tokenizer drops and never joins across.
+#: Letters that the tokenizer's lower case may compose or split; words of them are not cut.
+SPECIAL = r"[^\x00-\x{12F}\x{131}-\x{24F}]"
+WHITE = re.compile(r"[\t-\r ]")
+BETWEEN = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 #: Slots per key and level of the perfect hash.
 LOAD = 2.0
 
@@ -69,9 +76,59 @@ def read_file(uri: str) -> bytes:
 # ------------------------------------------------------------------ encoding
 
 
-@lru_cache(maxsize=2)  # a worker keeps its caches from task to task
-def word_encoder(tokenizer_file: str, dtype: str) -> Callable[[str], bytes]:
-    """Ids of a text by a tokenizer that ends tokens at white space, with caches of words.
+#: Encodes pieces of text: all ids one after the other, and their number for each piece.
+Encoder = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
+
+
+class Remembered:
+    """A bounded memory of two generations: what was asked for lately outlives the rest."""
+
+    def __init__(self) -> None:
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def __getitem__(self, key):
+        found = self.young.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self[key] = found
+        return found
+
+    def __setitem__(self, key, value) -> None:
+        if len(self.young) >= MOST_WORDS // 2:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
+def words_between(texts: list[str]) -> tuple[np.ndarray, pa.Array]:
+    """Words between ASCII white space, each with the byte behind it: the number of each one's text, and the words."""
+    raw = [t.encode("utf-8", "replace") for t in texts]
+    joined = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
+    inside = ~BETWEEN[joined]
+    edge = np.diff(inside.view(np.int8), prepend=np.int8(0))
+    first, mark = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    of = np.searchsorted(np.cumsum([len(r) + 1 for r in raw]), first, "right")
+    inside[mark] = True
+    offsets = np.zeros(len(first) + 1, np.int32)
+    np.cumsum(mark - first + 1, out=offsets[1:])
+    return of, pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(joined[inside])])
+
+
+def parted(words: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Stem of letters in lower case, and the ASCII punctuation behind it; a word of another kind is all tail."""
+    stems = pc.ascii_rtrim(words, characters=string.punctuation)
+    plain = pc.and_(pc.utf8_is_alpha(stems), pc.invert(pc.match_substring_regex(stems, SPECIAL)))
+    stems = pc.if_else(plain, stems, "")
+    length, begins = pc.binary_length(stems).to_numpy(), np.frombuffer(words.buffers()[1], np.int32)[: len(words) + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[: begins[-1]]
+    edge = np.bincount(begins[:-1] + length, minlength=len(data) + 1) - np.bincount(begins[1:], minlength=len(data) + 1)
+    offsets = np.concatenate([[0], np.cumsum(np.diff(begins) - length)]).astype(np.int32)
+    tails = pa.Array.from_buffers(pa.string(), len(words), [None, pa.py_buffer(offsets), pa.py_buffer(data[np.cumsum(edge)[:-1] > 0])])
+    return pc.utf8_lower(stems), tails
+
+
+@lru_cache(maxsize=2)  # a worker keeps its memories from task to task
+def word_encoder(tokenizer_file: str, dtype: str) -> Encoder:
+    """Ids of texts by a tokenizer that ends tokens at white space, which encodes each distinct word once.
 
     The tokenizer of this kind drops white space and never joins across it, so a text's ids are the
     ids of its words in order. A word of letters with ASCII punctuation after it is again two pieces.
@@ -79,69 +136,73 @@ def word_encoder(tokenizer_file: str, dtype: str) -> Callable[[str], bytes]:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_file)
-    words: dict[str, bytes] = {}
-    cores: dict[str, bytes] = {}
-
-    def encode_cores(missing: list[str]) -> None:
-        encoded = tokenizer.encode(" ".join(missing), add_special_tokens=False)
-        ids = np.array(encoded.ids, dtype)
-        ends = np.cumsum(np.bincount(np.array(encoded.word_ids, np.int64), minlength=len(missing)))
-        if len(ends) != len(missing):  # a word that the tokenizer splits after all
-            cores.update((w, np.array(tokenizer.encode(w, add_special_tokens=False).ids, dtype).tobytes()) for w in missing)
-            return
-        raw, size, last = ids.tobytes(), ids.itemsize, 0
-        for word, end in zip(missing, ends.tolist()):
-            cores[word] = raw[last * size : end * size]
-            last = end
-
-    def learn(missing: set[str]) -> None:
-        if len(cores) > CACHE:
-            cores.clear()
-        split, whole = {}, []
-        for word in missing:
-            core = word.rstrip(string.punctuation)
-            if core.isalpha() and max(core) < "ɐ":
-                split[word] = core.lower()
-            else:
-                whole.append(word)
-        new = list({core for core in split.values() if core not in cores})
-        if new:
-            encode_cores(new)
-        tails = {w[len(c):] for w, c in split.items() if len(c) < len(w)}
-        new = [t for t in tails if t not in cores] + whole
-        for piece, encoded in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            (words if piece in missing and piece not in tails else cores)[piece] = np.array(encoded.ids, dtype).tobytes()
-        for word in whole:
-            if word not in words:
-                words[word] = cores[word]
-        for word, core in split.items():
-            tail = word[len(core):]
-            words[word] = cores[core] + cores[tail] if tail else cores[core]
-
-    def encode(text: str) -> bytes:
-        if text.isprintable():
-            parts = text.split(" ")
-        elif any(c in text for c in SEPARATORS):
-            parts = re.split(r"[\t-\r ]+", text)
-        else:
-            parts = text.split()
-        try:
-            return b"".join(map(words.__getitem__, parts))
-        except KeyError:
-            if len(words) > CACHE:
-                words.clear()
-            learn({p for p in parts if p not in words})
-            return b"".join(map(words.__getitem__, parts))
+    known = Remembered()
+
+    def ids_of(each: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype).tobytes() for e in tokenizer.encode_batch_fast(each, add_special_tokens=False)]
+
+    stop = ids_of(["."])[0]
+
+    def ids_of_stems(stems: list[str]) -> list[bytes]:
+        """Words of letters are pieces of their own for the tokenizer: all of them go through it as one text, with a stop between two."""
+        ids = np.array(tokenizer.encode_batch_fast([".".join(stems)], add_special_tokens=False)[0].ids, dtype)
+        stops = np.flatnonzero(ids == np.frombuffer(stop, dtype)[0])
+        if len(stop) != ids.itemsize or len(stops) != len(stems) - 1:  # a tokenizer that has no token for it alone
+            return ids_of(stems)
+        raw, size = ids.tobytes(), ids.itemsize
+        return [raw[a:b] for a, b in zip([0, *((stops + 1) * size).tolist()], [*(stops * size).tolist(), len(raw)])]
+
+    def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        of, found = words_between(texts)
+        coded = found.dictionary_encode()
+        stems, tails = parted(pc.ascii_rtrim_whitespace(coded.dictionary.cast(pa.string())))
+        parts = pa.concat_arrays([stems, tails]).dictionary_encode()
+        each = parts.dictionary.to_pylist()
+        ids = [known[p] if p else b"" for p in each]
+        as_stems = np.zeros(len(each), bool)
+        as_stems[parts.indices.to_numpy()[: len(stems)]] = True
+        new = [i for i, have in enumerate(ids) if have is None]
+        for encode_all, chosen in ((ids_of_stems, [i for i in new if as_stems[i]]), (ids_of, [i for i in new if not as_stems[i]])):
+            for i, have in zip(chosen, encode_all([each[i] for i in chosen]) if chosen else ()):
+                ids[i] = known[each[i]] = have
+        flat, lengths = np.frombuffer(b"".join(ids), dtype), np.array([len(i) for i in ids], np.int64) // np.dtype(dtype).itemsize
+        part = parts.indices.to_numpy().reshape(2, -1).T[coded.indices.to_numpy()]
+        n = lengths[part]
+        sizes, n, part = n.sum(axis=1), n.ravel(), part.ravel()
+        at = np.repeat((np.cumsum(lengths) - lengths)[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return flat[at], np.bincount(of, sizes, minlength=len(texts)).astype(np.int64)
 
     return encode
 
 
-def plain_encoder(tokenizer_file: str, dtype: str) -> Callable[[str], bytes]:
-    """Ids of a text by any tokenizer file of the tokenizers library."""
+def plain_encoder(tokenizer_file: str, dtype: str) -> Encoder:
+    """Ids of texts by any tokenizer file of the tokenizers library."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_file)
-    return lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype).tobytes()
+
+    def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [np.array(e.ids, dtype) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, dtype), *ids]), np.array([len(i) for i in ids], np.int64)
+
+    return encode
+
+
+def slices(texts: list[str], by_words: bool) -> Iterator[list[tuple[int, str]]]:
+    """Texts by their number in lists of bounded size; where words are encoded, a longer text is cut between words."""
+    held, size = [], 0
+    for number, text in enumerate(texts):
+        start = 0
+        while by_words and len(text) - start > SLICE and (blank := WHITE.search(text, start + SLICE)):
+            held.append((number, text[start : blank.start()]))
+            yield held
+            held, size, start = [], 0, blank.start()
+        held.append((number, text[start:]))
+        size += len(text) - start
+        if size > SLICE:
+            yield held
+            held, size = [], 0
+    yield held
 
 
 # ------------------------------------------------------------------ writing
@@ -175,19 +236,26 @@ def write_shards(
 
         shard = TaskContext.get().partitionId()
         name = f"{shard:07d}-{uuid.uuid4().hex}"
-        encode, end, width = make(tokenizer_file, dtype), np.array([end_id], dtype).tobytes(), np.dtype(dtype).itemsize
+        encode = make(tokenizer_file, dtype)
         starts, at, row, out = [], 0, 0, None
         for batch in batches:
             if out is None:
                 fs, path = _fs(f"{folder}/shards/{name}")
                 fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
                 out = fs.open_output_stream(path + ".ids")
-            sizes = []
-            for text in batch["text"]:
-                raw = encode(text) + end
-                out.write(raw)
-                sizes.append(len(raw) // width)
-            sizes = np.array(sizes, np.int64)
+            sizes = np.ones(len(batch), np.int64)
+            last = -1
+            for held in slices(batch["text"].tolist(), by_words):
+                ids, n = encode([text for _, text in held])
+                number = np.array([i for i, _ in held], np.int64)
+                np.add.at(sizes, number, n)
+                # a text ends where the next one begins
+                ended = np.flatnonzero(np.diff(number, prepend=last))
+                ended = ended[number[ended] > 0]
+                out.write(np.insert(ids, (np.cumsum(n) - n)[ended], end_id).tobytes())
+                last = int(number[-1]) if len(number) else last
+            if len(batch):
+                out.write(np.array([end_id], dtype).tobytes())
             starts.append(at + np.cumsum(sizes) - sizes)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "shard": shard, "row": np.arange(row, row + len(sizes)), "n_tokens": sizes, "file": name})
             at, row = at + int(sizes.sum()), row + len(sizes)

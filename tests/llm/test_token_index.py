@@ -26,20 +26,36 @@ def test_encoder_equals_the_tokenizer():
         "", " ", "Hello, world!! It's 12.5% <|endoftext|> a<|startoftext|>b\n\n\tNEW  LINE's", "İstanbul ΣΑΣ Straße éa ﬁn ǅ", "a b c　d",
         "x\x1cy \x1f z", "###a### ...b don't DON'T we'll! 'tis", "日本語 テキスト 123", "(end.) [x] {y}; \"q\"", "a" * 5000, "naïve café's, ÀÉÎ ʼn ĳ", "\u0085a\u0085",
     ]
-    for text in texts:
-        assert np.frombuffer(encode(text), "<u2").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+    want = [tokenizer.encode(text, add_special_tokens=False).ids for text in texts]
+    for text, ids in zip(texts, want):
+        assert encode([text])[0].tolist() == ids, text
+    ids, n = encode(texts)
+    assert ids.tolist() == [i for w in want for i in w] and n.tolist() == [len(w) for w in want]
+    assert [len(x) for x in encode([])] == [0, 0]
 
 
 def test_encoder_with_a_small_cache(monkeypatch):
-    monkeypatch.setattr(X, "CACHE", 5)
+    monkeypatch.setattr(X, "MOST_WORDS", 5)
     encode, plain = X.word_encoder.__wrapped__(X.tokenizer_path(), "<u2"), X.plain_encoder(X.tokenizer_path(), "<u2")
     for n in range(30):
         text = " ".join(f"word{chr(97 + (n * i) % 26)} stem{chr(97 + i)}, w{i}" for i in range(n % 9))
-        assert encode(text) == plain(text)
+        got, want = encode([text, "", text + " end"]), plain([text, "", text + " end"])
+        assert all((a == b).all() for a, b in zip(got, want))
+
+
+def test_long_texts_are_cut_between_words(monkeypatch):
+    monkeypatch.setattr(X, "SLICE", 7)
+    texts = ["", "ab cd ef gh ij kl", "x" * 30, "a b", "x" * 9 + " y", ""]
+    held = list(X.slices(texts, True))
+    for number, text in enumerate(texts):
+        cut = [t for part in held for i, t in part if i == number]
+        assert "".join(cut) == text and all(t[0] == " " for t in cut[1:])
+    assert sum(len(part) for part in X.slices(texts, False)) == len(texts)
 
 
 @pytest.mark.parametrize("shards", [1, 4])
-def test_round_trip(spark, shards):
+def test_round_trip(spark, shards, monkeypatch):
+    monkeypatch.setattr(X, "SLICE", 40 * shards)
     rows = [(i * 3, f"Text number {i}, " * (i % 5)) for i in range(-20, 60)] + [(9, "again"), (9, "again"), (None, "no key"), (1000, None), (1001, ""), (1002, "long words " * 60_000)]
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], DOCS).repartition(3)
     folder = scratch_path(spark, "test-tokens")
