@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -33,6 +33,25 @@ def replacement_counts(df: DataFrame, columns: list[str], find: str) -> DataFram
     )
 
 
+def replace_counted(df: DataFrame, columns: list[str], find: str, replace: str) -> tuple[DataFrame, dict[str, int]]:
+    """The table with replaced columns, written once, and its ``replacements`` and ``replaced_cells``.
+
+    Both counts are metrics of the pass that writes the table, so the texts are read once. They are those of
+    ``replacement_counts``; a null cell has no occurrence, an empty table gives zeros.
+    """
+    regex = F.lit(spark_regex(find, ignore_case=True, multiline=True))
+    hits = [F.coalesce(F.regexp_count(F.col(c), regex), F.lit(0)).cast("long") for c in columns]
+    counts = Observation()
+    # counted on the old cells, which the replacement comes after
+    counted = df.observe(
+        counts,
+        F.coalesce(F.sum(sum(hits[1:], hits[0])), F.lit(0)).alias("replacements"),
+        F.coalesce(F.sum(sum([(h > 0).cast("long") for h in hits[1:]], (hits[0] > 0).cast("long"))), F.lit(0)).alias("replaced_cells"),
+    )
+    replaced = stored(regex_replace_columns(counted, columns, find, replace), "replaced")
+    return replaced, counts.get
+
+
 def find_preview(text: Column, find: str) -> Column:
     """First match with ten characters on both sides, newlines as blanks; null without match."""
     regex = spark_regex(never_empty(find), ignore_case=True, multiline=True)

@@ -250,6 +250,15 @@ def decode_bytes(spark, sf):
     return stored.select("doc_id", readers.decode_bytes(F.col("content"), "UTF-16BE").alias("text"))
 
 
+@query("SELECT doc_id, text || chr(65533) AS utf8, text || chr(65533) AS utf16 FROM documents")
+def decode_bytes_malformed(spark, sf):
+    """A byte that no encoding allows at the end becomes the replacement sign."""
+    stored = table(spark, sf, "documents").select("doc_id", *[
+        F.concat(F.encode("text", e), F.lit(bytearray(b"\xff"))).alias(e) for e in ("UTF-8", "UTF-16BE")
+    ])
+    return stored.select("doc_id", readers.decode_bytes(F.col("UTF-8")).alias("utf8"), readers.decode_bytes(F.col("UTF-16BE"), "UTF-16BE").alias("utf16"))
+
+
 def sql_folder(kept: str) -> str:
     return f"SELECT page_id || '.html' AS name, 'text/html' AS mime, html AS source FROM pages WHERE {kept}"
 

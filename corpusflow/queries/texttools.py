@@ -24,6 +24,16 @@ def replacement_counts(spark, sf):
     return tt.replacement_counts(corpus(spark, sf), ["title", "text"], "(th)(e)")
 
 
+@query(f"""WITH {SQL_CORPUS}, n AS (SELECT rowid, title, text, len(regexp_extract_all(title, '(?i)(th)(e)')) AS a, len(regexp_extract_all(text, '(?i)(th)(e)')) AS b FROM corpus)
+SELECT rowid, regexp_replace(title, '(?i)(th)(e)', '\\2\\1', 'g') AS title, regexp_replace(text, '(?i)(th)(e)', '\\2\\1', 'g') AS text,
+  (SELECT sum(a + b) FROM n)::BIGINT AS replacements, (SELECT count(*) FILTER (a > 0) + count(*) FILTER (b > 0) FROM n) AS replaced_cells FROM n""")
+def replace_counted(spark, sf):
+    """The replaced cells, each row with the counts that the same pass over the texts gave."""
+    c = corpus(spark, sf).select("rowid", "title", "text")
+    replaced, counts = tt.replace_counted(c, ["title", "text"], "(th)(e)", r"\2\1")
+    return replaced.withColumns({name: F.lit(n).cast("long") for name, n in counts.items()})
+
+
 @query("""WITH m AS (SELECT doc_id, text, regexp_extract(text, '(?i)on[a-z]+') AS m, regexp_matches(text, '(?i)on[a-z]+') AS hit,
   length(string_split_regex(text, '(?i)on[a-z]+')[1]) AS s FROM documents)
 SELECT doc_id, CASE WHEN hit THEN regexp_replace(text[greatest(1, s - 9):s] || m || text[s + length(m) + 1:s + length(m) + 10], '\\n+', ' ', 'g') END AS found FROM m""")
@@ -65,6 +75,18 @@ def project_annotation_lemma(spark, sf):
     return a.select("doc_id", tt.project_annotation(F.col("annotated"), "lemma").alias("out"))
 
 
+@query(sql_annotation("'T' || length(w)"))
+def project_annotation_tag(spark, sf):
+    return annotated(spark, sf).select("doc_id", tt.project_annotation(F.col("annotated"), "tag").alias("out"))
+
+
+@query("""SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda l: array_to_string(list_transform(string_split(l, ' '),
+  lambda w: w || CASE WHEN length(w) = 2 THEN '/x' ELSE '/T' || length(w) || '/B-NP/O/O/' || lower(w) END), ' ')), chr(10)) AS out FROM documents""")
+def project_annotation_complete(spark, sf):
+    """Malformed tokens stay, protected slashes are slashes again."""
+    return annotated(spark, sf).select("doc_id", tt.project_annotation(F.col("annotated"), "complete").alias("out"))
+
+
 @query(sql_annotation("lower(w) || '-T' || length(w)"))
 def project_annotation_both(spark, sf):
     a = annotated(spark, sf)
