@@ -152,3 +152,15 @@ def test_segments_against_a_loop(spark):
         assert got[i] == (None if text is None else " ".join(out))
     empty = tt.segment_with(spark.createDataFrame([(1, "ab")], "id long, t string"), "id", "t", lexicon.limit(0), "s").collect()
     assert empty[0].s == "a b"
+
+
+def test_counts_of_a_replacement_come_from_the_pass_that_writes(spark):
+    rows = [(1, "the then", None), (2, "", "no"), (3, "THE", "the\nthe"), (4, None, None)]
+    df = spark.createDataFrame(rows, "id int, a string, b string").repartition(3)
+    replaced, counts = tt.replace_counted(df, ["a", "b"], "(th)(e)", r"\2\1")
+    assert counts == {"replacements": 5, "replaced_cells": 3}
+    assert counts == tt.replacement_counts(df, ["a", "b"], "(th)(e)").first().asDict()
+    want = [(1, "eth ethn", None), (2, "", "no"), (3, "ETH", "eth\neth"), (4, None, None)]
+    assert sorted(map(tuple, replaced.collect())) == want
+    none, counts = tt.replace_counted(df.limit(0), ["a", "b"], "(th)(e)", r"\2\1")
+    assert none.collect() == [] and counts == {"replacements": 0, "replaced_cells": 0}
