@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..plans import bloom
 from ..plans.checkpoints import cut
 from .common import answer, stored, table, unused, without
-from .features import Remembered
+from .features import CACHE
 
 #: Template words of a window. Shorter texts are one window as they are.
 WINDOW = 8
@@ -190,6 +190,141 @@ class Windows:
 TEMPLATE, SPELLED, WITHIN, LOWERED = range(4)
 SALT = 1 << 32
 SCHEMA = "_id long, reading int, pos int, h long, first int, slots array<string>, signs string, n int"
+#: Pieces that are read together; a longer text stands alone.
+SLICE = 1 << 17
+
+
+class Pieces(dict):
+    """Numbers for the different pieces of texts, and by number what ``described`` says of them."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.kinds, self.hashes, self.lows = np.zeros(1 << 16, np.int8), np.zeros(1 << 16, np.uint64), []
+
+    def __missing__(self, piece: str) -> int:
+        number = self[piece] = len(self.lows)
+        if number == len(self.kinds):
+            self.kinds, self.hashes = (np.concatenate([a, np.zeros_like(a)]) for a in (self.kinds, self.hashes))
+        self.kinds[number], low, self.hashes[number] = described(piece)
+        self.lows.append(low)
+        return number
+
+    def bounded(self) -> None:
+        """Forget all if that is much; numbers given before mean nothing then."""
+        if len(self.lows) >= CACHE:
+            self.clear()
+            self.lows.clear()
+
+
+def slices(keys: pd.Series, texts: pd.Series, known: Pieces) -> Iterator[tuple[list, Held]]:
+    """Keys and pieces of some texts at a time."""
+    held_keys, held_texts, numbers, total = [], [], [], 0
+    for key, text in zip(keys, texts):
+        found = PIECE.findall(text or "")
+        if not found:
+            continue
+        held_keys.append(key)
+        held_texts.append(text)
+        numbers.append(np.fromiter(map(known.__getitem__, found), np.int64, len(found)))
+        total += len(found)
+        if total >= SLICE:
+            yield held_keys, Held(held_texts, numbers, known)
+            held_keys, held_texts, numbers, total = [], [], [], 0
+            known.bounded()
+    if held_keys:
+        yield held_keys, Held(held_texts, numbers, known)
+        known.bounded()
+
+
+class Words:
+    """Words of several texts, one after the other: hash, whether it is a placeholder, text, and first piece."""
+
+    def __init__(self, hashes: np.ndarray, slot: np.ndarray, text: np.ndarray, piece: np.ndarray, texts: int) -> None:
+        self.hashes, self.text, self.piece = hashes, text, piece
+        self.slots_before = np.concatenate([[0], np.cumsum(slot)])
+        self.counts = np.bincount(text, minlength=texts)
+        self.offsets = np.concatenate([[0], np.cumsum(self.counts)])[:-1]
+
+    def windows(self, maker: Windows, shorter: bool, least_plain: int, salt: int, ask) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Length, first words and hashes of the maker's windows that have enough plain words and that ``ask`` lets pass.
+
+        ``shorter``: a text of fewer words than a window is one window as it is.
+        """
+        size = maker.size
+        if len(self.hashes) >= size:
+            last = len(self.hashes) - size + 1
+            yield from self._told(size, np.flatnonzero(self.text[:last] == self.text[size - 1 :]), maker.of_hashes(self.hashes, salt), least_plain, ask)
+        for length in range(1, size) if shorter else ():
+            at = self.offsets[self.counts == length]
+            if len(at):
+                hashes = np.zeros(len(self.hashes), np.uint64)
+                hashes[at] = [Windows.of_hashes(maker, self.hashes[i : i + length], salt)[0] for i in at.tolist()]
+                yield from self._told(length, at, hashes, least_plain, ask)
+
+    def _told(self, length: int, at: np.ndarray, hashes: np.ndarray, least_plain: int, ask) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        slots = self.slots_before[at + length] - self.slots_before[at]
+        at = at[length - slots >= min(least_plain, length)]
+        if ask is not None and len(at):
+            at = at[ask(hashes[at])]
+        if len(at):
+            yield length, at, hashes[at]
+
+
+class Held:
+    """The pieces of several texts, read as ``template_of`` reads those of one."""
+
+    def __init__(self, texts: list[str], numbers: list[np.ndarray], known: Pieces) -> None:
+        self.texts, self.known = texts, known
+        all_numbers, text = np.concatenate(numbers), np.repeat(np.arange(len(texts)), [len(n) for n in numbers])
+        kinds = known.kinds[all_numbers]
+        first = np.concatenate([[True], text[1:] != text[:-1]])
+        ended = np.concatenate([[False], kinds[:-1] == END]) & ~first
+        real = kinds != END
+        # only the pieces that are words or parts of them; ``same``: the piece before is of the same text
+        self.numbers, self.text, self.kinds = all_numbers[real], text[real], kinds[real]
+        self.first, self.ended = first[real], ended[real]
+        self.same = np.concatenate([[False], self.text[1:] == self.text[:-1]])[: len(self.text)]
+
+    def words(self, reading: int) -> Words:
+        hashes = self.known.hashes[self.numbers]
+        n = len(hashes)
+        if reading == SPELLED:
+            return Words(hashes, np.zeros(n, bool), self.text, np.arange(n), len(self.texts))
+        kinds = np.where(self.kinds == CAPITAL, np.int8(PLAIN), self.kinds) if reading == LOWERED else self.kinds
+        begins = self.ended if reading == WITHIN else self.first | self.ended
+        number, name = kinds == DIGITS, (kinds == CAPITAL) & ~begins
+        before = np.concatenate([[False], number[:-1]])[:n] & self.same
+        unit = (kinds == MEASURE) & before
+        joined = name & self.same & np.concatenate([[False], name[:-1]])[:n]
+        for told, word in ((number, NUMBER), (unit, UNIT), (name, NAME)):
+            hashes[told] = HOLDER_HASHES[word]
+        own = np.flatnonzero(~joined)
+        return Words(hashes[own], (number | unit | name)[own], self.text[own], own, len(self.texts))
+
+    def differs(self, reading: int) -> np.ndarray:
+        """By text: is it read otherwise than as a template?"""
+        if reading in (TEMPLATE, SPELLED):
+            return np.ones(len(self.texts), bool)
+        capital = self.kinds == CAPITAL
+        told = capital & self.first if reading == WITHIN else capital & ~(self.first | self.ended)
+        return np.bincount(self.text[told], minlength=len(self.texts)) > 0
+
+    def values(self, words: Words, begin: int, end: int) -> list[str]:
+        """What the placeholders among some words stand for."""
+        before = words.slots_before
+        if before[end] == before[begin]:
+            return []
+        borders = [*words.piece[begin : end + 1].tolist(), len(self.numbers)]
+        return [
+            " ".join(self.known.lows[k] for k in self.numbers[borders[i] : borders[i + 1]].tolist())
+            for i in range(end - begin) if before[begin + i + 1] > before[begin + i]
+        ]
+
+    def signs(self, words: Words, at: np.ndarray, length: int) -> list[str]:
+        found, of = [], words.text[at]
+        for t in np.unique(of).tolist():
+            found += signs_of(self.texts[t], (at[of == t] - words.offsets[t]).tolist(), length)
+        return found
 
 
 def windows_of(
@@ -202,56 +337,36 @@ def windows_of(
     for texts that have more words (or pieces) than that.
     """
 
+    lengths = {TEMPLATE: short, SPELLED: spelled_short}
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        makers = [Windows(s) for s in sorted({size, *short}, reverse=True)]
-        spelled_makers = [Windows(s) for s in sorted({size, *spelled_short}, reverse=True)]
-        known_pieces = Remembered(described).__getitem__
+        makers = {reading: [Windows(s) for s in sorted({size, *more}, reverse=True)] for reading, more in lengths.items()}
+        known = Pieces()
         for batch in batches:
-            out: dict[str, list] = {"_id": [], "reading": [], "pos": [], "h": [], "first": [], "slots": [], "signs": [], "n": []}
-
-            def put(key: int, reading: int, at: np.ndarray, hashes: np.ndarray, first: list[int], slots: list[list[str]], signs: list) -> None:
-                out["_id"] += [key] * len(at)
-                out["reading"] += [reading] * len(at)
-                out["pos"] += at.tolist()
-                out["h"] += hashes[at].view(np.int64).tolist()
-                out["first"] += first
-                out["slots"] += slots
-                out["signs"] += signs
-                out["n"] += [len(at) if ask is None else 0] * len(at)
-
-            for key, text in zip(batch["_id"], batch["text"]):
-                whole = pieces_of(text, known_pieces)
+            for keys, held in slices(batch["_id"], batch["text"], known):
+                out: dict[str, list] = {"_id": [], "reading": [], "pos": [], "h": [], "first": [], "slots": [], "signs": [], "n": []}
                 # every reading of an item is looked up, so a document needs one only
-                for reading, (words, places, values, word_hashes) in [(TEMPLATE, template_of(whole)), *(other_readings(whole) if ask is None else ())]:
-                    slots_before = np.zeros(len(words) + 1, np.int64)
-                    slots_before[np.array(places, np.int64) + 1] = 1
-                    slots_before = np.cumsum(slots_before)
-                    for maker in makers:
-                        length = min(maker.size, len(words))
-                        if not length or (maker.size != size and length < maker.size):
-                            continue
-                        hashes = maker.of_hashes(word_hashes)
-                        slots = slots_before[length:] - slots_before[:-length]
-                        told = length - slots >= min(least_plain, length)
-                        if ask is not None:
-                            told &= ask(hashes)
-                        at = np.flatnonzero(told)
-                        if len(at):
-                            held = [values[slots_before[i] : slots_before[i] + slots[i]] for i in at.tolist()]
-                            put(key, reading, at, hashes, slots_before[at].tolist(), held, [None] * len(at))
-                pieces = spelled(whole)
-                for maker in spelled_makers:
-                    length = min(maker.size, len(pieces))
-                    if not length or (maker.size != size and length < maker.size):
-                        continue
-                    hashes = maker.of_hashes(pieces, SALT)
-                    at = np.arange(len(hashes)) if ask is None else np.flatnonzero(ask(hashes))
-                    if len(at):
-                        signs = signs_of(text, at.tolist(), length) if length < size else [None] * len(at)
-                        put(key, SPELLED, at, hashes, [0] * len(at), [[]] * len(at), signs)
-            if out["h"]:  # an empty column of lists has no type
-                kinds = {"_id": "int64", "reading": "int32", "pos": "int32", "h": "int64", "first": "int32", "n": "int32"}
-                yield pd.DataFrame(out).astype(kinds)
+                for reading in (TEMPLATE, SPELLED) if ask is not None else (TEMPLATE, WITHIN, LOWERED, SPELLED):
+                    words = held.words(reading)
+                    other = held.differs(reading)
+                    least = 0 if reading == SPELLED else least_plain
+                    for maker in makers[SPELLED if reading == SPELLED else TEMPLATE]:
+                        for length, at, hashes in words.windows(maker, maker.size == size, least, SALT if reading == SPELLED else 0, ask):
+                            kept = other[words.text[at]]
+                            at, hashes = at[kept], hashes[kept]
+                            signs = held.signs(words, at, length) if reading == SPELLED and length < size else [None] * len(at)
+                            text, before = words.text[at], words.slots_before
+                            out["_id"] += [keys[t] for t in text.tolist()]
+                            out["reading"] += [reading] * len(at)
+                            out["pos"] += (at - words.offsets[text]).tolist()
+                            out["h"] += hashes.view(np.int64).tolist()
+                            out["first"] += (before[at] - before[words.offsets[text]]).tolist()
+                            out["slots"] += [held.values(words, i, i + length) for i in at.tolist()]
+                            out["signs"] += signs
+                            out["n"] += np.bincount(text)[text].tolist() if ask is None else [0] * len(at)
+                if out["h"]:  # an empty column of lists has no type
+                    kinds = {"_id": "int64", "reading": "int32", "pos": "int32", "h": "int64", "first": "int32", "n": "int32"}
+                    yield pd.DataFrame(out).astype(kinds)
 
     return texts.mapInPandas(run, SCHEMA)
 
@@ -285,7 +400,7 @@ def contaminated(
     lengths = pick(benchmark, item_col, text_col).mapInPandas(_short_lengths(size), "reading int, length int").distinct().collect()
     short, spelled_short = (tuple(sorted(r.length for r in lengths if r.reading == k)) for k in (TEMPLATE, SPELLED))  # at most size - 1 each
     hashes = items.select("h")
-    bits, _ = bloom.map_bits(hashes.count())
+    bits, _ = bloom.map_bits(hashes.count(), 64)  # every window of a document is asked: few should pass by chance
     ask = bloom.asks(docs, bloom.repeated_map(stored(hashes.unionAll(hashes), "hashes"), "h", bits))
     found = windows_of(pick(docs, id_col, text_col), size, least_plain, ask, short, spelled_short)
     wanted = items.select(F.col("_id").alias("item_id"), "reading", F.col("pos").alias("at"), "h", "first", F.col("slots").alias("item_slots"), F.col("signs").alias("item_signs"), "n")

@@ -89,3 +89,29 @@ def test_documents_against_plain_search(spark):
     squeezed = lambda t: " ".join(t.lower().split())
     texts = [squeezed(r.text) for r in items.collect()]
     assert got == {r.doc_id for r in docs.collect() if any(t in squeezed(r.text) for t in texts)}
+
+
+def test_many_texts_are_read_as_each_alone():
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    parts = ["3", "km", "Anna", "Berg", "the", "NASA", ".", "!", "\n", "+7", "in", "Y", "$", "house", "it’s", "5.50", "12", ",", "°"]
+    texts = [" ".join(rng.choice(parts, n)) for n in rng.integers(0, 40, 300)] + [None, "", ". . .", "Anna", "3 km", ". km"]
+    readings = {T.TEMPLATE: {}, T.WITHIN: {"begins": False}}
+    for _, held in T.slices(pd.Series(range(len(texts))), pd.Series(texts), T.Pieces()):
+        for reading in (T.TEMPLATE, T.WITHIN, T.LOWERED, T.SPELLED):
+            words = held.words(reading)
+            for t, text in enumerate(held.texts):
+                pieces = T.pieces_of(text)
+                lowered = [(T.PLAIN if k == T.CAPITAL else k, low, h) for k, low, h in pieces]
+                begin, n = int(words.offsets[t]), int(words.counts[t])
+                got = words.hashes[begin : begin + n].tolist()
+                if reading == T.SPELLED:
+                    assert got == T.spelled(pieces)
+                    continue
+                _, places, values, hashes = T.template_of(lowered if reading == T.LOWERED else pieces, **readings.get(reading, {}))
+                assert got == hashes and held.values(words, begin, begin + n) == values
+                assert np.flatnonzero(np.diff(words.slots_before[begin : begin + n + 1])).tolist() == places
+                if reading != T.TEMPLATE:
+                    assert held.differs(reading)[t] == ((hashes, values) != (T.template_of(pieces)[3], T.template_of(pieces)[2]))
