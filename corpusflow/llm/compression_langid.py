@@ -32,24 +32,26 @@ def train_dictionaries(
     Rows are chosen by a hash of their text; from each a piece of at most ``PIECE`` code points at a place
     chosen by that hash is taken, so the dictionaries do not depend on the order of the rows. A language
     gets at most ``dictionary_bytes`` (the most frequent language comes first), fewer if all languages together would take over ``all_bytes``.
-    Rows without language or letters teach nothing.
+    Rows without language or letters teach nothing. Equal texts are one; each language keeps at least one text, so none is lost.
     """
     labelled = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text")).where(
         F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")
     )
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    chance = F.xxhash64(F.lit("row"), "text") / F.lit(float(1 << 64)) + 0.5
+    # copies have one chance together, so a language of few much copied texts keeps them
+    texts = labelled.groupBy("lang", chance.alias("chance")).agg(F.count("*").alias("rows"))
+    sizes = texts.groupBy("lang").agg(F.sum("rows").alias("n"), F.count("*").alias("texts"), F.min("chance").alias("least"))
     languages = sizes.count()
     if not languages:
         return {}
     each = max(1024, min(dictionary_bytes, all_bytes // languages))
     # rows expected to fill a dictionary twice over, at the least half a kilobyte a row
     wanted = 4 * each // PIECE
-    chance = F.xxhash64(F.lit("row"), "text") / F.lit(float(1 << 64)) + 0.5
     spot = F.pmod(F.xxhash64(F.lit("spot"), "text"), F.greatest(F.lit(1), F.length("text") - PIECE + 1)).cast("int") + 1
     pieces = (
         # one row per language: far less than the dictionaries, which every task holds
         labelled.join(F.broadcast(sizes), "lang")
-        .where(chance < F.lit(float(wanted)) / F.col("n"))
+        .where((chance < F.lit(float(wanted)) / F.col("texts")) | (chance == F.col("least")))
         .select("lang", chance.alias("order"), F.substring("text", spot, F.lit(PIECE)).alias("piece"))
         .distinct()
     )

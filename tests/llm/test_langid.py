@@ -31,3 +31,12 @@ def test_dictionaries_are_bounded(spark):
     found = C.train_dictionaries(df, dictionary_bytes=4096)
     assert set(found) == {"en", "fr"} and all(len(d) <= 4096 for d in found.values())
     assert found == C.train_dictionaries(df.repartition(7), dictionary_bytes=4096)
+
+
+def test_much_copied_language_is_learned(spark):
+    train = [(i, "le chat est sur la table et le chien dort " * 4, "fr", "x") for i in range(3000)]
+    train += [(i, f"{i} the cat sat on the mat and the dog sleeps " * 4, "en", "x") for i in range(3000)]
+    dictionaries = C.train_dictionaries(spark.createDataFrame(train, SCHEMA))
+    assert set(dictionaries) == {"en", "fr"}
+    got = C.identify_language(spark.createDataFrame([(1, "le chien est sur la table", None, "x")], SCHEMA), dictionaries)
+    assert got.first().best == "fr"
