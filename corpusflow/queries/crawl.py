@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import crawl, extract
+from ..plans.checkpoints import scratch_path
 from ..sources import readers
-from .base import SQL_CORPUS, corpus, query, sql_breaks, sql_line_breaks, table
+from .base import SQL, SQL_CORPUS, corpus, query, sql_breaks, sql_line_breaks, table
 from .pages import SQL_TEXTS
 
 ALLOW, DENY = r"/(en|de)/", r"src1\d"
@@ -278,6 +281,13 @@ def ingest_pages_overwrite(spark, sf):
     return readers.ingest_pages(page_rows(spark, sf), newer_rows(spark, sf), "overwrite")
 
 
+@query(SQL["ingest_pages_overwrite"])
+def ingest_pages_stored(spark, sf):
+    """The same from a table that is bucketed by URL."""
+    old = readers.store_by_url(page_rows(spark, sf), f"pages_{uuid.uuid4().hex}", scratch_path(spark, "by_url"))
+    return readers.ingest_pages(old, newer_rows(spark, sf), "overwrite")
+
+
 @query(f"WITH {SQL_INGEST} SELECT * FROM old UNION ALL SELECT * FROM new")
 def ingest_pages_append(spark, sf):
     return readers.ingest_pages(page_rows(spark, sf), newer_rows(spark, sf), "append")

@@ -87,6 +87,23 @@ def export_html(spark, sf):
     return writers.export_html(corpus(spark, sf), "rowid", "url", "time", ["title", "text"], match=WORD)
 
 
+FRAME = "<html dir='%dir%'><head><title>%name% %date%</title></head><body>%info%\n%corpus%</body></html>"
+
+
+@query(f"""WITH {SQL_CORPUS} SELECT rowid, site AS group_key, 1 AS rank, '<div name="page" id="' || rowid || '" url="' || url || '" time="' || strftime(time, '%Y-%m-%d %H:%M:%S') || '" group="' || site || '">'
+  || '<div name=''title'' style=''color: #{writers.column_colours(2)[0]};''>' || chr(10) || {SQL_ESCAPED.format('title', WORD)} || chr(10) || '</div>' || chr(10)
+  || '<div name=''text'' style=''color: #000;''>' || chr(10) || {SQL_ESCAPED.format('text', WORD)} || chr(10) || '</div>' || chr(10) || '</div>' || chr(10) AS page FROM corpus
+UNION ALL SELECT DISTINCT NULL, site, 0, '<group name="' || site || '">' || chr(10) FROM corpus
+UNION ALL SELECT DISTINCT NULL, site, 2, '</group>' || chr(10) || chr(10) FROM corpus
+UNION ALL SELECT NULL, NULL, -1, '<html dir=''ltr''><head><title>documents 2024-01-01</title></head><body>by site' || chr(10)
+UNION ALL SELECT NULL, NULL, 3, '</body></html>'""")
+def export_html_groups(spark, sf):
+    """Pages by site, with lines that open and close each group, in the head and foot of a template."""
+    pages = writers.export_html(corpus(spark, sf), "rowid", "url", "time", ["title", "text"], group="site", match=WORD)
+    head, foot = writers.html_frame(FRAME, "documents", "by site", "2024-01-01", "ltr")
+    return writers.with_frame(writers.with_group_lines(pages, "rowid"), "rowid", head, foot)
+
+
 @query("SELECT page_id, url || '<hr>' || chr(10) || html || '<hr>' || chr(10) || chr(10) AS page FROM pages WHERE contains(url, '.com')")
 def export_sources(spark, sf):
     pages = table(spark, sf, "pages")

@@ -214,6 +214,24 @@ def scan_tsv(spark, sf):
     return readers.parse_tsv(line_table(spark, sf))
 
 
+@query(r"""WITH p AS (SELECT page_id, string_split(translate(coalesce(html, ''), ' ' || chr(13), chr(9)), chr(10)) AS l FROM pages),
+l AS (SELECT page_id || '.tsv' AS name, CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END AS l FROM p),
+n AS (SELECT name, unnest(l) AS line, unnest(range(len(l))) + 1 AS rowid FROM l),
+f AS (SELECT name, rowid, string_split(regexp_replace(line, '^\s+|\s+$', '', 'g'), chr(9)) AS f FROM n)
+SELECT name, rowid, CASE WHEN len(f) > 1 THEN array_to_string(f[:-2], ' ') ELSE rowid::VARCHAR END AS title, f[-1] AS text FROM f""")
+def scan_tsv_files(spark, sf):
+    """Pages are written as one tab-separated file each, blanks as tabs, and read with running line numbers."""
+    from ..plans.checkpoints import scratch_path
+    from ..sources.writers import write_files
+
+    name = F.concat(F.col("page_id").cast("string"), F.lit(".tsv")).alias("file_name")
+    content = F.translate(F.coalesce("html", F.lit("")), " \r", "\t").alias("content")
+    folder = scratch_path(spark, "tsv")
+    write_files(table(spark, sf, "pages").select(name, content), folder).count()
+    rows = readers.scan_tsv(spark, folder)
+    return rows.select(F.element_at(F.split("url", "/"), -1).alias("name"), "rowid", "title", "text")
+
+
 @query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no
            FROM (SELECT doc_id, replace(replace(text, '. ', chr(10)), ', ', chr(10) || doc_id || chr(10) || chr(10) || chr(10)) AS text FROM documents)),
 m AS (SELECT *, sum(regexp_matches(trim(line), '^\d+$')::BIGINT) OVER (PARTITION BY doc_id ORDER BY line_no) AS chunk, trim(line) = '' AS blank FROM l),

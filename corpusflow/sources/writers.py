@@ -116,6 +116,19 @@ def with_group_lines(pages: DataFrame, id_col: str, before: str = GROUP_BEFORE,
     return pages.withColumn("rank", F.lit(1)).unionByName(opening).unionByName(closing)
 
 
+def with_frame(pages: DataFrame, id_col: str, head: str, foot: str) -> DataFrame:
+    """Pages with group lines, with the head of the export as rank -1 and its foot as rank 3.
+
+    The export order is (rank is -1 first, rank is 3 last, group_key, rank, id), see ``FRAMED_ORDER``.
+    """
+    ends = pages.sparkSession.createDataFrame([(head, -1), (foot, 3)], "page string, rank int")
+    return pages.unionByName(ends, allowMissingColumns=True)
+
+
+#: Order of a framed export, but for the id.
+FRAMED_ORDER = ["CASE rank WHEN -1 THEN -1 WHEN 3 THEN 1 ELSE 0 END", "group_key", "rank"]
+
+
 def write_combined(pages: DataFrame, order: list[str], path: str) -> None:
     """Text files whose concatenation in name order is the export, written in parallel.
 
