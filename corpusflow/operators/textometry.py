@@ -8,7 +8,11 @@ rows, bounded stretches ``(section_id, tokens, core)``; counts are long form.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +24,7 @@ from ..plans.ordered import running_total
 from ..plans.skew import lookup_join
 
 EDGE_TYPE = "suit"  # fixed value: the type of all edges of a collocation graph
+PAIR_TOKENS = 1 << 22  # tokens whose pairs a task counts at a time
 STRETCH = 4096  # tokens per stretch of a section that is made of many rows
 
 
@@ -342,22 +347,132 @@ def token_ngrams(tokens: DataFrame, n: int) -> DataFrame:
     return tokens.select("section_id", F.posexplode(grams).alias("pos", "ngram"))
 
 
-def cooccurrences(tokens: DataFrame, n: int) -> DataFrame:
-    """Directed counts of tokens that stand at most ``n - 1`` positions apart.
+def cooccurrences(tokens: DataFrame, n: int, of: list[str] | None = None) -> DataFrame:
+    """Directed counts of tokens that stand at most ``n - 1`` positions apart; with ``of`` only those whose ``x`` is one of these.
 
     Each unordered pair is counted once in the shuffle and mirrored afterwards,
     which halves the rows that are exchanged. Equal tokens count in both directions.
     """
-    core = F.col("core") if "core" in tokens.columns else F.size("tokens")
-    pairs = tokens.withColumn("_core", core).select(
-        F.posexplode_outer("tokens").alias("i", "a"), "tokens", "_core"
-    ).where(F.col("i") < F.col("_core")).select(
-        "a", F.explode(F.slice(F.col("tokens"), F.col("i") + 2, F.lit(n - 1))).alias("b")
-    )
-    counted = pairs.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(
-        F.count("*").alias("cooc")
+    return _directed(tokens, n, False, of)
+
+
+def _directed(tokens: DataFrame, n: int, every_window: bool, of: list[str] | None) -> DataFrame:
+    both = _mirrored(_counted(tokens, n, every_window, of))
+    return both if of is None else both.where(F.col("x").isin(of))
+
+
+def _counted(tokens: DataFrame, n: int, every_window: bool, of: list[str] | None = None) -> DataFrame:
+    """Counts of unordered pairs, ``x <= y``: tasks count many texts at once as numpy arrays, so that few rows are left to add up."""
+    counted = _by_arrow(tokens, n, every_window).mapInArrow(
+        lambda batches: (_pair_rows(words, key, k) for words, key, k in _pair_counts(batches, n, every_window, of)), "x string, y string, cooc long"
+    )
+    return counted.groupBy("x", "y").agg(F.sum("cooc").alias("cooc"))
+
+
+def _by_arrow(tokens: DataFrame, n: int, every_window: bool) -> DataFrame:
+    core = F.col("core") if "core" in tokens.columns and not every_window else F.size("tokens")
+    return tokens.select("tokens", core.cast("int").alias("core"))
+
+
+def _slices(batches: Iterator[pa.RecordBatch], bound: int) -> Iterator[list[pa.RecordBatch]]:
+    """The rows dealt into lists of batches of about so many tokens, a row at least."""
+    kept, size = [], 0
+    for batch in batches:
+        sizes = pc.fill_null(pc.list_value_length(batch.column("tokens")), 0).to_numpy(zero_copy_only=False)
+        total = np.cumsum(sizes, dtype=np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(total // bound)) + 1).tolist(), batch.num_rows]
+        for start, end in zip(cuts, cuts[1:]):
+            kept.append(batch.slice(start, end - start))
+            size += int(sizes[start:end].sum())
+            if size >= bound:
+                yield kept
+                kept, size = [], 0
+    if kept:
+        yield kept
+
+
+def coded(batches: list[pa.RecordBatch]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct tokens in order, the number of each token among them, and tokens per row."""
+    lists = pa.concat_arrays([b.column("tokens") for b in batches])
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    encoded = lists.flatten().dictionary_encode()
+    order = pc.sort_indices(encoded.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return encoded.dictionary.take(pa.array(order)), rank[encoded.indices.to_numpy()], sizes
+
+
+def _pair_counts(
+    batches: Iterator[pa.RecordBatch], n: int, every_window: bool, of: list[str] | None = None
+) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Words in order, keys ``x * len(words) + y`` of unordered pairs and their counts, for some millions of tokens at a time."""
+    for part in _slices(batches, PAIR_TOKENS):
+        words, codes, sizes = coded(part)
+        core = np.concatenate([pc.fill_null(b.column("core"), 0).to_numpy(zero_copy_only=False) for b in part])
+        ends = np.cumsum(sizes)
+        end, own = np.repeat(ends, sizes), np.repeat(ends - sizes + core, sizes)
+        place, asked = np.arange(len(codes)), None
+        if of is not None:
+            asked = pc.is_in(words, value_set=pa.array(of, pa.string())).to_numpy(zero_copy_only=False)[codes]
+        keys, weights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for d in range(1, n):
+            a, b = codes[:-d], codes[d:]
+            chosen = (place[:-d] + d < end[:-d]) & (place[:-d] < own[:-d])
+            if asked is not None:
+                chosen &= asked[:-d] | asked[d:]
+            if every_window:
+                size = np.repeat(sizes, sizes)[:-d]
+                i = place[:-d] - (end[:-d] - size)
+                w = np.minimum(i, size - n) - np.maximum(0, i + d - n + 1) + 1
+                chosen &= w > 0
+                weights.append(w[chosen])
+            keys.append(np.minimum(a, b)[chosen] * len(words) + np.maximum(a, b)[chosen])
+        key = np.concatenate(keys)
+        if every_window:
+            order = np.argsort(key, kind="stable")
+            key, sums = key[order], np.concatenate([[0], np.cumsum(np.concatenate(weights)[order])])
+            first = np.flatnonzero(np.diff(key, prepend=-1))
+            yield words, key[first], np.diff(sums[np.append(first, len(key))])
+        else:
+            yield words, *np.unique(key, return_counts=True)
+
+
+def _pair_rows(words: pa.Array, key: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+    x, y = np.divmod(key, max(1, len(words)))
+    return pa.RecordBatch.from_arrays([words.take(pa.array(x)), words.take(pa.array(y)), pa.array(count, pa.int64())], names=["x", "y", "cooc"])
+
+
+def packed_cooccurrences(tokens: DataFrame, n: int, ranges: int | None = None) -> DataFrame:
+    """As :func:`cooccurrences`, in ranges of ``x`` and sorted by ``x, y``.
+
+    The collocates of a token travel as one row for some millions of tokens of text. A token has at most as many as there are words.
+    """
+    packed = _by_arrow(tokens, n, False).mapInArrow(
+        lambda batches: (_packed_rows(*counts) for counts in _pair_counts(batches, n, False)),
+        "x string, joined string, ys array<string>, ns array<int>",
+    )
+    dealt = packed.repartitionByRange(ranges, "x") if ranges else packed.repartitionByRange("x")
+    ys = F.coalesce("ys", F.split("joined", "\x00"))
+    both = dealt.select("x", F.inline(F.arrays_zip(ys.alias("y"), F.col("ns").alias("n"))).alias("y", "n"))
+    return both.groupBy("x", "y").agg(F.sum("n").alias("cooc")).sortWithinPartitions("x", "y")
+
+
+def _packed_rows(words: pa.Array, key: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+    x, y = np.divmod(key, max(1, len(words)))
+    same = x == y
+    x, y = np.concatenate([x, y[~same]]), np.concatenate([y, x[~same]])
+    n = np.concatenate([np.where(same, 2 * count, count), count[~same]])
+    order = np.lexsort((y, x))
+    x, first = np.unique(x[order], return_index=True)
+    offsets = pa.array(np.append(first, len(order)), pa.int32())
+    lists = pa.ListArray.from_arrays(offsets, words.take(pa.array(y[order])))
+    # tokens that hold the sign between two travel as they are
+    plain = not pc.any(pc.match_substring(words, "\0")).as_py()
+    joined = pc.binary_join(lists, "\0") if plain else pa.nulls(len(x), pa.string())
+    return pa.RecordBatch.from_arrays(
+        [words.take(pa.array(x)), joined, pa.nulls(len(x), pa.list_(pa.string())) if plain else lists, pa.ListArray.from_arrays(offsets, pa.array(n[order], pa.int32()))],
+        names=["x", "joined", "ys", "ns"],
     )
-    return _mirrored(counted)
 
 
 def _mirrored(counted: DataFrame) -> DataFrame:
@@ -375,22 +490,7 @@ def _mirrored(counted: DataFrame) -> DataFrame:
 
 def cooccurrences_multi(tokens: DataFrame, n: int) -> DataFrame:
     """Variant: a pair counts once for every window of ``n`` tokens that contains it."""
-    size = F.size("tokens")
-    pairs = tokens.select(
-        F.posexplode_outer("tokens").alias("i", "a"), "tokens", size.alias("_size")
-    ).select(
-        "a", "i", "_size",
-        F.posexplode(F.slice(F.col("tokens"), F.col("i") + 2, F.lit(n - 1))).alias("d", "b"),
-    )
-    j = F.col("i") + F.col("d") + 1
-    windows = F.least(F.col("i"), F.col("_size") - n) - F.greatest(F.lit(0), j - n + 1) + 1
-    counted = (
-        pairs.withColumn("_w", F.greatest(F.lit(0), windows).cast("long"))
-        .where(F.col("_w") > 0)
-        .groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-        .agg(F.sum("_w").alias("cooc"))
-    )
-    return _mirrored(counted)
+    return _directed(tokens, n, True, None)
 
 
 def collocation_specificity(
@@ -464,23 +564,25 @@ def collocation_graph(collspec: DataFrame, token: str, k: int = 5, depth: int =
 
 
 def collocation_graph_of(
-    cooc: DataFrame, vocab: DataFrame, n: int, token: str, k: int = 5, depth: int = 1, threshold: float = 5.0
+    cooc: DataFrame | Callable[[list[str]], DataFrame], vocab: DataFrame, n: int, token: str, k: int = 5, depth: int = 1, threshold: float = 5.0
 ) -> DataFrame:
     """Edges from the token to its ``k`` best collocates, and on for ``depth`` more levels.
 
     ``level`` is that of the source. Only pairs of the tokens that are asked for are scored: of the start, then of the
-    collocates that the last level found, at most ``k ** level`` and stored before they are joined.
+    collocates that the last level found, at most ``k ** level``. ``cooc`` is all pairs, or gives those of some tokens.
     """
     order = Window.partitionBy("token").orderBy(F.desc("spec"), F.desc("collocate"))
-    edges, asked = None, cooc.where(F.col("x") == token)
+    pairs_of = (lambda words: cooc.where(F.col("x").isin(words))) if isinstance(cooc, DataFrame) else cooc
+    edges, asked = None, [token]
     for level in range(depth + 1):
         best = (
-            collocation_specificity(asked, vocab, n, threshold).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+            collocation_specificity(pairs_of(asked), vocab, n, threshold).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select(F.col("token").alias("source"), F.col("collocate").alias("target"), "spec", "rank", F.lit(level).alias("level"))
         )
         best = stored(best, "best")
         edges = best if edges is None else edges.unionByName(best)
-        asked = cooc.join(best.select(F.col("target").alias("x")).distinct(), "x", "left_semi")
+        if level < depth:
+            asked = [r.target for r in best.select("target").distinct().collect()]
     return edges.withColumn("type", F.lit(EDGE_TYPE))
 
 

@@ -264,9 +264,9 @@ def cooccurrences_of_groups(spark, sf):
     return tx.cooccurrences(tx.stretches(tokens, WINDOW), WINDOW)
 
 
-def pairs(spark, sf):
+def pairs(spark, sf, of=None):
     tokens = doc_tokens(spark, sf)
-    return tx.cooccurrences(tokens, WINDOW), tx.vocabulary(tx.bag_of_words(tokens))
+    return tx.cooccurrences(tokens, WINDOW, of), tx.vocabulary(tx.bag_of_words(tokens))
 
 
 COLLOC = COOC + f""",
@@ -284,14 +284,16 @@ def collocation_specificity(spark, sf):
 
 @query(f"WITH {COLLOC} SELECT collocate, collocate_freq, cooc, spec FROM scored WHERE spec <> 0 AND token = '{WORD}' AND regexp_matches(collocate, 'e')")
 def collocation_table(spark, sf):
-    cooc, vocab = pairs(spark, sf)
-    spec = tx.collocation_specificity(cooc.where(F.col("x") == WORD), vocab, WINDOW)
+    cooc, vocab = pairs(spark, sf, [WORD])
+    vocab = stored(vocab, "vocabulary")
+    spec = tx.collocation_specificity(cooc, vocab, WINDOW)
     return tx.collocation_table(spec, vocab, WORD, "e")
 
 
 def word_graph(spark, sf):
-    cooc, vocab = pairs(spark, sf)
-    return tx.collocation_graph_of(stored(cooc, "pairs"), vocab, WINDOW, WORD)
+    tokens = doc_tokens(spark, sf)
+    vocab = stored(tx.vocabulary(tx.bag_of_words(tokens)), "vocabulary")  # read for each level
+    return tx.collocation_graph_of(lambda words: stored(tx.cooccurrences(tokens, WINDOW, words), "pairs"), vocab, WINDOW, WORD)
 
 
 GRAPH = COLLOC + f""",
