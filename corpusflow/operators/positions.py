@@ -2,14 +2,17 @@
 
 Four tables below one folder. ``postings`` holds the positions of each token in each section, cut
 into rows of bounded length; ``pairs`` the co-occurrences within a window; ``vocabulary`` and ``sizes`` the margins.
-Postings and pairs are range-partitioned and sorted by token, a frequent token over several files; Parquet keeps minima and maxima
+Postings and pairs are range-partitioned and sorted by token, the postings of a frequent token over several files; Parquet keeps minima and maxima
 of each row group and a Bloom filter of its tokens, and stores positions as differences.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +21,8 @@ from . import textometry as tx
 
 #: The most positions in one row.
 BLOCK = 4096
+#: Tokens whose positions a task lists at a time.
+BATCH_TOKENS = 1 << 19
 #: Words that a pattern may have in the vocabulary to be looked up by name; more are joined.
 NAMED = 1000
 ROW_GROUP_BYTES = 1 << 20
@@ -33,31 +38,58 @@ class Index(NamedTuple):
 
 def postings_of(tokens: DataFrame, block: int = BLOCK) -> DataFrame:
     """``token, section_id, part, positions`` (from 0, ascending) of tokenised sections."""
-    places = tokens.select("section_id", F.posexplode("tokens").alias("pos", "token"))
-    lists = places.groupBy("token", "section_id").agg(F.sort_array(F.collect_list("pos")).alias("all"))
+    kind = tokens.schema["section_id"].dataType.simpleString()
+    lists = tokens.select("section_id", "tokens").mapInArrow(_position_lists, f"token string, section_id {kind}, all array<int>")
+    # the lists of a section that stands in several rows are put together; ids travel, not tokens
+    repeated = tokens.groupBy("section_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("section_id").alias("_again"))
+    if not repeated.isEmpty():
+        same = F.col("section_id").eqNullSafe(F.col("_again"))
+        merged = lists.join(repeated, same, "left_semi").groupBy("token", "section_id").agg(F.sort_array(F.flatten(F.collect_list("all"))).alias("all"))
+        lists = lists.join(repeated, same, "left_anti").unionByName(merged)
     parts = F.transform(F.sequence(F.lit(0), F.size("all") - 1, F.lit(block)), lambda i: F.slice("all", i + 1, F.lit(block)))
     return lists.select("token", "section_id", F.posexplode(parts).alias("part", "positions"))
 
 
+def _position_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``token, section_id, all``: the positions of each distinct token of a row, ascending."""
+    for part in tx._slices(batches, BATCH_TOKENS):
+        for batch in part:
+            words, codes, sizes = tx.coded([batch])
+            if not len(codes):
+                continue
+            row = np.repeat(np.arange(batch.num_rows), sizes)
+            place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            order = np.lexsort((row, codes))  # stable: positions stay in order
+            key = codes[order] * batch.num_rows + row[order]
+            first = np.flatnonzero(np.diff(key, prepend=-1))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)), pa.int32()), pa.array(place[order], pa.int32()))
+            columns = [words.take(pa.array(codes[order][first])), batch.column("section_id").take(pa.array(row[order][first])), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["token", "section_id", "all"])
+
+
 def write_index(tokens: DataFrame, path: str, window: int = 5, row_group_bytes: int = ROW_GROUP_BYTES, files: int | None = None) -> None:
     """Index the tokenised sections; ``tokens`` is read once for each table, so store what is costly to make.
 
     ``files`` is the number of ranges of the two large tables, else as many as shuffle partitions.
     """
-    def sorted_by(df: DataFrame, name: str, *keys: str) -> None:
+    def ranged(df: DataFrame, *keys: str) -> DataFrame:
+        return (df.repartitionByRange(files, *keys) if files else df.repartitionByRange(*keys)).sortWithinPartitions(*keys)
+
+    def written(df: DataFrame, name: str, *keys: str) -> None:
         (
-            (df.repartitionByRange(files, *keys) if files else df.repartitionByRange(*keys)).sortWithinPartitions(*keys).write
+            df.write.option("compression", "zstd")
             .option("parquet.block.size", row_group_bytes).option("parquet.writer.version", "v2")
             .option(f"parquet.bloom.filter.enabled#{keys[0]}", "true").option("parquet.bloom.filter.max.bytes", 1 << 18)
             .option("parquet.enable.dictionary#positions.list.element", "false")
             .mode("overwrite").parquet(f"{path}/{name}")
         )
 
-    bow = tx.bag_of_words(tokens)
-    sorted_by(postings_of(tokens), "postings", "token", "section_id", "part")
-    sorted_by(tx.cooccurrences(tokens, window), f"pairs/window={window}", "x", "y")
-    tx.section_sizes(bow).write.mode("overwrite").parquet(f"{path}/sizes")
-    sorted_by(tx.vocabulary(bow), "vocabulary", "token")
+    written(ranged(postings_of(tokens), "token", "section_id", "part"), "postings", "token")
+    written(tx.packed_cooccurrences(tokens, window, files), f"pairs/window={window}", "x")
+    # the margins are sums over the postings, which are sorted by token
+    freq = tokens.sparkSession.read.parquet(f"{path}/postings").select("token", "section_id", "part", F.size("positions").cast("long").alias("freq"))
+    freq.groupBy("section_id").agg(F.sum("freq").alias("size"), F.count_if(F.col("part") == 0).alias("n_types")).write.mode("overwrite").parquet(f"{path}/sizes")
+    written(ranged(freq.groupBy("token").agg(F.sum("freq").alias("totfreq")), "token"), "vocabulary", "token")
 
 
 def read_index(spark: SparkSession, path: str, window: int = 5) -> Index:
