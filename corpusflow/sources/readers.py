@@ -98,14 +98,24 @@ def scan_folder(spark: SparkSession, path: str, encoding: str = "utf-8") -> Data
 
 def _hidden_files(spark: SparkSession, path: str) -> list[str]:
     """Paths below the folder that are no dot-files themselves but that a scan of it would not show."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    base, listed, found = system.makeQualified(root).toString().rstrip("/"), system.listFiles(root, True), []
-    while listed.hasNext():
-        file = listed.next().getPath().toString()
-        parts = file[len(base) + 1 :].split("/")
-        if not parts[-1].startswith(".") and any(p[:1] in ("_", ".") for p in parts):
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    system = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    level, found = system.makeQualified(place(path)).toString().rstrip("/"), []
+
+    def add(file: str) -> None:
+        if not file.rsplit("/", 1)[-1].startswith("."):
             found.append(file)
+
+    # only what is hidden is told to the driver's Python, not every file of the folder
+    while len(system.globStatus(place(f"{level}/*")) or ()):
+        for hit in system.globStatus(place(f"{level}/[_.]*")) or ():
+            if hit.isFile():
+                add(hit.getPath().toString())
+            else:
+                listed = system.listFiles(hit.getPath(), True)
+                while listed.hasNext():
+                    add(listed.next().getPath().toString())
+        level += "/[!_.]*"
     return found
 
 
