@@ -152,10 +152,20 @@ def lemmatize_with(df: DataFrame, id_col: str, column: str, lexicon: DataFrame,
     return df.join(done, id_col)
 
 
-def _longest_first(text: str, words: set[str], longest: int) -> str:
-    out, i = [], 0
+def _longest_first(text: str, words: set[str]) -> str:
+    """Cut at the longest word that begins at a place, else after one character; lengths are tried by the first two characters."""
+    lengths: dict[str, list[int]] = {}
+    for w in sorted((w for w in words if len(w) > 1), key=len, reverse=True):
+        sizes = lengths.setdefault(w[:2], [])
+        if not sizes or sizes[-1] != len(w):
+            sizes.append(len(w))
+    out, i, none = [], 0, ()
     while i < len(text):
-        size = next((k for k in range(min(longest, len(text) - i), 1, -1) if text[i : i + k] in words), 1)
+        size = 1
+        for k in lengths.get(text[i : i + 2], none):
+            if text[i : i + k] in words:
+                size = k
+                break
         out.append(text[i : i + size])
         i += size
     return " ".join(out)
@@ -208,7 +218,7 @@ def segment_with(df: DataFrame, id_col: str, column: str, lexicon: DataFrame, ou
     @pandas_udf("string")
     def segment(texts: pd.Series, words: pd.Series) -> pd.Series:
         rows = ((t, set(w) if w is not None else set()) for t, w in zip(texts, words))
-        return pd.Series([None if t is None else _longest_first(t, w, max(map(len, w), default=1)) for t, w in rows], dtype=object)
+        return pd.Series([None if t is None else _longest_first(t, w) for t, w in rows], dtype=object)
 
     done = df.select(id_col, F.col(column).alias("_text")).join(found, id_col, "left").select(id_col, segment("_text", "_forms").alias(out))
     return df.join(done, id_col)
