@@ -6,9 +6,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.cells import sentence_breaks, split_blanks
 from ..functions.patterns import never_empty, spark_regex, spark_replacement
@@ -16,6 +19,8 @@ from ..plans import bloom
 from ..plans.checkpoints import stored
 from ..plans.skew import lookup_join
 
+SAID_TOKENS = 1 << 20  # tokens that a task replaces at a time
+
 
 def regex_replace_columns(df: DataFrame, columns: list[str], find: str, replace: str) -> DataFrame:
     regex = spark_regex(find, ignore_case=True, multiline=True)
@@ -123,8 +128,8 @@ def lemmatize_with(df: DataFrame, id_col: str, column: str, lexicon: DataFrame,
     """Replace each token by its lemma, tag or both from ``lexicon(form, lemma, tag)``; others stay.
 
     Of several readings of a form the first by lemma and tag counts. Distinct forms are looked up,
-    not tokens, so a frequent word is joined once per text, and the result is put back with a
-    map of the text's own forms.
+    not tokens, so a frequent word is joined once per text, and the result is put back by the text's
+    own forms, for many texts at once as Arrow columns.
     """
     shown = {
         "lemma": lambda: F.col("lemma"), "tag": lambda: F.col("tag"),
@@ -144,14 +149,42 @@ def lemmatize_with(df: DataFrame, id_col: str, column: str, lexicon: DataFrame,
         .groupBy(id_col)
         .agg(F.map_from_entries(F.collect_list(F.struct("form", "said"))).alias("_said"))
     )
-    replaced = F.transform("_tokens", lambda t: F.coalesce(F.try_element_at(F.col("_said"), t), t))
-    done = tokens.join(found, id_col, "left").select(
-        id_col,
-        F.when(F.col("_said").isNull(), F.array_join("_tokens", " ")).otherwise(F.array_join(replaced, " ")).alias(out),
+    said = tokens.join(found, id_col, "left").select(
+        id_col, "_tokens", F.map_keys("_said").alias("_forms"), F.map_values("_said").alias("_said")
     )
+    done = said.mapInArrow(lambda batches: _said_batches(batches, out), StructType([said.schema[id_col], StructField(out, StringType())]))
     return df.join(done, id_col)
 
 
+def _said_batches(batches: Iterator[pa.RecordBatch], out: str) -> Iterator[pa.RecordBatch]:
+    """Rows ``id, tokens, forms, said`` as ``id, text``: each token that is among the row's forms as it is said there."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.list_value_length(batch.column("_tokens")), 0).to_numpy(zero_copy_only=False)
+        bounds = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // SAID_TOKENS, prepend=0)).tolist()
+        for start, end in zip([0, *bounds], [*bounds, batch.num_rows]):
+            if start < end:
+                part = batch.slice(start, end - start)
+                yield pa.RecordBatch.from_arrays([part.column(0), _said(*part.columns[1:])], names=[part.schema.names[0], out])
+
+
+def _said(tokens: pa.ListArray, forms: pa.ListArray, said: pa.ListArray) -> pa.Array:
+    sizes, known = (pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in (tokens, forms))
+    words, replies = tokens.flatten(), said.flatten()
+    # a row's forms and tokens are numbered alike, then looked up by row and number
+    coded = pa.concat_arrays([words, forms.flatten()]).dictionary_encode()
+    codes, n = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(coded.dictionary)
+    rows = np.arange(len(sizes))
+    asked, keys = np.repeat(rows, sizes) * n + codes[: len(words)], np.repeat(rows, known) * n + codes[len(words) :]
+    order = np.argsort(keys)
+    at = np.searchsorted(keys[order], asked)
+    at = order[np.minimum(at, len(order) - 1)] if len(order) else np.zeros(len(asked), np.int64)
+    hit = keys[at] == asked if len(order) else np.zeros(len(asked), bool)
+    chosen = pa.concat_arrays([words, replies]).take(pa.array(np.where(hit, len(words) + at, np.arange(len(words)))))
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+    joined = pc.binary_join(pa.ListArray.from_arrays(offsets, chosen), " ")
+    return pc.if_else(tokens.is_valid(), joined, pa.scalar(None, pa.string()))
+
+
 def _longest_first(text: str, words: set[str]) -> str:
     """Cut at the longest word that begins at a place, else after one character; lengths are tried by the first two characters."""
     lengths: dict[str, list[int]] = {}
