@@ -24,6 +24,7 @@ DROPPED_ELEMENTS = [
     "<script.*?</script>", "<style.*?</style>", "<rss.*?</rss>", "<!--.*?-->", "<img.*?>",
 ]
 ENTITY = "&.+?;"
+FEW_ENTITIES = 64  # distinct entities of a text that are looked up along a list
 AD_ANCHOR = "&lt;a .*?/a&gt;"
 
 
@@ -67,14 +68,30 @@ def _entity_character(body: Column) -> Column:
     )
 
 
+def _entity_characters(entities: Column) -> Column:
+    """Replacements of the entities of a text; each distinct one is decoded once, unless they are many."""
+
+    def decoded(all: Column) -> Column:
+        return F.transform(all, lambda e: _entity_character(F.substring(e, F.lit(2), F.length(e) - 2)))
+
+    def looked_up(pair: Column) -> Column:
+        # a look-up runs along the distinct ones
+        return F.when(
+            F.size(pair["distinct"]) <= FEW_ENTITIES,
+            F.flatten(F.transform(
+                F.array(F.map_from_arrays(pair["distinct"], decoded(pair["distinct"]))),
+                lambda known: F.transform(pair["all"], lambda e: F.element_at(known, e)),
+            )),
+        ).otherwise(decoded(pair["all"]))
+
+    return F.flatten(F.transform(F.array(F.struct(entities.alias("all"), F.array_distinct(entities).alias("distinct"))), looked_up))
+
+
 def decode_entities(text: Column) -> Column:
     """Numeric and named entities become characters, unknown ones a blank."""
     pattern = spark_regex(ENTITY)
     between = F.split(text, pattern)
-    bodies = F.transform(
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-        lambda e: _entity_character(F.substring(e, F.lit(2), F.length(e) - 2)),
-    )
+    bodies = _entity_characters(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
     # the text before each entity, the entity, and the text after the last one
     woven = F.zip_with(
         between, bodies, lambda plain, char: F.concat(plain, F.coalesce(char, F.lit("")))
