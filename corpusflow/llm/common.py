@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans import bloom
 from ..plans.checkpoints import scratch_path, stored
 from ..queries.base import table
 
@@ -48,8 +49,18 @@ def unused(df: DataFrame, name: str) -> str:
 
 
 def without(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
-    """The rows of ``docs``, all columns, whose id is not in the only column of ``gone``; null ids stay."""
-    return docs.join(gone.distinct(), docs[id_col].cast("long") == gone[gone.columns[0]], "left_anti")
+    """The rows of ``docs``, all columns, whose id is not in the only column of ``gone``; null ids stay.
+
+    Rows that a bit map tells to stay are not shuffled; the others are joined exactly. ``docs`` is read twice.
+    """
+    gone = stored(gone.distinct(), "gone")
+    key, name = unused(docs, "key"), gone.columns[0]
+    bits, _ = bloom.map_bits(gone.count())
+    # each id is put in twice
+    marked = docs.withColumn(key, F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(0)))
+    maybe = bloom.maybe_repeated(marked, key, bloom.repeated_map(gone.unionAll(gone), name, bits))
+    stays, asked = marked.where(~maybe).drop(key), marked.where(maybe).drop(key)
+    return stays.unionAll(asked.join(gone, asked[f"`{id_col}`"].cast("long") == gone[name], "left_anti"))
 
 
 def in_fold(id_col: str = "doc_id") -> Column:
