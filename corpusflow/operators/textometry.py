@@ -25,6 +25,8 @@ from ..plans.skew import lookup_join
 
 EDGE_TYPE = "suit"  # fixed value: the type of all edges of a collocation graph
 PAIR_TOKENS = 1 << 22  # tokens whose pairs a task counts at a time
+TASK_TOKENS = 1 << 20  # tokens whose pairs a task adds up
+TOP_WORDS = 1 << 16  # most frequent tokens that are numbered and broadcast with their totals
 STRETCH = 4096  # tokens per stretch of a section that is made of many rows
 
 
@@ -475,6 +477,58 @@ def _packed_rows(words: pa.Array, key: np.ndarray, count: np.ndarray) -> pa.Reco
     )
 
 
+def cooccurrences_with_totals(tokens: DataFrame, vocab: DataFrame, n: int) -> DataFrame:
+    """As :func:`cooccurrences` with the total frequencies of both tokens, ``x, y, cooc, x_total, y_total``.
+
+    Each unordered pair stands under the rarer of its tokens, whose place in the shuffle also holds its total: no
+    token has many partners that are more frequent. The ``TOP_WORDS`` most frequent ones travel as numbers and get
+    their totals by a bounded broadcast, so that only pairs of two other tokens are shuffled a second time.
+    """
+    top = stored(vocab.orderBy(F.desc("totfreq"), "token").limit(TOP_WORDS), "top")
+    words = top.orderBy(F.desc("totfreq"), "token").toArrow()
+    frequent, totals = words.column("token").combine_chunks().cast(pa.string()), words.column("totfreq").to_pylist()
+    numbered = tokens.sparkSession.createDataFrame(
+        pa.table({"rank": pa.array(range(len(totals)), pa.int32()), "y": frequent, "y_total": pa.array(totals, pa.int64())})
+    )
+    packed = _by_arrow(tokens, n, False).mapInArrow(
+        lambda batches: (_ranked_rows(*counts, frequent) for counts in _pair_counts(batches, n, False)),
+        "x string, ranks array<int>, ns array<int>, ys array<string>, ms array<int>",
+    )
+    no_word, no_rank = F.lit(None).cast("string"), F.lit(-1)
+    pairs = F.concat(
+        F.transform(F.arrays_zip("ranks", "ns"), lambda p: F.struct(p["ranks"].alias("rank"), no_word.alias("y"), p["ns"].alias("n"))),
+        F.transform(F.arrays_zip("ys", "ms"), lambda p: F.struct(no_rank.alias("rank"), p["ys"].alias("y"), p["ms"].alias("n"))),
+    )
+    # packed rows are small for the pairs they hold, so tasks are told by tokens; x alone deals them out, which serves the sums and the look-up of x
+    size = vocab.agg(F.sum("totfreq")).first()[0] or 0
+    tasks = max(int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_TOKENS))
+    counted = packed.repartition(tasks, "x").select("x", F.inline(pairs)).groupBy("x", "rank", "y").agg(F.sum("n").alias("cooc"))
+    known = counted.join(vocab.select(F.col("token").alias("x"), F.col("totfreq").alias("x_total")), "x")
+    columns = ["x", "y", "cooc", "x_total", "y_total"]
+    by_rank = known.where("rank >= 0").drop("y").join(F.broadcast(numbered), "rank").select(columns)
+    others = vocab.select(F.col("token").alias("y"), F.col("totfreq").alias("y_total"))
+    both = by_rank.unionByName(known.where("rank < 0").join(others, "y").select(columns))
+    back = F.struct(F.col("y").alias("x"), F.col("x").alias("y"), F.col("cooc"), F.col("y_total").alias("x_total"), F.col("x_total").alias("y_total"))
+    twice = F.struct("x", "y", (F.col("cooc") * 2).alias("cooc"), "x_total", "y_total")
+    return both.select(F.inline(F.when(F.col("x") == F.col("y"), F.array(twice)).otherwise(F.array(F.struct(*columns), back))))
+
+
+def _ranked_rows(words: pa.Array, key: np.ndarray, count: np.ndarray, frequent: pa.Array) -> pa.RecordBatch:
+    """One row per token with its more frequent partners: their ranks, or the words if both are rare, and counts."""
+    x, y = np.divmod(key, max(1, len(words)))
+    rank = pc.fill_null(pc.index_in(words, value_set=frequent), len(frequent)).to_numpy(zero_copy_only=False).astype(np.int64)
+    swapped = rank[x] < rank[y]
+    x, y = np.where(swapped, y, x), np.where(swapped, x, y)
+    order = np.lexsort((y, rank[y], x))
+    x, y, count = x[order], y[order], count[order]
+    rare = rank[y] == len(frequent)
+    owners, columns = np.unique(x), []
+    for chosen, values, kind in ((~rare, lambda y: pa.array(rank[y], pa.int32()), pa.int32()), (rare, lambda y: words.take(pa.array(y)), pa.string())):
+        offsets = pa.array(np.append(np.searchsorted(x[chosen], owners), chosen.sum()), pa.int32())
+        columns += [pa.ListArray.from_arrays(offsets, values(y[chosen]).cast(kind)), pa.ListArray.from_arrays(offsets, pa.array(count[chosen], pa.int32()))]
+    return pa.RecordBatch.from_arrays([words.take(pa.array(owners)), *columns], names=["x", "ranks", "ns", "ys", "ms"])
+
+
 def _mirrored(counted: DataFrame) -> DataFrame:
     same = F.col("x") == F.col("y")
     both = F.when(
@@ -499,7 +553,15 @@ def collocation_specificity(
     """Signed index of each collocate of each token; zeros are dropped.
 
     The collocate's surroundings are taken as a section of ``n`` times its frequency.
+    ``cooc`` may bring both totals along, as from :func:`cooccurrences_with_totals`.
     """
+    if "x_total" in cooc.columns:
+        corpus = vocab.select(F.sum("totfreq")).scalar()
+        both = cooc.select(
+            F.col("x").alias("token"), F.col("y").alias("collocate"), "cooc",
+            F.col("x_total").alias("totfreq"), (F.col("y_total") * n).alias("around"),
+        )
+        return _collocation_scores(both, corpus, threshold)
     vocab = stored(vocab, "vocabulary")  # read by the sum and by both look-ups
     corpus = vocab.select(F.sum("totfreq")).scalar()
     # a token has at most 2(n-1) partners per occurrence, so its frequency bounds its rows
@@ -513,6 +575,10 @@ def collocation_specificity(
         with_total.withColumnRenamed("y", "collocate"),
         around, "collocate", "around", F.col("around"), F.col("token"),
     )
+    return _collocation_scores(both, corpus, threshold)
+
+
+def _collocation_scores(both: DataFrame, corpus: Column, threshold: float) -> DataFrame:
     return (
         with_specificity(
             both.withColumn("_corpus", corpus), F.col("_corpus"), F.col("around"), F.col("totfreq"), F.col("cooc"), threshold

@@ -279,7 +279,9 @@ ccells AS (SELECT x AS token, y AS collocate, a.totfreq AS totfreq, b.totfreq AS
 
 @query(f"WITH {COLLOC} SELECT token, collocate, totfreq, cooc, spec, log10p FROM scored WHERE spec <> 0")
 def collocation_specificity(spark, sf):
-    return shown(tx.collocation_specificity(*pairs(spark, sf), WINDOW))
+    tokens = doc_tokens(spark, sf)
+    vocab = stored(tx.vocabulary(tx.bag_of_words(tokens)), "vocabulary")
+    return shown(tx.collocation_specificity(tx.cooccurrences_with_totals(tokens, vocab, WINDOW), vocab, WINDOW))
 
 
 @query(f"WITH {COLLOC} SELECT collocate, collocate_freq, cooc, spec FROM scored WHERE spec <> 0 AND token = '{WORD}' AND regexp_matches(collocate, 'e')")
