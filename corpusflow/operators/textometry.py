@@ -24,7 +24,10 @@ from ..plans.ordered import running_total
 from ..plans.skew import lookup_join
 
 EDGE_TYPE = "suit"  # fixed value: the type of all edges of a collocation graph
-PAIR_TOKENS = 1 << 22  # tokens whose pairs a task counts at a time
+PAIR_TOKENS = 1 << 21  # tokens whose pairs a task counts at a time
+PIECE_TOKENS = 1 << 21  # tokens of one text whose pairs are counted at a time
+PAIR_PLACES = 1 << 18  # tokens whose pairs are listed at a time
+PAIR_ROWS = 1 << 16  # pairs that leave a task at a time
 TASK_TOKENS = 1 << 20  # tokens whose pairs a task adds up
 TOP_WORDS = 1 << 16  # most frequent tokens that are numbered and broadcast with their totals
 STRETCH = 4096  # tokens per stretch of a section that is made of many rows
@@ -365,10 +368,7 @@ def _directed(tokens: DataFrame, n: int, every_window: bool, of: list[str] | Non
 
 def _counted(tokens: DataFrame, n: int, every_window: bool, of: list[str] | None = None) -> DataFrame:
     """Counts of unordered pairs, ``x <= y``: tasks count many texts at once as numpy arrays, so that few rows are left to add up."""
-    counted = _by_arrow(tokens, n, every_window).mapInArrow(
-        lambda batches: (_pair_rows(words, key, k) for words, key, k in _pair_counts(batches, n, every_window, of)), "x string, y string, cooc long"
-    )
-    return counted.groupBy("x", "y").agg(F.sum("cooc").alias("cooc"))
+    return _added_up(_packed(tokens, n, every_window, False, of).repartition("x"))
 
 
 def _by_arrow(tokens: DataFrame, n: int, every_window: bool) -> DataFrame:
@@ -377,15 +377,16 @@ def _by_arrow(tokens: DataFrame, n: int, every_window: bool) -> DataFrame:
 
 
 def _slices(batches: Iterator[pa.RecordBatch], bound: int) -> Iterator[list[pa.RecordBatch]]:
-    """The rows dealt into lists of batches of about so many tokens, a row at least."""
+    """The rows dealt into lists of batches, each ended by the row that makes it ``bound`` tokens."""
     kept, size = [], 0
     for batch in batches:
-        sizes = pc.fill_null(pc.list_value_length(batch.column("tokens")), 0).to_numpy(zero_copy_only=False)
-        total = np.cumsum(sizes, dtype=np.int64)
-        cuts = [0, *(np.flatnonzero(np.diff(total // bound)) + 1).tolist(), batch.num_rows]
-        for start, end in zip(cuts, cuts[1:]):
+        total = np.cumsum(pc.fill_null(pc.list_value_length(batch.column("tokens")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start, before = 0, 0
+        while start < batch.num_rows:
+            end = min(batch.num_rows, int(np.searchsorted(total, before + bound - size)) + 1)
             kept.append(batch.slice(start, end - start))
-            size += int(sizes[start:end].sum())
+            size += int(total[end - 1]) - before
+            start, before = end, int(total[end - 1])
             if size >= bound:
                 yield kept
                 kept, size = [], 0
@@ -407,41 +408,61 @@ def coded(batches: list[pa.RecordBatch]) -> tuple[pa.Array, np.ndarray, np.ndarr
 def _pair_counts(
     batches: Iterator[pa.RecordBatch], n: int, every_window: bool, of: list[str] | None = None
 ) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
-    """Words in order, keys ``x * len(words) + y`` of unordered pairs and their counts, for some millions of tokens at a time."""
+    """Words in order, keys ``x * len(words) + y`` of unordered pairs, ascending, and their counts, for some millions of tokens at a time.
+
+    One array holds the pairs and is sorted where it lies: a task has about ``8 * (n - 1)`` bytes for a token.
+    """
     for part in _slices(batches, PAIR_TOKENS):
         words, codes, sizes = coded(part)
         core = np.concatenate([pc.fill_null(b.column("core"), 0).to_numpy(zero_copy_only=False) for b in part])
-        ends = np.cumsum(sizes)
-        end, own = np.repeat(ends, sizes), np.repeat(ends - sizes + core, sizes)
-        place, asked = np.arange(len(codes)), None
-        if of is not None:
-            asked = pc.is_in(words, value_set=pa.array(of, pa.string())).to_numpy(zero_copy_only=False)[codes]
-        keys, weights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        asked = None if of is None else pc.is_in(words, value_set=pa.array(of, pa.string())).to_numpy(zero_copy_only=False)[codes]
+        # a text may be longer than all that is counted at a time
+        pieces = max(1, round(len(codes) / PIECE_TOKENS))
+        for i in range(pieces):
+            key = _pair_keys(codes, sizes, core, len(words), n, every_window, asked, len(codes) * i // pieces, len(codes) * (i + 1) // pieces)
+            key.sort()
+            weights = None
+            if every_window:
+                weights = np.empty(len(key), np.int32)
+                np.remainder(key, n, out=weights, casting="unsafe")
+                np.floor_divide(key, n, out=key)
+            first = np.flatnonzero(np.concatenate([key[:1] >= 0, key[1:] != key[:-1]]))
+            if not len(first):
+                continue
+            counts = np.diff(first, append=len(key)) if weights is None else np.add.reduceat(weights, first, dtype=np.int64)
+            key = key[first]
+            del first, weights
+            yield words, key, counts
+
+
+def _pair_keys(
+    codes: np.ndarray, sizes: np.ndarray, core: np.ndarray, width: int, n: int, every_window: bool, asked: np.ndarray | None, start: int, stop: int
+) -> np.ndarray:
+    """Keys of the pairs whose first token stands at ``start`` to ``stop``; with ``every_window`` times ``n``, plus the number of windows."""
+    ends = np.cumsum(sizes)
+    keys, filled = np.empty((n - 1) * (stop - start), np.int64), 0
+    for low in range(start, stop, PAIR_PLACES):
+        high = min(stop, low + PAIR_PLACES)
+        place = np.arange(low, high)
+        row = np.searchsorted(ends, place, side="right")
+        end, size = ends[row], sizes[row]
+        left = np.minimum(end, end - size + core[row])
         for d in range(1, n):
-            a, b = codes[:-d], codes[d:]
-            chosen = (place[:-d] + d < end[:-d]) & (place[:-d] < own[:-d])
+            m = min(high, len(codes) - d) - low
+            if m <= 0:
+                break
+            a, b = codes[low : low + m], codes[low + d : low + d + m]
+            chosen = (place[:m] + d < end[:m]) & (place[:m] < left[:m])
             if asked is not None:
-                chosen &= asked[:-d] | asked[d:]
+                chosen &= asked[low : low + m] | asked[low + d : low + d + m]
             if every_window:
-                size = np.repeat(sizes, sizes)[:-d]
-                i = place[:-d] - (end[:-d] - size)
-                w = np.minimum(i, size - n) - np.maximum(0, i + d - n + 1) + 1
-                chosen &= w > 0
-                weights.append(w[chosen])
-            keys.append(np.minimum(a, b)[chosen] * len(words) + np.maximum(a, b)[chosen])
-        key = np.concatenate(keys)
-        if every_window:
-            order = np.argsort(key, kind="stable")
-            key, sums = key[order], np.concatenate([[0], np.cumsum(np.concatenate(weights)[order])])
-            first = np.flatnonzero(np.diff(key, prepend=-1))
-            yield words, key[first], np.diff(sums[np.append(first, len(key))])
-        else:
-            yield words, *np.unique(key, return_counts=True)
-
-
-def _pair_rows(words: pa.Array, key: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
-    x, y = np.divmod(key, max(1, len(words)))
-    return pa.RecordBatch.from_arrays([words.take(pa.array(x)), words.take(pa.array(y)), pa.array(count, pa.int64())], names=["x", "y", "cooc"])
+                at = place[:m] - (end[:m] - size[:m])
+                windows = np.minimum(at, size[:m] - n) - np.maximum(0, at + d - n + 1) + 1
+                chosen &= windows > 0
+            pair = np.minimum(a, b)[chosen] * width + np.maximum(a, b)[chosen]
+            keys[filled : filled + len(pair)] = pair * n + windows[chosen] if every_window else pair
+            filled += len(pair)
+    return keys[:filled]
 
 
 def packed_cooccurrences(tokens: DataFrame, n: int, ranges: int | None = None) -> DataFrame:
@@ -449,32 +470,57 @@ def packed_cooccurrences(tokens: DataFrame, n: int, ranges: int | None = None) -
 
     The collocates of a token travel as one row for some millions of tokens of text. A token has at most as many as there are words.
     """
-    packed = _by_arrow(tokens, n, False).mapInArrow(
-        lambda batches: (_packed_rows(*counts) for counts in _pair_counts(batches, n, False)),
-        "x string, joined string, ys array<string>, ns array<int>",
+    packed = _packed(tokens, n, False, True)
+    return _added_up(packed.repartitionByRange(ranges, "x") if ranges else packed.repartitionByRange("x")).sortWithinPartitions("x", "y")
+
+
+def _packed(tokens: DataFrame, n: int, every_window: bool, mirrored: bool, of: list[str] | None = None) -> DataFrame:
+    kind = "long" if every_window else "int"
+    return _by_arrow(tokens, n, every_window).mapInArrow(
+        lambda batches: (rows for counts in _pair_counts(batches, n, every_window, of) for rows in _packed_rows(*counts, mirrored, kind)),
+        f"x string, joined string, ys array<string>, ns array<{kind}>",
     )
-    dealt = packed.repartitionByRange(ranges, "x") if ranges else packed.repartitionByRange("x")
-    ys = F.coalesce("ys", F.split("joined", "\x00"))
-    both = dealt.select("x", F.inline(F.arrays_zip(ys.alias("y"), F.col("ns").alias("n"))).alias("y", "n"))
-    return both.groupBy("x", "y").agg(F.sum("n").alias("cooc")).sortWithinPartitions("x", "y")
 
 
-def _packed_rows(words: pa.Array, key: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
-    x, y = np.divmod(key, max(1, len(words)))
-    same = x == y
-    x, y = np.concatenate([x, y[~same]]), np.concatenate([y, x[~same]])
-    n = np.concatenate([np.where(same, 2 * count, count), count[~same]])
-    order = np.lexsort((y, x))
-    x, first = np.unique(x[order], return_index=True)
-    offsets = pa.array(np.append(first, len(order)), pa.int32())
-    lists = pa.ListArray.from_arrays(offsets, words.take(pa.array(y[order])))
+def _added_up(packed: DataFrame) -> DataFrame:
+    """Sums of the counts of packed rows that are dealt out by ``x``."""
+    ys = F.coalesce("ys", F.split("joined", "\x00"))
+    both = packed.select("x", F.inline(F.arrays_zip(ys.alias("y"), F.col("ns").alias("n"))).alias("y", "n"))
+    return both.groupBy("x", "y").agg(F.sum("n").alias("cooc"))
+
+
+def _packed_rows(words: pa.Array, key: np.ndarray, count: np.ndarray, mirrored: bool, kind: str = "long") -> Iterator[pa.RecordBatch]:
+    """Rows of ``x`` with its collocates, with ``mirrored`` all of them; about ``PAIR_ROWS`` pairs, or the row of one token, leave at a time."""
+    width = len(words)
+    back, back_count = key[:0], count[:0]
+    if mirrored:
+        turned = key % width * width + key // width
+        same = turned == key
+        count = np.where(same, 2 * count, count)
+        order = np.argsort(turned)
+        order = order[~same[order]]
+        back, back_count = turned[order], count[order]
+        del turned, same, order
+    # the pairs of a token may stand in both sequences
+    total = np.cumsum(np.bincount(key // width, minlength=width) + np.bincount(back // width, minlength=width))
+    cuts = np.unique([0, *(np.flatnonzero(np.diff(total // PAIR_ROWS)) + 1), width])
+    at, back_at = np.searchsorted(key, cuts * width), np.searchsorted(back, cuts * width)
     # tokens that hold the sign between two travel as they are
     plain = not pc.any(pc.match_substring(words, "\0")).as_py()
-    joined = pc.binary_join(lists, "\0") if plain else pa.nulls(len(x), pa.string())
-    return pa.RecordBatch.from_arrays(
-        [words.take(pa.array(x)), joined, pa.nulls(len(x), pa.list_(pa.string())) if plain else lists, pa.ListArray.from_arrays(offsets, pa.array(n[order], pa.int32()))],
-        names=["x", "joined", "ys", "ns"],
-    )
+    for i in range(len(cuts) - 1):
+        here, there = slice(at[i], at[i + 1]), slice(back_at[i], back_at[i + 1])
+        both, n = np.concatenate([key[here], back[there]]), np.concatenate([count[here], back_count[there]])
+        if not len(both):
+            continue
+        order = np.argsort(both)
+        x, y = np.divmod(both[order], width)
+        owners, first = np.unique(x, return_index=True)
+        offsets = pa.array(np.append(first, len(order)), pa.int32())
+        lists = pa.ListArray.from_arrays(offsets, words.take(pa.array(y)))
+        joined = pc.binary_join(lists, "\0") if plain else pa.nulls(len(owners), pa.string())
+        ys = pa.nulls(len(owners), pa.list_(pa.string())) if plain else lists
+        ns = pa.ListArray.from_arrays(offsets, pa.array(n[order], pa.int64() if kind == "long" else pa.int32()))
+        yield pa.RecordBatch.from_arrays([words.take(pa.array(owners)), joined, ys, ns], names=["x", "joined", "ys", "ns"])
 
 
 def cooccurrences_with_totals(tokens: DataFrame, vocab: DataFrame, n: int) -> DataFrame:
