@@ -121,7 +121,10 @@ def stream_stats_delta(pages: DataFrame, order: str) -> DataFrame:
     counts = ["nb_sentences", "nb_characters"]
 
     def corrected(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(chunks)).sort_values(["_order", *counts])
+        rows = list(chunks)
+        rows = rows[0] if len(rows) == 1 else pd.concat(rows)
+        if len(rows) > 1:  # most URLs come once in a batch
+            rows = rows.sort_values(["_order", *counts])
         new = rows[counts].to_numpy(np.int64)
         known = state.exists
         old = np.concatenate([[state.get if known else (0, 0)], new[:-1]])
