@@ -158,6 +158,11 @@ def bag_of_words(tokens: DataFrame) -> DataFrame:
     )
 
 
+def sized_bag(tokens: DataFrame) -> DataFrame:
+    """As :func:`bag_of_words` with the ``size`` of the section, for sections that are dealt out by their id: nothing more is shuffled."""
+    return bag_of_words(tokens).withColumn("size", F.sum("freq").over(Window.partitionBy("section_id")))
+
+
 def vocabulary(bow: DataFrame) -> DataFrame:
     return bow.groupBy("token").agg(F.sum("freq").alias("totfreq"))
 
@@ -180,12 +185,19 @@ def corpus_size(tokens: DataFrame) -> DataFrame:
     )
 
 
-def lexical_table(bow: DataFrame) -> DataFrame:
-    """Types by sections in sparse form with both margins; ``bow`` is read three times, so store it."""
+def lexical_table(bow: DataFrame, vocab: DataFrame | None = None) -> DataFrame:
+    """Types by sections in sparse form with both margins; ``bow`` is read three times, so store it.
+
+    ``bow`` may bring the sizes along, as from :func:`sized_bag`; cells are then shuffled once.
+    """
     # each is read for its sum, its hot and its other keys
-    totals, sizes = stored(vocabulary(bow), "vocabulary"), stored(section_sizes(bow), "sizes")
+    totals = stored(vocabulary(bow), "vocabulary") if vocab is None else vocab
     with_total = lookup_join(bow, totals, "token", "totfreq", F.col("totfreq"), F.col("section_id"))
-    return lookup_join(with_total, sizes, "section_id", "size", F.col("size"), F.col("token")).select("token", "section_id", "freq", "totfreq", "size")
+    columns = ["token", "section_id", "freq", "totfreq", "size"]
+    if "size" in bow.columns:
+        return with_total.where("section_id IS NOT NULL").select(columns)  # a null id has no margin, as in the look-up
+    sizes = stored(section_sizes(bow), "sizes")
+    return lookup_join(with_total, sizes, "section_id", "size", F.col("size"), F.col("token")).select(columns)
 
 
 def lexical_matrix(bow: DataFrame, section_ids: list) -> DataFrame:
@@ -209,9 +221,10 @@ def specificity(bow: DataFrame, threshold: float = 5.0, absent: bool = True) ->
     all others are 0 by construction and not listed.
     """
     bow = stored(bow, "bags")  # read by each of the joins below
-    cells = lexical_table(bow)
+    vocab = stored(vocabulary(bow), "vocabulary")
+    cells = lexical_table(bow, vocab)
     if absent:
-        cells = cells.unionByName(absent_cells(bow, threshold))
+        cells = cells.unionByName(absent_cells(bow, threshold, vocab=vocab))
     corpus = bow.select(F.sum("freq")).scalar()
     scored = with_specificity(
         cells.withColumn("_corpus", corpus), F.col("_corpus"), F.col("size"), F.col("totfreq"), F.col("freq"), threshold
@@ -225,14 +238,14 @@ def _rarity(totfreq: Column, size: Column, corpus: Column) -> Column:
     return F.when(share < 1, -totfreq * F.log1p(-share)).otherwise(F.lit(float("inf")))
 
 
-def absent_cells(bow: DataFrame, threshold: float = 5.0, sections_per_block: int = 256) -> DataFrame:
+def absent_cells(bow: DataFrame, threshold: float = 5.0, sections_per_block: int = 256, vocab: DataFrame | None = None) -> DataFrame:
     """Cells of frequency 0 whose probability may fall below the threshold.
 
     The bound grows with the total frequency, so each section names the lowest power of two from
     which tokens are frequent enough, and stands once, in a block of sections of its power. The
     tokens, which are few for any section, are copied to the blocks of all powers up to their own:
     one copy for about ``sections_per_block`` cells. The bound is checked for each pair and the
-    cells that do occur are removed.
+    cells that do occur are removed; if the tokens are at most ``TOP_WORDS``, only their own cells are shuffled for that.
     """
     needed = math.log(100 / threshold)
     corpus = bow.select(F.sum("freq")).scalar()
@@ -252,7 +265,8 @@ def absent_cells(bow: DataFrame, threshold: float = 5.0, sections_per_block: int
     if not sizes:
         return _cells_of_none(bow)
     blocks = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])
-    tokens = vocabulary(bow).withColumn("_own", F.floor(F.log2("totfreq")).cast("int")).where(F.col("_own") >= min(sizes))
+    totals = vocabulary(bow) if vocab is None else vocab
+    tokens = totals.withColumn("_own", F.floor(F.log2("totfreq")).cast("int")).where(F.col("_own") >= min(sizes))
     copies = tokens.withColumn("power", F.explode(F.filter(F.array(*map(F.lit, sorted(sizes))), lambda p: p <= F.col("_own")))).withColumn(
         "block", F.explode(F.sequence(F.lit(0), F.element_at(blocks, F.col("power")) - 1))
     )
@@ -262,7 +276,10 @@ def absent_cells(bow: DataFrame, threshold: float = 5.0, sections_per_block: int
         .where(_rarity(F.col("totfreq").cast("double"), F.col("size"), F.col("corpus")) >= needed)
         .select("token", "section_id", F.lit(0).cast("long").alias("freq"), "totfreq", "size")
     )
-    return pairs.join(bow.select("section_id", "token"), ["section_id", "token"], "left_anti").select(
+    present = bow.select("section_id", "token")
+    if tokens.limit(TOP_WORDS + 1).count() <= TOP_WORDS:
+        present = present.join(F.broadcast(tokens.select("token")), "token", "left_semi")
+    return pairs.join(present, ["section_id", "token"], "left_anti").select(
         "token", "section_id", "freq", "totfreq", "size"
     )
 

@@ -163,7 +163,7 @@ def lexical_matrix(spark, sf):
 @query(f"""WITH {BOW}, {VOCAB}, {SIZES}, {CELLS}, {sql_scored('cells', 'SELECT sum(freq) FROM bow', 'size')}
 SELECT section_id, token, freq, totfreq, spec, log10p FROM scored WHERE freq > 0 OR spec <> 0""")
 def specificity(spark, sf):
-    return shown(tx.specificity(doc_bow(spark, sf))).drop("size")
+    return shown(tx.specificity(tx.sized_bag(doc_tokens(spark, sf)))).drop("size")
 
 
 @query(f"""WITH {SOURCE_BOW}, {VOCAB}, {SIZES}, {CELLS}, {sql_scored('cells', 'SELECT sum(freq) FROM bow', 'size')}
